@@ -487,7 +487,7 @@ _filter_query(
     ),
 )
 def _(spark, sf_dir):
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = demo.read_table(spark, sf_dir, "documents")
     lines = documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.where(~noise.is_blank(F.col("line")))
 
@@ -592,7 +592,7 @@ _projection_query(
     FROM documents""",
 )
 def _(spark, sf_dir):
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = demo.read_table(spark, sf_dir, "documents")
     return documents.select("doc_id", F.md5(text.ascii_lower(F.col("text"))).alias("v"))
 
 
@@ -971,7 +971,7 @@ def _(spark, sf_dir):
 
 def _requests(spark, sf_dir) -> DataFrame:
     calls = demo.assignments(spark, sf_dir)
-    ids = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+    ids = demo.read_table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS req_id", "'t' || CAST(o_custkey AS VARCHAR(20)) AS template_id"
     )
     return ids.join(templates.assignment_maps(calls), "req_id")

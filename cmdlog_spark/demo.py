@@ -51,24 +51,29 @@ HISTORY_SQL = f"""SELECT {", ".join(HISTORY_COLUMNS)}
 FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS ep FROM events)"""
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Given layouts of the tables used; stating them saves a look into the files.
+SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "documents": "doc_id BIGINT, text STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderpriority STRING",
+}
 
 
-def _ntz_seconds(ts: Column) -> Column:
-    """Epoch seconds of a TIMESTAMP_NTZ read as UTC, whatever the session zone."""
-    since = ts - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
-    def part(field: str) -> Column:
-        return F.extract(F.lit(field), since).cast("bigint")
 
-    seconds = F.floor(F.extract(F.lit("SECOND"), since)).cast("bigint")
-    return part("DAY") * 86_400 + part("HOUR") * 3_600 + part("MINUTE") * 60 + seconds
+# Epoch seconds of ``ts`` read as UTC, whatever the session zone.
+SECONDS_OF_TS = """CAST(extract(DAY FROM ts - TIMESTAMP_NTZ '1970-01-01') AS BIGINT) * 86400
+    + extract(HOUR FROM ts) * 3600 + extract(MINUTE FROM ts) * 60
+    + CAST(floor(extract(SECOND FROM ts)) AS BIGINT)"""
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as shell history."""
-    events = _table(spark, sf_dir, "events").withColumn("ep", _ntz_seconds(F.col("ts")))
+    events = read_table(spark, sf_dir, "events").withColumn("ep", F.expr(SECONDS_OF_TS))
     return events.selectExpr(*HISTORY_COLUMNS)
 
 
@@ -88,7 +93,7 @@ def lines_sql(line: str) -> str:
 
 def lines(spark: SparkSession, sf_dir: str, line: str) -> DataFrame:
     """``conversations`` as the lines of one history file per conversation."""
-    table = _table(spark, sf_dir, "conversations")
+    table = read_table(spark, sf_dir, "conversations")
     return table.selectExpr("conv_id AS file", "turn AS pos", line)
 
 
@@ -170,7 +175,7 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     defaults = [
         F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) for d in TEMPLATE_DEFAULTS
     ]
-    catalog = _table(spark, sf_dir, "part").select(
+    catalog = read_table(spark, sf_dir, "part").select(
         F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("id"),
         F.when(F.col("p_size") == 1, "").otherwise(F.col("p_name")).alias("name"),
         F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("description"),
@@ -197,7 +202,7 @@ ASSIGNMENTS = [
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as the arguments of template calls."""
-    table = _table(spark, sf_dir, "orders")
+    table = read_table(spark, sf_dir, "orders")
     return table.selectExpr(
         "o_orderkey AS req_id",
         "'t' || CAST(o_custkey AS VARCHAR(20)) AS template_id",

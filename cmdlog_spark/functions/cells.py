@@ -3,8 +3,6 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cmdlog_spark.functions.text import parse_long, trim_ws
-
 
 def row_hash() -> Column:
     """SHA-256 over the fields of one event, one field per line.
@@ -17,28 +15,22 @@ def row_hash() -> Column:
     return F.sha2(F.concat_ws("\n", *lines, F.col("pwd"), F.col("cmd")), 256)
 
 
-def _token(tokens: Column, index: int) -> Column:
-    return parse_long(F.rtrim(F.get(tokens, F.lit(index)), F.lit("*")))
+# The first and the second word of a text, when an integer with optional stars.
+FIRST_INTEGER = r"(?U)^\s*([+-]?[0-9]+)\**(?:\s|\z)"
+SECOND_INTEGER = r"(?U)^\s*\S+\s+([+-]?[0-9]+)\**(?:\s|\z)"
 
 
 def coerce_int(text: Column, kind: Column) -> Column:
     """Integer held by a cell of storage class ``kind``, or null.
 
     Text takes the first of its first two words that is an integer once
-    trailing stars are gone. Reals count when whole and stop at the limits of
-    64 bits.
+    trailing stars are gone. Reals count when whole; ``floor`` stops them at
+    the limits of 64 bits.
     """
-    tokens = F.split(trim_ws(text), r"(?U)\s+")
     real = text.try_cast("double")
-    low, high = -(2**63), 2**63 - 1
-    whole = (
-        F.when(real >= F.lit(float(high)), F.lit(high))
-        .when(real <= F.lit(float(low)), F.lit(low))
-        .otherwise(real.cast("bigint"))
-    )
-    infinite = real.isin(float("inf"), float("-inf"))
+    words = [F.regexp_extract(text, p, 1) for p in (FIRST_INTEGER, SECOND_INTEGER)]
     return (
         F.when(kind == "integer", text.try_cast("bigint"))
-        .when(kind == "text", F.coalesce(_token(tokens, 0), _token(tokens, 1)))
-        .when((kind == "real") & ~infinite & (F.floor(real) == real), whole)
+        .when(kind == "text", F.coalesce(*[w.try_cast("bigint") for w in words]))
+        .when((kind == "real") & (real % 1 == 0), F.floor(real))
     )

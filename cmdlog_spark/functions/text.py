@@ -58,7 +58,7 @@ def escape_like(text: str, escape: str = "\\") -> str:
 
 def parse_long(text: Column) -> Column:
     """Strict signed 64-bit parse: no blanks, no suffix, null on overflow."""
-    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
+    return F.regexp_extract(text, r"^([+-]?[0-9]+)\z", 1).try_cast("bigint")
 
 
 def json_text(text: Column) -> Column:

@@ -1,5 +1,6 @@
 """Which commands are not worth logging."""
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -23,43 +24,55 @@ class NoiseRules:
     self_names: list[str] = field(default_factory=list)
 
 
+def _any(texts: list[str]) -> str:
+    return "(?:" + "|".join(map(re.escape, texts)) + ")"
+
+
+def _matches(cmd: Column, patterns: list[str]) -> Column:
+    """Does the trimmed command match one of the patterns from its start on?
+
+    One trim and one pattern, whatever the number of rules: a chain of
+    comparisons would grow past what the JVM compiles.
+    """
+    return trim_ws(cmd).rlike("^(?:" + "|".join(patterns) + ")")
+
+
+def _builtin(self_names: list[str]) -> list[str]:
+    words = NOISE_WORDS + list(self_names)
+    return [_any(NOISE_EXACT) + r"\z", _any(words) + r"(?:[ \t]|\z)"]
+
+
+def _exact(rules: list[str]) -> list[str]:
+    return [_any([r.strip(WHITESPACE) for r in rules]) + r"\z"] if rules else []
+
+
+def _prefix(rules: list[str]) -> list[str]:
+    return [_any(rules)] if rules else []
+
+
 def is_blank(cmd: Column) -> Column:
     return trim_ws(cmd) == ""
 
 
 def is_builtin_noise(cmd: Column, self_names: list[str] | None = None) -> Column:
-    text = trim_ws(cmd)
-    noisy = text.isin(NOISE_EXACT)
-    for word in NOISE_WORDS + list(self_names or []):
-        noisy = noisy | (text == word) | text.startswith(word + " ")
-        noisy = noisy | text.startswith(word + "\t")
-    return noisy
+    return _matches(cmd, _builtin(self_names or []))
 
 
 def is_ignored_exact(cmd: Column, rules: list[str]) -> Column:
     """Both sides are compared without surrounding white space."""
-    return trim_ws(cmd).isin([r.strip(WHITESPACE) for r in rules])
+    return _matches(cmd, _exact(rules)) if rules else F.lit(False)
 
 
 def is_ignored_prefix(cmd: Column, rules: list[str]) -> Column:
     """Rules are taken as written; an empty one matches every command."""
-    text = trim_ws(cmd)
-    hit = F.lit(False)
-    for rule in rules:
-        hit = hit | text.startswith(rule)
-    return hit
+    return _matches(cmd, _prefix(rules)) if rules else F.lit(False)
 
 
 def is_noise(cmd: Column, rules: NoiseRules | None = None) -> Column:
     rules = rules or NoiseRules()
-    noisy = is_blank(cmd)
-    if rules.use_builtin:
-        noisy = noisy | is_builtin_noise(cmd, rules.self_names)
-    if rules.ignore_exact:
-        noisy = noisy | is_ignored_exact(cmd, rules.ignore_exact)
-    if rules.ignore_prefix:
-        noisy = noisy | is_ignored_prefix(cmd, rules.ignore_prefix)
-    return noisy
+    builtin = _builtin(rules.self_names) if rules.use_builtin else []
+    blank = [r"\z"]
+    return _matches(cmd, blank + builtin + _exact(rules.ignore_exact) + _prefix(rules.ignore_prefix))
 
 
 def drop_noise(df: DataFrame, rules: NoiseRules | None = None) -> DataFrame:

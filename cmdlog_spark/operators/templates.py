@@ -62,13 +62,12 @@ def list_templates(catalog: DataFrame) -> DataFrame:
 
 def parse_assignments(assignments: DataFrame) -> DataFrame:
     """Split ``assignment`` at its first equals sign; ``ok`` is false without one."""
-    parts = F.split("assignment", "=", 2)
-    ok = F.col("assignment").contains("=")
+    at = F.instr("assignment", "=")
     return assignments.withColumns(
         {
-            "key": F.when(ok, F.get(parts, F.lit(0))),
-            "value": F.when(ok, F.get(parts, F.lit(1))),
-            "ok": ok,
+            "key": F.when(at > 0, F.substr("assignment", F.lit(1), at - 1)),
+            "value": F.when(at > 0, F.substr("assignment", at + 1)),
+            "ok": at > 0,
         }
     )
 
