@@ -113,7 +113,7 @@ def import_stats(rows: DataFrame, new_rows: DataFrame) -> DataFrame:
         "skipped_bad",
     )
     total = per_source.agg(
-        F.lit(None).cast("int").alias("src_ord"),
+        F.lit(None).cast(per_source.schema["src_ord"].dataType).alias("src_ord"),
         F.lit("total").alias("src"),
         *[
             F.coalesce(F.sum(c), F.lit(0)).alias(c)
