@@ -8,7 +8,8 @@ from cmdlog_spark.schema import DAY_SECONDS, MAX_EPOCH, MIN_EPOCH
 
 def floor_div(value: Column, by: int) -> Column:
     """Whole-number division that rounds down below zero as well."""
-    return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))
+    toward_zero = F.call_function("div", value, F.lit(by))
+    return toward_zero - F.when(value % by < 0, 1).otherwise(0)
 
 
 def day_of(epoch: Column) -> Column:
@@ -48,7 +49,8 @@ def local_date(epoch: Column, tz: str = "UTC") -> Column:
 
 def relative_time(epoch: Column, now: int) -> Column:
     """Age in the largest fitting unit; the UTC date beyond a week."""
-    age = F.lit(now) - epoch
+    # Null for an epoch so far back that the difference does not fit.
+    age = F.try_subtract(F.lit(now).cast("bigint"), epoch)
 
     def unit(seconds: int, suffix: str) -> Column:
         return F.concat(floor_div(age, seconds).cast("string"), F.lit(suffix))

@@ -1,9 +1,10 @@
 """Append events, import other tables without duplicates, count what happened."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cmdlog_spark.functions.cells import coerce_int, row_hash
+from cmdlog_spark.functions.staging import stage
 from cmdlog_spark.functions.times import day_of
 from cmdlog_spark.operators.noise import NoiseRules, drop_noise
 from cmdlog_spark.operators.numbering import assign_ids
@@ -141,12 +142,11 @@ def merge_import(target: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFram
     return merge_typed(target, coerce_raw(raw), ["src_ord", "id"])
 
 
-def merge_history_files(
-    target: DataFrame, entries: DataFrame, pwd: str, ppid: int = 0, salt: int = 0
-) -> tuple[DataFrame, DataFrame]:
-    """Merge parsed shell files as events of one directory and session."""
-    timed = assign_synthetic_epoch(entries)
-    rows = timed.select(
+def typed_entries(
+    entries: DataFrame, pwd: str, ppid: int = 0, salt: int = 0
+) -> DataFrame:
+    """Parsed shell files as rows to merge, of one directory and session."""
+    return assign_synthetic_epoch(entries).select(
         F.col("file").cast("string").alias("src"),
         F.col("file").alias("src_ord"),
         "part",
@@ -159,6 +159,16 @@ def merge_history_files(
         F.lit(salt).cast("bigint").alias("salt"),
         F.lit(False).alias("bad"),
     )
+
+
+def merge_history_files(
+    target: DataFrame, entries: DataFrame, pwd: str, ppid: int = 0, salt: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """New rows and counters for parsed shell files. No noise filter applies.
+
+    The parsed entries are read several times, so they are written first.
+    """
+    rows = typed_entries(stage(entries, "entries"), pwd, ppid, salt)
     return merge_typed(target, rows, ["src_ord", "part", "id"])
 
 
@@ -171,8 +181,34 @@ def number_new_rows(new_rows: DataFrame, start: int) -> DataFrame:
     return numbered.select(*HISTORY.names, "row_hash")
 
 
-def insert_new_rows(spark, path: str, new_rows: DataFrame) -> None:
+def insert_new_rows(spark: SparkSession, path: str, new_rows: DataFrame) -> None:
     """Number the new rows after the largest id at ``path`` and append them."""
     last = spark.read.parquet(path).agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()
     numbered = number_new_rows(new_rows, last["id"])
     write_events(numbered.withColumn("day", day_of(F.col("epoch"))), path)
+
+
+def _import(spark: SparkSession, path: str, rows: DataFrame, order: list[str]) -> DataFrame:
+    """Merge into the table at ``path`` and return the counters.
+
+    Sources and new rows are written once each: both are read several times,
+    and the counters must not see the table after the append.
+    """
+    rows = stage(rows, "import-rows")
+    new_rows, _ = merge_typed(spark.read.parquet(path), rows, order)
+    new_rows = stage(new_rows, "import-new")
+    insert_new_rows(spark, path, new_rows)
+    return import_stats(rows, new_rows)
+
+
+def import_tables(spark: SparkSession, path: str, raw: DataFrame) -> DataFrame:
+    """Import ``raw`` rows of other tables into the table at ``path``."""
+    return _import(spark, path, coerce_raw(raw), ["src_ord", "id"])
+
+
+def import_history_files(
+    spark: SparkSession, path: str, entries: DataFrame, pwd: str, ppid: int = 0, salt: int = 0
+) -> DataFrame:
+    """Import parsed shell files into the table at ``path``."""
+    rows = typed_entries(stage(entries, "entries"), pwd, ppid, salt)
+    return _import(spark, path, rows, ["src_ord", "part", "id"])

@@ -21,8 +21,6 @@ into an equality the join can use. The result is exact for the best ``k``.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cmdlog_spark.functions.staging import stage
-
 #: Pair counts can pass 64 bits: two commands with 10^10 runs in one directory.
 WIDE = "decimal(38,0)"
 #: Pieces into which the partners of one cell and weight class are split.
@@ -37,9 +35,9 @@ def pruned_pairs(cells: DataFrame, totals: DataFrame, k: int) -> DataFrame:
     """``base, cmd, n, latest`` for every pair that may be among the best ``k``.
 
     ``totals`` has ``cmd, widest, weight`` for all commands. Both may be larger
-    than the cells alone require, to cover co-occurrence counted elsewhere.
+    than the cells alone require, to cover co-occurrence counted elsewhere. The
+    cells are read five times, so they should come from a written table.
     """
-    cells = stage(cells, "cells")
     partners = cells.where(F.col("p") > 0)
     bases = cells.where(F.col("b") > 0)
 

@@ -48,17 +48,23 @@ def _ranked(counts: DataFrame, k: int) -> DataFrame:
 # One base command ----------------------------------------------------------
 
 
-def session_partners(df: DataFrame, cmd: str, k: int = SESSION_COUNT) -> DataFrame:
+def session_partners(
+    df: DataFrame, cmd: str, k: int = SESSION_COUNT, own: DataFrame | None = None
+) -> DataFrame:
     """Commands run within an hour of ``cmd`` in its sessions, by row pairs.
 
     Pairs are counted, not formed. The base command shrinks to one row per
     session and second. Running sums over one session and hour, at most a row
     per second, say how many of its runs lie near each second; other commands
-    look that number up.
+    look that number up. ``own`` are the rows of ``cmd`` where at hand.
+
+    The shrunken base is written first: it is read twice, and its known size
+    lets Spark broadcast a small one instead of shuffling the table.
     """
     hour = _hour(F.col("epoch"))
-    base = (
-        df.where(command_is(cmd)).groupBy(*SESSION, "epoch").agg(F.count("*").alias("runs"))
+    own = df.where(command_is(cmd)) if own is None else own
+    base = stage(
+        own.groupBy(*SESSION, "epoch").agg(F.count("*").alias("runs")), "base-seconds"
     )
     around = base.select(
         *SESSION,
@@ -98,13 +104,16 @@ def session_partners(df: DataFrame, cmd: str, k: int = SESSION_COUNT) -> DataFra
     return _ranked(counts, k)
 
 
-def directory_partners(df: DataFrame, cmd: str, k: int = DIRECTORY_COUNT) -> DataFrame:
+def directory_partners(
+    df: DataFrame, cmd: str, k: int = DIRECTORY_COUNT, own: DataFrame | None = None
+) -> DataFrame:
     """Commands run in the directories of ``cmd``, by row pairs.
 
     The base command shrinks to one row per directory, so every other row
     meets at most one row and adds that directory's runs.
     """
-    base = df.where(command_is(cmd)).groupBy("pwd").agg(F.count("*").alias("runs"))
+    own = df.where(command_is(cmd)) if own is None else own
+    base = own.groupBy("pwd").agg(F.count("*").alias("runs"))
     counts = (
         df.where(command_differs(cmd))
         .select("pwd", "cmd", "epoch")
@@ -239,7 +248,7 @@ def session_pairs(
     if hot is None:
         return best_partners(_calm_session_pairs(events), k)
     calm = _calm_session_pairs(events.join(hot, SESSION, "left_anti"))
-    cells = _session_cells(events.join(hot, SESSION, "left_semi"))
+    cells = stage(_session_cells(events.join(hot, SESSION, "left_semi")), "session-cells")
     # A row meets at most three hours of a calm session, and in a busy one it
     # is a partner in one cell per bit, plus the shared hour.
     copies = SECOND_BITS + 1
@@ -304,6 +313,7 @@ def directory_pairs(
         F.col("n").alias("p"),
         "latest",
     )
+    cells = stage(cells, "directory-cells")
     totals = grouped.groupBy("cmd").agg(
         F.max("n").alias("widest"), F.sum("n").alias("weight")
     )
@@ -374,7 +384,9 @@ def _as_list(partners: DataFrame, cmd: str, list_no: int, order: list) -> DataFr
     )
 
 
-def suggestions(df: DataFrame, cmd: str, limit: int = SUGGESTIONS) -> DataFrame:
+def suggestions(
+    df: DataFrame, cmd: str, limit: int = SUGGESTIONS, own: DataFrame | None = None
+) -> DataFrame:
     """Related commands of ``cmd``: advice, same tool, same session, same place."""
     counted = [F.desc("co_occurrences"), F.desc("latest"), "cmd"]
     base = df.sparkSession.range(1).select(F.lit(cmd).alias("base"))
@@ -382,8 +394,8 @@ def suggestions(df: DataFrame, cmd: str, limit: int = SUGGESTIONS) -> DataFrame:
         [
             semantic_list(base),
             _as_list(tool_partners(df, cmd), cmd, TOOL, [F.desc("latest"), "cmd"]),
-            _as_list(session_partners(df, cmd), cmd, IN_SESSION, counted),
-            _as_list(directory_partners(df, cmd), cmd, IN_DIRECTORY, counted),
+            _as_list(session_partners(df, cmd, own=own), cmd, IN_SESSION, counted),
+            _as_list(directory_partners(df, cmd, own=own), cmd, IN_DIRECTORY, counted),
         ],
         limit,
     )

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cmdlog_spark.functions.commands import command_context, command_type
+from cmdlog_spark.functions.staging import stage
 from cmdlog_spark.functions.text import suggestion_text, variation_mark
 from cmdlog_spark.functions.times import local_datetime, relative_time
 from cmdlog_spark.operators.aggregate import directory_preview, profile
@@ -31,8 +32,12 @@ def search_events(
 
 
 def preview(df: DataFrame, cmd: str, now: int, shown: int = 5) -> dict[str, DataFrame]:
-    """Everything known about one command; all parts are empty for an unknown one."""
-    own = df.where(command_is(cmd))
+    """Everything known about one command; all parts are empty for an unknown one.
+
+    The rows of the command are written once and serve every part.
+    """
+    columns = ["id", "cmd", "epoch", "ppid", "pwd", "salt"]
+    own = stage(df.where(command_is(cmd)).select(columns), "preview")
     usage = profile(own, cmd).select(
         "*",
         relative_time(F.col("first_used"), now).alias("first_seen"),
@@ -46,7 +51,7 @@ def preview(df: DataFrame, cmd: str, now: int, shown: int = 5) -> dict[str, Data
         variation_mark(F.col("cmd"), cmd).alias("mark"),
     )
     known = usage.select(F.col("cmd").alias("base"))
-    related = suggestions(df, cmd).join(known, "base", "left_semi")
+    related = suggestions(df, cmd, own=own).join(known, "base", "left_semi")
     return {
         "profile": usage,
         "directories": directory_preview(own, shown),

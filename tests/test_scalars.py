@@ -63,7 +63,7 @@ def test_variation_mark(spark):
 
 
 def test_local_datetime_at_the_edges(spark):
-    epochs = [0, 1, 2147483647, 4000000000, -1, 253402300799, 253402300800]
+    epochs = [0, 1, 2147483647, 4000000000, -1, 253402300799, 253402300800, 2**63 - 1, -(2**63)]
     got = values(spark, times.local_datetime, *epochs, kind="bigint")
     assert got == [
         "1970-01-01 00:00:00",
@@ -73,6 +73,8 @@ def test_local_datetime_at_the_edges(spark):
         "1969-12-31 23:59:59",
         "9999-12-31 23:59:59",
         None,
+        None,
+        None,
     ]
 
 
@@ -98,6 +100,14 @@ def test_relative_time(spark):
         "in the future", "0s ago", "59s ago", "1m ago", "59m ago", "1h ago", "23h ago",
         "1d ago", "6d ago", "2023-11-07",
     ]
+    got = values(spark, lambda c: times.relative_time(c, now), -(2**63), 2**63 - 1, kind="bigint")
+    assert got == [str(-(2**63)), "in the future"]
+
+
+def test_floor_div(spark):
+    inputs = [-(2**63), -3_601, -3_600, -1, 0, 3_599, 3_600, 2**63 - 1]
+    got = values(spark, lambda c: times.floor_div(c, 3_600), *inputs, kind="bigint")
+    assert got == [i // 3_600 for i in inputs]
 
 
 def test_day_never_decreases(spark):
