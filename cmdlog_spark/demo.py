@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cmdlog_spark.functions.times import floor_div
-from cmdlog_spark.schema import HISTORY, TEMPLATE
+from cmdlog_spark.schema import CHUNK, HISTORY, TEMPLATE
 from cmdlog_spark.sources.tables import fill_template_defaults
 
 # Parameters of the registered queries.
@@ -210,7 +210,7 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_legacy_files(df: DataFrame, folder: str, ids_per_file: int = 4_096) -> list[str]:
+def write_legacy_files(df: DataFrame, folder: str, ids_per_file: int = CHUNK) -> list[str]:
     """History rows as legacy databases, one file per run of ids; their paths."""
     os.makedirs(folder, exist_ok=True)
 

@@ -75,17 +75,22 @@ def parse_assignments(assignments: DataFrame) -> DataFrame:
 def assignment_maps(assignments: DataFrame) -> DataFrame:
     """One map per request from ``req_id, pos, assignment``; the last value wins.
 
-    A map holds the arguments of one call, so its size is that of a call.
-    Requests with a malformed assignment carry it in ``bad``.
+    A request gathers the arguments of one command line, whose length the
+    system limits. A malformed assignment of a request is kept in ``bad``.
     """
-    parsed = parse_assignments(assignments)
-    last = parsed.groupBy("req_id", "key").agg(
-        F.max_by("value", "pos").alias("value"),
-        F.min(F.when(~F.col("ok"), F.col("assignment"))).alias("bad"),
-    )
-    pair = F.when(F.col("key").isNotNull(), F.struct("key", "value"))
-    return last.groupBy("req_id").agg(
-        F.map_from_entries(F.collect_list(pair)).alias("vars"), F.min("bad").alias("bad")
+    found = F.when(F.col("ok"), F.struct("pos", "key", "value"))
+    latest_first = F.sort_array(F.collect_list(found), asc=False)
+    keys = F.transform("found", lambda e: e["key"])
+    last = F.filter("found", lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    pairs = F.transform(last, lambda e: F.struct(e["key"], e["value"]))
+    return (
+        parse_assignments(assignments)
+        .groupBy("req_id")
+        .agg(
+            latest_first.alias("found"),
+            F.min(F.when(~F.col("ok"), F.col("assignment"))).alias("bad"),
+        )
+        .select("req_id", F.map_from_entries(pairs).alias("vars"), "bad")
     )
 
 

@@ -7,6 +7,7 @@ returned as text with their storage class; nothing is coerced here.
 
 import sqlite3
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -19,6 +20,9 @@ NAME = "legacy_history"
 IDS_PER_PARTITION = 1 << 18
 #: Per file, so that a stray far-off id does not create endless empty ranges.
 MAX_PARTITIONS = 10_000
+#: The driver looks into this many files to split them; more are read whole.
+MAX_PLANNED_FILES = 1_000
+MIN_ID, MAX_ID = -(2**63), 2**63 - 1
 ROWS_PER_BATCH = 10_000
 # The columns whose cells may be of any storage class.
 LOOSE_COLUMNS = ["hist_id", "epoch", "ppid", "salt"]
@@ -44,17 +48,18 @@ def _text(value) -> str | None:
     return repr(value) if isinstance(value, float) else str(value)
 
 
+def _require_history(connection: sqlite3.Connection, path: str) -> None:
+    found = connection.execute(
+        "SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = 'history'"
+    ).fetchone()
+    if not found:
+        raise ValueError(f"source database {path} does not have a history table")
+
+
 def _id_ranges(path: str, src_ord: int) -> list[IdRange]:
-    connection = _connect(path)
-    try:
-        found = connection.execute(
-            "SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = 'history'"
-        ).fetchone()
-        if not found:
-            raise ValueError(f"source database {path} does not have a history table")
+    with closing(_connect(path)) as connection:
+        _require_history(connection, path)
         low, high = connection.execute("SELECT min(id), max(id) FROM history").fetchone()
-    finally:
-        connection.close()
     if low is None:
         return []
     step = max(IDS_PER_PARTITION, (high - low) // MAX_PARTITIONS + 1)
@@ -67,6 +72,8 @@ class LegacyReader(DataSourceReader):
         self.paths = paths
 
     def partitions(self) -> list[InputPartition]:
+        if len(self.paths) > MAX_PLANNED_FILES:
+            return [IdRange(p, i, MIN_ID, MAX_ID) for i, p in enumerate(self.paths)]
         ranges = [r for i, p in enumerate(self.paths) for r in _id_ranges(p, i)]
         return ranges or [IdRange("", 0, 1, 0)]
 
@@ -74,16 +81,14 @@ class LegacyReader(DataSourceReader):
         if partition.first > partition.last:
             return
         cells = ", ".join(f"{c}, typeof({c})" for c in LOOSE_COLUMNS)
-        connection = _connect(partition.path)
-        try:
+        with closing(_connect(partition.path)) as connection:
+            _require_history(connection, partition.path)
             cursor = connection.execute(
                 f"SELECT id, cmd, pwd, {cells} FROM history WHERE id BETWEEN ? AND ? ORDER BY id",
                 (partition.first, partition.last),
             )
             while rows := cursor.fetchmany(ROWS_PER_BATCH):
                 yield _batch(partition, rows)
-        finally:
-            connection.close()
 
 
 def _batch(partition: IdRange, rows: list[tuple]) -> pa.RecordBatch:

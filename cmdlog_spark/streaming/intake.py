@@ -47,26 +47,32 @@ def start_merge(
     *,
     rules: NoiseRules | None = None,
     no_filter: bool = False,
-    window: str = "1 hour",
+    window: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append only events whose hash the table at ``path`` does not hold.
 
-    State drops copies that arrive within ``window`` of each other. It runs on
-    arrival time: with event time, a late event would fall behind the watermark
-    and be lost. Copies that arrive later meet the table itself in the batch
-    function, which also makes a repeated batch harmless.
+    Copies within a batch collapse in the tasks that read them; the rest meet
+    the touched days of the table, which also makes a repeated batch harmless.
+    No event is ever too late.
+
+    ``window`` adds state that drops copies arriving that close together, for
+    senders that repeat themselves often. It runs on arrival time: with event
+    time, a late event would fall behind the watermark and be lost. All copies
+    of an event share a state partition, so leave it out when one event may
+    repeat without bound.
     """
-    fresh = (
-        prepare(events, rules, no_filter)
-        .withColumn("arrived", F.current_timestamp())
-        .withWatermark("arrived", window)
-        .dropDuplicatesWithinWatermark(["row_hash"])
-        .drop("arrived")
-    )
+    fresh = prepare(events, rules, no_filter)
+    if window is not None:
+        fresh = (
+            fresh.withColumn("arrived", F.current_timestamp())
+            .withWatermark("arrived", window)
+            .dropDuplicatesWithinWatermark(["row_hash"])
+            .drop("arrived")
+        )
 
     def merge_batch(batch: DataFrame, _: int) -> None:
-        # Read three times below; without it each would repeat the state work.
+        # Read twice below; kept, or the source and any state would run again.
         batch = batch.persist()
         try:
             once = first_per_hash(batch, ["epoch"])

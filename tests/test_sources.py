@@ -165,6 +165,16 @@ def test_legacy_cells_of_every_class(spark, tmp_path, monkeypatch):
     ]
 
 
+def test_many_legacy_files_are_read_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(legacy, "MAX_PLANNED_FILES", 1)
+    rows = [(i, 1, "x", 1, 1, "/", 1) for i in (-5, 3)]
+    paths = [legacy_file(tmp_path / f"{n}.sqlite", rows) for n in "abc"]
+    raw = legacy.read_legacy_history(spark, paths)
+    assert sorted((r.src_ord, r.id) for r in raw.collect()) == [
+        (n, i) for n in range(3) for i in (-5, 3)
+    ]
+
+
 def test_legacy_file_without_history(spark, tmp_path):
     path = legacy_file(tmp_path / "x.sqlite", [], table="other")
     with pytest.raises(PySparkException, match="does not have a history table"):

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from cmdlog_spark.functions.cells import row_hash
 from cmdlog_spark.operators.noise import NoiseRules
 from cmdlog_spark.streaming import intake
@@ -30,12 +32,13 @@ def test_intake_keeps_copies_and_drops_noise(spark, tmp_path):
     assert table.where(table.row_hash != row_hash()).count() == 0
 
 
-def test_merge_drops_copies_within_and_across_batches(spark, tmp_path):
+@pytest.mark.parametrize("window", [None, "1 hour"])
+def test_merge_drops_copies_within_and_across_batches(spark, tmp_path, window):
     drop(tmp_path / "in", "1", {"cmd": "a", "epoch": 10**9}, {"cmd": "a", "epoch": 10**9}, {"cmd": "ls", "epoch": 6})
-    assert run(spark, tmp_path, intake.start_merge) == [(10**9, "a")]
+    assert run(spark, tmp_path, intake.start_merge, window=window) == [(10**9, "a")]
     # Far older than what came before, and still merged.
     drop(tmp_path / "in", "2", {"cmd": "a", "epoch": 10**9}, {"cmd": "old", "epoch": 3})
-    assert run(spark, tmp_path, intake.start_merge) == [(3, "old"), (10**9, "a")]
+    assert run(spark, tmp_path, intake.start_merge, window=window) == [(3, "old"), (10**9, "a")]
 
 
 def test_merge_without_state_still_meets_the_table(spark, tmp_path):
