@@ -10,8 +10,8 @@ pairs that cannot be among the best ``k`` of A are never formed:
   the (k+1)-th largest partner count of the cell. ``low(A)``, the largest such
   product, is a lower bound for the k-th best score of A.
 * ``widest(A) * weight(B)`` is an upper bound for the score of (A, B), with
-  ``widest`` the largest base count in any cell and ``weight`` the sum of the
-  partner counts over all cells.
+  ``weight`` the runs of B and ``widest`` the most runs of A that one run of B
+  can meet.
 
 So only partners of weight ``low(A) / widest(A)`` or more matter. Partners are
 filed under the power of two below their weight, which turns that condition
@@ -34,9 +34,9 @@ def _power_of_two(weight: Column) -> Column:
 def pruned_pairs(cells: DataFrame, totals: DataFrame, k: int) -> DataFrame:
     """``base, cmd, n, latest`` for every pair that may be among the best ``k``.
 
-    ``totals`` has ``cmd, widest, weight`` for all commands. Both may be larger
-    than the cells alone require, to cover co-occurrence counted elsewhere. The
-    cells are read five times, so they should come from a written table.
+    ``totals`` has ``cmd, widest, weight`` for all commands and covers the cells
+    as well as any co-occurrence counted elsewhere. The cells are read five
+    times, so they should come from a written table.
     """
     partners = cells.where(F.col("p") > 0)
     bases = cells.where(F.col("b") > 0)

@@ -17,7 +17,7 @@ SESSION = ["salt", "ppid"]
 #: Rows per session and hour up to which pairs of rows are compared directly.
 HOT_HOUR_ROWS = 128
 #: Commands per directory up to which their pairs are formed directly.
-HOT_DIRECTORY_COMMANDS = 512
+HOT_DIRECTORY_COMMANDS = 128
 #: Lists of hot groups are broadcast up to this length, joined by key beyond.
 MAX_BROADCAST_GROUPS = 10_000
 #: Halvings that take an hour down to single seconds.
@@ -249,15 +249,12 @@ def session_pairs(
         return best_partners(_calm_session_pairs(events), k)
     calm = _calm_session_pairs(events.join(hot, SESSION, "left_anti"))
     cells = stage(_session_cells(events.join(hot, SESSION, "left_semi")), "session-cells")
-    # A row meets at most three hours of a calm session, and in a busy one it
-    # is a partner in one cell per bit, plus the shared hour.
-    copies = SECOND_BITS + 1
-    runs = events.groupBy("cmd").agg(F.count("*").alias("runs"))
-    widest = cells.groupBy("cmd").agg(F.max("b").alias("b"))
-    totals = runs.join(widest, "cmd", "left").select(
-        "cmd",
-        F.greatest(F.coalesce("b", F.lit(0)), F.lit(3 * hot_rows)).alias("widest"),
-        (F.col("runs") * copies).alias("weight"),
+    # All that lies within an hour of a row is in three hours of its session.
+    hourly = events.groupBy(*SESSION, _hour(F.col("epoch")).alias("hour"), "cmd").agg(
+        F.count("*").alias("n")
+    )
+    totals = hourly.groupBy("cmd").agg(
+        (F.max("n") * 3).alias("widest"), F.sum("n").alias("weight")
     )
     return best_partners(calm.unionByName(pruned_pairs(cells, totals, k)), k)
 
