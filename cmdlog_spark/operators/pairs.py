@@ -14,7 +14,7 @@ pairs that cannot be among the best ``k`` of A are never formed:
   can meet.
 
 So only partners of weight ``low(A) / widest(A)`` or more matter. Partners are
-filed under the power of two below their weight, which turns that condition
+filed under the power of eight below their weight, which turns that condition
 into an equality the join can use. The result is exact for the best ``k``.
 """
 
@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 #: Pair counts can pass 64 bits: two commands with 10^10 runs in one directory.
 WIDE = "decimal(38,0)"
 #: Pieces into which the partners of one cell and weight class are split.
-SALTS = 32
+SALTS = 4
 
 
-def _power_of_two(weight: Column) -> Column:
-    return F.floor(F.log2(F.greatest(weight, F.lit(1.0)))).cast("int")
+def _level(weight: Column) -> Column:
+    return F.floor(F.log2(F.greatest(weight, F.lit(1.0))) / 3).cast("int")
 
 
 def pruned_pairs(cells: DataFrame, totals: DataFrame, k: int) -> DataFrame:
@@ -60,7 +60,7 @@ def pruned_pairs(cells: DataFrame, totals: DataFrame, k: int) -> DataFrame:
 
     filed = partners.join(totals.select("cmd", F.col("weight").cast("double")), "cmd").select(
         "cell",
-        _power_of_two(F.col("weight")).alias("level"),
+        _level(F.col("weight")).alias("level"),
         F.pmod(F.xxhash64("cmd"), F.lit(SALTS)).alias("salt"),
         "cmd",
         "p",
@@ -72,7 +72,7 @@ def pruned_pairs(cells: DataFrame, totals: DataFrame, k: int) -> DataFrame:
         bases.join(thresholds, "cmd")
         .select("cell", F.col("cmd").alias("base"), "b", "need")
         .join(places, "cell")
-        .where(F.col("level") >= _power_of_two(F.col("need")))
+        .where(F.col("level") >= _level(F.col("need")))
     )
     return (
         asked.join(filed, ["cell", "level", "salt"])

@@ -195,30 +195,32 @@ def _session_cells(events: DataFrame) -> DataFrame:
     rows with a 0 in the second. ``forward`` tells which of the two is the base.
     """
     seconds = events.groupBy(*SESSION, "epoch", "cmd").agg(F.count("*").alias("n"))
-    hour = _hour(F.col("epoch"))
+    shared = F.col("bit") < 0
     second = F.pmod(F.col("epoch"), F.lit(WINDOW_SECONDS)).cast("int")
-    none = F.lit(0).cast("bigint")
-
-    def place(at, bit, prefix, forward, b, p):
-        return F.struct(
-            at.alias("hour"),
-            F.lit(bit).alias("bit"),
-            prefix.cast("int").alias("prefix"),
-            F.lit(forward).alias("forward"),
-            b.alias("b"),
-            p.alias("p"),
-        )
-
-    n = F.col("n")
-    places = [place(hour, -1, F.lit(0), True, n, n)]
-    for bit in range(SECOND_BITS):
-        one = F.shiftright(second, bit).bitwiseAND(1) == 1
-        prefix = F.shiftright(second, bit + 1)
-        at = F.when(one, hour).otherwise(hour - 1)
-        as_one, as_zero = F.when(one, n).otherwise(none), F.when(one, none).otherwise(n)
-        places.append(place(at, bit, prefix, True, as_one, as_zero))
-        places.append(place(at, bit, prefix, False, as_zero, as_one))
-    placed = seconds.select(*SESSION, "cmd", "epoch", F.inline(F.array(*places)))
+    # One place for the shared hour, and two per bit, one in each direction.
+    bits = F.array(*[F.lit(bit) for bit in range(-1, SECOND_BITS)])
+    directions = F.when(shared, F.array(F.lit(True))).otherwise(
+        F.array(F.lit(True), F.lit(False))
+    )
+    placed = (
+        seconds.select("*", second.alias("second"), F.explode(bits).alias("bit"))
+        .select("*", F.explode(directions).alias("forward"))
+        .withColumn("one", shared | F.expr("(shiftright(second, bit) & 1) = 1"))
+    )
+    hour = _hour(F.col("epoch"))
+    is_base = shared | (F.col("one") == F.col("forward"))
+    is_partner = shared | (F.col("one") != F.col("forward"))
+    placed = placed.select(
+        *SESSION,
+        "cmd",
+        "epoch",
+        F.when(F.col("one"), hour).otherwise(hour - 1).alias("hour"),
+        "bit",
+        F.when(shared, 0).otherwise(F.expr("shiftright(second, bit + 1)")).alias("prefix"),
+        "forward",
+        F.when(is_base, F.col("n")).otherwise(0).alias("b"),
+        F.when(is_partner, F.col("n")).otherwise(0).alias("p"),
+    )
     keys = [*SESSION, "hour", "bit", "prefix", "forward"]
     return (
         placed.groupBy(*keys, "cmd")
