@@ -246,6 +246,22 @@ def _(spark, sf_dir):
     return spark.read.parquet(path).drop("day")
 
 
+@_query(
+    "b1_append_new_ids",
+    """SELECT count(*) AS rows, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id,
+        count(*) AS ids FROM history""",
+)
+def _(spark, sf_dir):
+    path = staging_path(spark, "events")
+    merge.append_events(demo.history(spark, sf_dir).drop("id"), path, no_filter=True)
+    return spark.read.parquet(path).agg(
+        F.count("*").alias("rows"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+        F.countDistinct("id").alias("ids"),
+    )
+
+
 @_query("b2_export_jsonl", "SELECT id, hist_id, epoch, ppid, pwd, salt, cmd FROM history")
 def _(spark, sf_dir):
     path = staging_path(spark, "export")

@@ -212,6 +212,7 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_legacy_files(df: DataFrame, folder: str, ids_per_file: int = CHUNK) -> list[str]:
     """History rows as legacy databases, one file per run of ids; their paths."""
+    folder = folder.removeprefix("file://")
     os.makedirs(folder, exist_ok=True)
 
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,7 @@ from cmdlog_spark.operators.noise import NoiseRules, drop_noise
 from cmdlog_spark.operators.numbering import assign_ids
 from cmdlog_spark.schema import HISTORY
 from cmdlog_spark.sources.shell_files import assign_synthetic_epoch
+from cmdlog_spark.sources.tables import table_so_far
 
 REQUIRED = ["cmd", "pwd", "epoch", "ppid", "salt"]
 FIELDS = [c for c in HISTORY.names if c != "id"]
@@ -31,11 +32,32 @@ def write_events(df: DataFrame, path: str) -> None:
     df.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
+def last_id(table: DataFrame | None) -> int:
+    """Largest id of a table, 0 for an empty or missing one."""
+    if table is None or "id" not in table.columns:
+        return 0
+    return table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()["id"]
+
+
+def with_new_ids(events: DataFrame, start: int) -> DataFrame:
+    """Number events that have no id, in the order in which they are read.
+
+    They are written first, so that a task that runs again finds the same order.
+    """
+    order = {"id": F.monotonically_increasing_id(), "src_ord": F.lit(0)}
+    return assign_ids(stage(events.withColumns(order), "events"), start).drop("src_ord")
+
+
 def append_events(
     df: DataFrame, path: str, rules: NoiseRules | None = None, no_filter: bool = False
 ) -> None:
-    """Log events: drop noise, keep duplicates."""
+    """Log events: drop noise, keep duplicates.
+
+    Events without an ``id`` get ids that go on from the table's last.
+    """
     kept = df if no_filter else drop_noise(df, rules)
+    if "id" not in kept.columns:
+        kept = with_new_ids(kept, last_id(table_so_far(df.sparkSession, path)))
     write_events(with_derived(kept), path)
 
 
@@ -183,8 +205,7 @@ def number_new_rows(new_rows: DataFrame, start: int) -> DataFrame:
 
 def insert_new_rows(spark: SparkSession, path: str, new_rows: DataFrame) -> None:
     """Number the new rows after the largest id at ``path`` and append them."""
-    last = spark.read.parquet(path).agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()
-    numbered = number_new_rows(new_rows, last["id"])
+    numbered = number_new_rows(new_rows, last_id(table_so_far(spark, path)))
     write_events(numbered.withColumn("day", day_of(F.col("epoch"))), path)
 
 
@@ -195,7 +216,10 @@ def _import(spark: SparkSession, path: str, rows: DataFrame, order: list[str]) -
     and the counters must not see the table after the append.
     """
     rows = stage(rows, "import-rows")
-    new_rows, _ = merge_typed(spark.read.parquet(path), rows, order)
+    target = table_so_far(spark, path)
+    if target is None:
+        target = spark.createDataFrame([], HISTORY)
+    new_rows, _ = merge_typed(target, rows, order)
     new_rows = stage(new_rows, "import-new")
     insert_new_rows(spark, path, new_rows)
     return import_stats(rows, new_rows)

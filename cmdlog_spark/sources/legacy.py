@@ -9,6 +9,7 @@ import sqlite3
 from collections.abc import Iterator
 from contextlib import closing
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ class IdRange(InputPartition):
 
 
 def _connect(path: str) -> sqlite3.Connection:
-    connection = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    connection = sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
     connection.text_factory = lambda raw: raw.decode("utf-8", "replace")
     return connection
 

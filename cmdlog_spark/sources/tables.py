@@ -1,5 +1,6 @@
 """Event table and template catalog."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,19 @@ def scan_history(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
+def table_so_far(
+    spark: SparkSession, path: str, schema: T.StructType | None = None
+) -> DataFrame | None:
+    """The table at ``path``, or None before anything has written it."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    try:
+        return reader.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_templates(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """The template catalog, with the defaults of absent fields filled in.
 

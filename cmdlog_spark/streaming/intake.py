@@ -1,6 +1,5 @@
 """Events as a stream: plain intake, and intake that merges."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -8,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 from cmdlog_spark.operators.merge import first_per_hash, unseen, with_derived, write_events
 from cmdlog_spark.operators.noise import NoiseRules, drop_noise
 from cmdlog_spark.schema import EVENT
+from cmdlog_spark.sources.tables import table_so_far
 
 
 def read_event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +76,7 @@ def start_merge(
         batch = batch.persist()
         try:
             once = first_per_hash(batch, ["epoch"])
-            target = _table_so_far(batch, path)
+            target = table_so_far(batch.sparkSession, path, batch.schema)
             new_rows = once if target is None else unseen(once, target, days_from=batch)
             write_events(new_rows.select(batch.columns), path)
         finally:
@@ -88,13 +88,3 @@ def start_merge(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
-
-
-def _table_so_far(batch: DataFrame, path: str) -> DataFrame | None:
-    """The table at ``path``, or None before the first batch has written it."""
-    try:
-        return batch.sparkSession.read.schema(batch.schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None

@@ -149,3 +149,21 @@ def test_importing_shell_files_twice(spark, make_history, tmp_path):
     rows = spark.read.parquet(path).orderBy("id").collect()
     assert [r.cmd for r in rows] == ["old"] + [f"c{i}" for i in range(6)]
     assert [r.id for r in rows] == list(range(1, 8))
+
+
+def test_events_without_ids_are_numbered_on(spark, make_history, tmp_path):
+    path = str(tmp_path / "t")
+    events = make_history(*[{"cmd": f"c{i}", "epoch": i} for i in range(20)]).drop("id")
+    merge.append_events(events.coalesce(1), path)
+    merge.append_events(events.where("epoch < 3").coalesce(1), path)
+    rows = spark.read.parquet(path).orderBy("id").collect()
+    assert [(r.id, r.epoch) for r in rows] == [
+        (i, e) for i, e in enumerate([*range(20), *range(3)], 1)
+    ]
+
+
+def test_import_into_a_new_table(spark, make_history, tmp_path):
+    path = str(tmp_path / "new")
+    stats = merge.import_tables(spark, path, raw(make_history(*EVENTS), "s", 0))
+    assert counters(stats)["total"] == (3, 2, 0)
+    assert [r.id for r in spark.read.parquet(path).orderBy("id").collect()] == [1, 2]

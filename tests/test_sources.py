@@ -151,7 +151,7 @@ def test_legacy_cells_of_every_class(spark, tmp_path, monkeypatch):
             (10, 1e300, "e", b"\x01", 1, "/a", 9),
         ],
     )
-    two = legacy_file(tmp_path / "two.sqlite", [(1, 1, "z", 1, 1, "/", 1)])
+    two = legacy_file(tmp_path / "two #1 50%.sqlite", [(1, 1, "z", 1, 1, "/", 1)])
     raw = legacy.read_legacy_history(spark, [one, two])
     got = coerce_raw(raw).orderBy("src_ord", "id").collect()
     assert [(r.src_ord, r.id, r.hist_id, r.epoch, r.ppid, r.bad) for r in got] == [
