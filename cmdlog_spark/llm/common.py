@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cmdlog_spark.functions.staging import stage
 
-__all__ = ["beside", "is_held_out", "pick", "stage", "text_or_empty", "without"]
+__all__ = ["beside", "is_held_out", "pick", "slices", "stage", "text_or_empty", "without"]
+
+# Rows whose texts a Python worker unfolds at a time.
+SLICE = 1_000
 
 
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
@@ -26,6 +32,13 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def slices(batches: Iterator[pd.DataFrame], rows: int = SLICE) -> Iterator[pd.DataFrame]:
+    """The same rows in smaller batches."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start : start + rows].reset_index(drop=True)
+
+
 def is_held_out(doc_id: Column) -> Column:
     """A quarter of the ids, on which no classifier here learns; a null id counts as ''."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cmdlog_spark.llm.common import is_held_out, pick
+from cmdlog_spark.llm.common import SLICE, is_held_out, pick, slices
 
 
 @dataclass(frozen=True)
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, featurise, dense: int, s
     rows = rows.join(F.broadcast(small), F.col("doc_id") == F.col("s_doc_id"), "left_semi")
 
     def extract(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch["text"].fillna("").tolist()
             at, buckets, values = featurise(texts)
             cuts = np.searchsorted(at, np.arange(len(texts) + 1))
@@ -189,9 +189,11 @@ def scorer(spark, model: Model, featurise):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        cleaned = texts.fillna("").tolist()
-        rows, buckets, values = featurise(cleaned)
-        return pd.Series(shared.value.scores(rows, buckets, values, len(cleaned)))
+        cleaned, out = texts.fillna("").tolist(), []
+        for start in range(0, len(cleaned), SLICE):
+            part = cleaned[start : start + SLICE]
+            out.append(shared.value.scores(*featurise(part), len(part)))
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return score
 

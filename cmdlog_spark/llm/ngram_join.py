@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cmdlog_spark.llm.common import pick, stage, text_or_empty, without
+from cmdlog_spark.llm.common import pick, slices, stage, text_or_empty, without
 from cmdlog_spark.llm.components import components
 from cmdlog_spark.llm.words import LOWER, mix, shingle_hashes
 
@@ -54,7 +54,7 @@ def frequencies(docs: DataFrame, settings: Settings, cells: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(cells, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             codes, _ = shingle_sets(batch["text"].fillna("").tolist(), settings.size)
             total += np.bincount(_cells(codes, cells), minlength=cells)
         some = np.flatnonzero(total)
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, settings: Settings, shared) -> DataFrame:
 
     def sign(batches):
         table = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             codes, cuts = shingle_sets(batch["text"].fillna("").tolist(), settings.size)
             keys = table[_cells(codes, len(table))]
             n = np.diff(cuts)
@@ -192,7 +192,7 @@ def _sets(docs: DataFrame, reps: DataFrame, codes: DataFrame, settings: Settings
     rows = rows.select("text", "w_code")
 
     def build(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found, cuts = shingle_sets(batch["text"].fillna("").tolist(), settings.size)
             spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
             code = np.array([_set_code(found[a:b]) for a, b in spans], np.uint64).view(np.int64)
