@@ -92,7 +92,7 @@ def train(
     n, k = len(kept), settings.factors
     share = float(np.clip(np.average(labels, weights=weights), 0.01, 0.99)) if len(labels) else 0.5
     bias = np.log(share / (1 - share))
-    w, v = np.zeros(n, np.float32), rng.normal(0, 0.02, (n, k)).astype(np.float32)
+    w, v = np.zeros(n, np.float32), rng.normal(0, 0.02 if len(docs) else 0, (n, k)).astype(np.float32)
     gw, gv, gb = np.full(n, 1e-6, np.float32), np.full((n, k), 1e-6, np.float32), 1e-6
     for _ in range(settings.epochs if len(docs) else 0):
         order = rng.permutation(len(docs))

@@ -16,6 +16,8 @@ COARSE, FINE = 64, 1 << 18
 BITS = float(1 << 52)
 # Sources up to which their fillings are broadcast, one row each.
 FEW = 10_000
+# Documents that fill up a source after the draw.
+FILLS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -133,32 +135,51 @@ def _drawn(ranked: DataFrame, ends: DataFrame) -> DataFrame:
     return result.drop("e_source", "e_step", "e_before", "e_room")
 
 
-def _fills(ranked: DataFrame, drawn: DataFrame) -> DataFrame:
-    """For each source the document left out that brings it nearest to its target, if any.
+def _fills(drawn: DataFrame) -> DataFrame:
+    """For each source some documents left out that bring it nearer to its target.
 
-    Rows alike in id and size go together.
+    First the largest that still fits, again and again, at last the one that ends
+    nearest. Rows alike in id and size go together.
     """
     taken = F.sum(F.when(F.col("size") == 0, 0).otherwise((F.col("whole") + F.col("extra")) * F.col("size")))
     gaps = drawn.groupBy("source").agg((F.first("target") - taken).alias("gap"))
-    gaps = gaps.select(F.col("source").alias("g_source"), "gap")
+    gaps = stage(gaps.select(F.col("source").alias("g_source"), "gap"), "gaps")
     left = drawn.filter((F.col("extra") == 0) & F.col("odds").isNotNull())
     left = left.groupBy("source", "odds", "doc_id", "size").agg(F.count("*").alias("n"))
-    near = F.abs(F.col("gap") - F.col("n") * F.col("size"))
-    named = left.join(gaps, F.col("source").eqNullSafe(F.col("g_source"))).filter(near < F.abs("gap"))
-    best = named.groupBy("source").agg(F.min(F.struct(near.alias("near"), "odds", "doc_id", "size")).alias("f"))
-    return best.select(
-        F.col("source").alias("f_source"), F.col("f.doc_id").alias("f_doc_id"), F.col("f.size").alias("f_size")
+    left = stage(left.withColumn("words", F.col("n") * F.col("size")), "left")
+    same_source = F.col("source").eqNullSafe(F.col("g_source"))
+    fills = None
+    for last in (False,) * (FILLS - 1) + (True,):
+        open_ = left if fills is None else left.join(fills, _same_row(), "left_anti")
+        near = F.abs(F.col("gap") - F.col("words"))
+        good = near < F.abs("gap") if last else F.col("words") <= F.col("gap")
+        best = F.min(F.struct(near.alias("near"), "odds", "doc_id", "size", "words")).alias("f")
+        found = open_.join(gaps, same_source).filter(good).groupBy("source").agg(best)
+        found = stage(
+            found.select(
+                F.col("source").alias("f_source"), F.col("f.doc_id").alias("f_doc_id"),
+                F.col("f.size").alias("f_size"), F.col("f.words").alias("f_words"),
+            ),
+            "fills",
+        )
+        less = gaps.join(found, F.col("g_source").eqNullSafe(F.col("f_source")), "left")
+        gaps = stage(less.select("g_source", (F.col("gap") - F.coalesce("f_words", F.lit(0))).alias("gap")), "gaps")
+        found = found.drop("f_words")
+        fills = found if fills is None else fills.unionAll(found)
+    return fills
+
+
+def _same_row() -> Column:
+    return (
+        F.col("source").eqNullSafe(F.col("f_source"))
+        & F.col("doc_id").eqNullSafe(F.col("f_doc_id"))
+        & (F.col("size") == F.col("f_size"))
     )
 
 
 def _with_copies(ranked: DataFrame, ends: DataFrame, fills: DataFrame) -> DataFrame:
     """Certain copies, the drawn one and the one that fills up."""
-    same = (
-        F.col("source").eqNullSafe(F.col("f_source"))
-        & F.col("doc_id").eqNullSafe(F.col("f_doc_id"))
-        & (F.col("size") == F.col("f_size"))
-    )
-    rows = _drawn(ranked, ends).join(F.broadcast(fills) if fills.limit(FEW + 1).count() <= FEW else fills, same, "left")
+    rows = _drawn(ranked, ends).join(F.broadcast(fills) if fills.limit(FEW + 1).count() <= FEW else fills, _same_row(), "left")
     fills_up = F.col("f_size").isNotNull() & F.col("odds").isNotNull()
     extra = F.when(fills_up, 1).otherwise(F.col("extra"))
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + extra).cast("long")
@@ -171,7 +192,7 @@ def _plan(rows: DataFrame, weights, max_copies: int, seed: int) -> tuple[DataFra
     rates = stage(with_rates(rows, source_targets(sizes, weights, max_copies), max_copies), "rates")
     ranked = stage(_ranked(rows, rates, seed), "ranked")
     ends = _ends(ranked)
-    return rates, ends, stage(_fills(ranked, _drawn(ranked, ends)), "fills")
+    return rates, ends, stage(_fills(stage(_drawn(ranked, ends), "drawn")), "fills")
 
 
 def mix(
@@ -190,9 +211,8 @@ def mix(
     source, ``max_copies`` at most. The whole part is certain. The rest p is the
     chance of one more copy: documents are ranked by their random odds u / (1 - u)
     divided by p / (1 - p), and the lowest are taken as long as their words fit into
-    what the target leaves. Then the one document left out that comes nearest to the
-    target is added. So a source misses its target by half of one document at most.
-    Ties go by doc_id.
+    what the target leaves. Then ``FILLS`` documents left out fill up, the last of them
+    the one that ends nearest to the target. Ties go by doc_id.
 
     Documents without words have 0 copies. Rows with the same id count as separate
     documents. An empty table gives no rows. Numbers come from the id and ``seed``,
