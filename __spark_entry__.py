@@ -1129,7 +1129,30 @@ def _arrivals(spark, sf_dir, copies: int) -> tuple[DataFrame, str]:
 def _(spark, sf_dir):
     events, path = _arrivals(spark, sf_dir, 1)
     intake.start_intake(events, path, f"{path}-state", rules=_RULES).awaitTermination()
-    return spark.read.parquet(path).drop("day")
+    return tables.scan_history(spark, path).drop("id", "day")
+
+
+@_query(
+    "m1_stream_into_table",
+    """SELECT count(*) AS rows, count(*) AS ids, CAST(1 AS BIGINT) AS first_id,
+       count(*) AS last_id FROM quiet""",
+)
+def _(spark, sf_dir):
+    # Batches before and after the stream write to the same table.
+    events = demo.history(spark, sf_dir)
+    parts = [events.where(F.col("id") % 3 == k).select(*EVENT.names) for k in range(3)]
+    folder, path = staging_path(spark, "arrivals"), staging_path(spark, "stream")
+    parts[1].write.json(folder)
+    merge.append_events(parts[0], path, _RULES)
+    stream = intake.read_event_stream(spark, folder)
+    intake.start_intake(stream, path, f"{path}-state", rules=_RULES).awaitTermination()
+    merge.append_events(parts[2], path, _RULES)
+    return tables.scan_history(spark, path).agg(
+        F.count("*").alias("rows"),
+        F.countDistinct("id").alias("ids"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+    )
 
 
 @_query(
@@ -1139,7 +1162,23 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     events, path = _arrivals(spark, sf_dir, 2)
     intake.start_merge(events, path, f"{path}-state", rules=_RULES).awaitTermination()
-    return spark.read.parquet(path).drop("day")
+    return tables.scan_history(spark, path).drop("id", "day")
+
+
+@_query(
+    "m2_stream_merge_ids",
+    """SELECT count(*) AS rows, count(*) AS ids, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id
+       FROM (SELECT DISTINCT row_hash FROM quiet)""",
+)
+def _(spark, sf_dir):
+    events, path = _arrivals(spark, sf_dir, 2)
+    intake.start_merge(events, path, f"{path}-state", rules=_RULES).awaitTermination()
+    return tables.scan_history(spark, path).agg(
+        F.count("*").alias("rows"),
+        F.countDistinct("id").alias("ids"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+    )
 
 
 # The training-data operators and their pipeline are there or not as a whole.

@@ -8,7 +8,7 @@ from cmdlog_spark.functions.staging import stage
 from cmdlog_spark.functions.times import day_of
 from cmdlog_spark.operators.noise import NoiseRules, drop_noise
 from cmdlog_spark.operators.numbering import assign_ids
-from cmdlog_spark.schema import HISTORY
+from cmdlog_spark.schema import HISTORY, STORED
 from cmdlog_spark.sources.shell_files import assign_synthetic_epoch
 from cmdlog_spark.sources.tables import table_so_far
 
@@ -34,7 +34,7 @@ def write_events(df: DataFrame, path: str) -> None:
 
 def last_id(table: DataFrame | None) -> int:
     """Largest id of a table, 0 for an empty or missing one."""
-    if table is None or "id" not in table.columns:
+    if table is None:
         return 0
     return table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()["id"]
 
@@ -57,7 +57,7 @@ def append_events(
     """
     kept = df if no_filter else drop_noise(df, rules)
     if "id" not in kept.columns:
-        kept = with_new_ids(kept, last_id(table_so_far(df.sparkSession, path)))
+        kept = with_new_ids(kept, last_id(table_so_far(df.sparkSession, path, STORED)))
     write_events(with_derived(kept), path)
 
 
@@ -205,7 +205,7 @@ def number_new_rows(new_rows: DataFrame, start: int) -> DataFrame:
 
 def insert_new_rows(spark: SparkSession, path: str, new_rows: DataFrame) -> None:
     """Number the new rows after the largest id at ``path`` and append them."""
-    numbered = number_new_rows(new_rows, last_id(table_so_far(spark, path)))
+    numbered = number_new_rows(new_rows, last_id(table_so_far(spark, path, STORED)))
     write_events(numbered.withColumn("day", day_of(F.col("epoch"))), path)
 
 

@@ -14,6 +14,15 @@ HISTORY = T.StructType(
     ]
 )
 
+#: The event table as it is stored; ``day`` partitions it.
+STORED = T.StructType(
+    [
+        *HISTORY.fields,
+        T.StructField("row_hash", T.StringType()),
+        T.StructField("day", T.DateType()),
+    ]
+)
+
 #: One logged event before the table has given it an id.
 EVENT = T.StructType([f for f in HISTORY if f.name != "id"])
 

@@ -11,8 +11,8 @@ from cmdlog_spark.schema import HISTORY, TEMPLATE
 def scan_history(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The event table at ``path``, with ``day`` and ``row_hash`` where stored.
 
-    A table without them reads with the seven plain columns; a query scans only
-    the columns it names.
+    The seven plain columns are always there, null where the files lack them; a
+    query scans only the columns it names.
     """
     if fmt != "parquet":
         return spark.read.schema(HISTORY).format(fmt).load(path)
@@ -22,7 +22,6 @@ def scan_history(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
         fields.append(T.StructField("row_hash", T.StringType()))
     if "day" in stored:
         fields.append(T.StructField("day", T.DateType()))
-    fields = [f for f in fields if f.name in stored]
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 

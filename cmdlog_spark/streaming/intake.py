@@ -1,15 +1,30 @@
 """Events as a stream: plain intake, and intake that merges."""
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from cmdlog_spark.operators.merge import first_per_hash, unseen, with_derived, write_events
+from cmdlog_spark.operators.merge import (
+    first_per_hash,
+    last_id,
+    unseen,
+    with_derived,
+    with_new_ids,
+    write_events,
+)
 from cmdlog_spark.operators.noise import NoiseRules, drop_noise
-from cmdlog_spark.schema import EVENT
+from cmdlog_spark.schema import EVENT, STORED
 from cmdlog_spark.sources.tables import table_so_far
 
 
+#: Stream and batch that wrote a row; null in rows of batch jobs.
+BATCH = T.StructField("batch", T.StringType())
+
+
 def read_event_stream(spark: SparkSession, path: str) -> DataFrame:
     """JSON events, one per line, from files as they arrive in a folder."""
     return spark.readStream.schema(EVENT).json(path)
@@ -19,6 +34,19 @@ def prepare(events: DataFrame, rules: NoiseRules | None, no_filter: bool) -> Dat
     return with_derived(events if no_filter else drop_noise(events, rules))
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """A name kept with the checkpoint: a new checkpoint is a new stream."""
+    path = f"{checkpoint.rstrip('/')}/intake-id"
+    try:
+        return spark.read.text(path).first().value
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    name = uuid.uuid4().hex
+    spark.createDataFrame([(name,)], "value string").write.text(path)
+    return name
+
+
 def start_intake(
     events: DataFrame,
     path: str,
@@ -28,13 +56,26 @@ def start_intake(
     no_filter: bool = False,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Append arriving events to the table at ``path``; duplicates stay."""
+    """Append arriving events to the table at ``path``; duplicates stay.
+
+    Batches are written as ``append_events`` writes, so that the table holds what
+    streams and batches have added, with ids that go on. Rows carry the name of
+    their batch: one that is replayed after a failure is not written again.
+    """
+    stream = _stream_id(events.sparkSession, checkpoint)
+
+    def append_batch(batch: DataFrame, number: int) -> None:
+        spark, name = batch.sparkSession, f"{stream}:{number}"
+        marked = table_so_far(spark, path, T.StructType([*STORED.fields, BATCH]))
+        if marked is not None and marked.where(F.col("batch") == name).take(1):
+            return
+        rows = with_new_ids(batch, last_id(marked))
+        write_events(rows.select("id", *batch.columns, F.lit(name).alias("batch")), path)
+
     return (
         prepare(events, rules, no_filter)
-        .writeStream.format("parquet")
-        .partitionBy("day")
+        .writeStream.foreachBatch(append_batch)
         .option("checkpointLocation", checkpoint)
-        .option("path", path)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
@@ -50,7 +91,7 @@ def start_merge(
     window: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Append only events whose hash the table at ``path`` does not hold.
+    """Append only events whose hash the table at ``path`` does not hold, with new ids.
 
     Copies within a batch collapse in the tasks that read them; the rest meet
     the touched days of the table, which also makes a repeated batch harmless.
@@ -76,9 +117,10 @@ def start_merge(
         batch = batch.persist()
         try:
             once = first_per_hash(batch, ["epoch"])
-            target = table_so_far(batch.sparkSession, path, batch.schema)
+            target = table_so_far(batch.sparkSession, path, STORED)
             new_rows = once if target is None else unseen(once, target, days_from=batch)
-            write_events(new_rows.select(batch.columns), path)
+            numbered = with_new_ids(new_rows.select(batch.columns), last_id(target))
+            write_events(numbered.select("id", *batch.columns), path)
         finally:
             batch.unpersist()
 

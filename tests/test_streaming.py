@@ -3,7 +3,9 @@ import json
 import pytest
 
 from cmdlog_spark.functions.cells import row_hash
+from cmdlog_spark.operators import merge
 from cmdlog_spark.operators.noise import NoiseRules
+from cmdlog_spark.sources.tables import scan_history
 from cmdlog_spark.streaming import intake
 
 
@@ -32,6 +34,25 @@ def test_intake_keeps_copies_and_drops_noise(spark, tmp_path):
     assert table.where(table.row_hash != row_hash()).count() == 0
 
 
+def test_stream_and_batches_share_a_table(spark, tmp_path, make_history):
+    path = str(tmp_path / "out")
+    merge.append_events(make_history(*[{"cmd": f"b{i}", "epoch": i} for i in range(4)]).drop("id"), path)
+    drop(tmp_path / "in", "1", {"cmd": "s1", "epoch": 5}, {"cmd": "s2", "epoch": 5})
+    assert len(run(spark, tmp_path, intake.start_intake)) == 6
+    merge.append_events(make_history({"cmd": "after", "epoch": 9}).drop("id"), path)
+    assert sorted(r.id for r in scan_history(spark, path).collect()) == list(range(1, 8))
+
+
+def test_replayed_batch_is_skipped(spark, tmp_path):
+    drop(tmp_path / "in", "1", {"cmd": "a", "epoch": 5}, {"cmd": "b", "epoch": 5})
+    run(spark, tmp_path, intake.start_intake)
+    # As after a failure between the write and its commit.
+    for file in (tmp_path / "state" / "commits").glob("*0*"):
+        file.rename(tmp_path / f"lost{file.name}")
+    drop(tmp_path / "in", "2", {"cmd": "c", "epoch": 6})
+    assert run(spark, tmp_path, intake.start_intake) == [(5, "a"), (5, "b"), (6, "c")]
+
+
 @pytest.mark.parametrize("window", [None, "1 hour"])
 def test_merge_drops_copies_within_and_across_batches(spark, tmp_path, window):
     drop(tmp_path / "in", "1", {"cmd": "a", "epoch": 10**9}, {"cmd": "a", "epoch": 10**9}, {"cmd": "ls", "epoch": 6})
