@@ -150,16 +150,49 @@ def _candidates(left: DataFrame, right: DataFrame, on: Column, percent: int) ->
     return pairs.select(F.least("a_code", "b_code").alias("a"), F.greatest("a_code", "b_code").alias("b")).distinct()
 
 
+def _length_class(n: Column, percent: int) -> Column:
+    """Sets that can reach the similarity are in the same class or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent)) * 0.999999)
+
+
 def _across(placed: DataFrame, percent: int) -> DataFrame:
-    """Candidates of different components: first pairs of components, then of their members."""
-    roots = placed.select("gram", "root").distinct()
-    one = roots.select(F.col("gram").alias("o_gram"), F.col("root").alias("o_root"))
-    two = roots.select(F.col("gram").alias("t_gram"), F.col("root").alias("t_root"))
-    pairs = one.join(two, (F.col("o_gram") == F.col("t_gram")) & (F.col("o_root") < F.col("t_root")))
-    left = placed.join(pairs, (F.col("gram") == F.col("o_gram")) & (F.col("root") == F.col("o_root")))
-    left = left.select("gram", "code", "n", "at", F.col("t_root").alias("other"))
-    right = placed.select("gram", "code", "n", "at", "root")
-    on = (F.col("a_gram") == F.col("b_gram")) & (F.col("a_other") == F.col("b_root"))
+    """Candidates of different components: first pairs of components, then of their members.
+
+    Only members whose lengths are of the same or of neighbouring classes meet.
+    """
+    placed = placed.withColumn("class", _length_class(F.col("n"), percent))
+    # What the members of a component have at best bounds all their pairs.
+    best = (F.min("at").alias("at"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("rows"))
+    roots = placed.groupBy("gram", "root", "class").agg(*best)
+    one = roots.select(*(F.col(k).alias(f"o_{k}") for k in roots.columns))
+    near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
+    two = roots.withColumn("near", near)
+    two = two.select(*(F.col(k).alias(f"t_{k}") for k in two.columns))
+    most = 1 + F.least(F.col("o_high") - F.col("o_at") - 1, F.col("t_high") - F.col("t_at") - 1)
+    meet = (
+        (F.col("o_gram") == F.col("t_gram"))
+        & (F.col("o_class") == F.col("t_near"))
+        & (F.col("o_root") < F.col("t_root"))
+        & (100 * F.least("o_high", "t_high") >= percent * F.greatest("o_low", "t_low"))
+        & ((100 + percent) * most >= percent * (F.col("o_low") + F.col("t_low")))
+    )
+    # The smaller of the two is spread first, then meets the members of the larger.
+    smaller = F.col("o_rows") <= F.col("t_rows")
+    sides = {
+        f"{side}_{k}": F.when(smaller if side == "s" else ~smaller, F.col(f"o_{k}")).otherwise(F.col(f"t_{k}"))
+        for side in "sl"
+        for k in ("root", "class")
+    }
+    pairs = one.join(two, meet).select(F.col("o_gram").alias("s_gram"), *(c.alias(k) for k, c in sides.items()))
+    same = (F.col("gram") == F.col("s_gram")) & (F.col("root") == F.col("s_root"))
+    left = placed.join(pairs, same & (F.col("class") == F.col("s_class")))
+    left = left.select("gram", "code", "n", "at", F.col("l_root").alias("other"), F.col("l_class").alias("class"))
+    right = placed.select("gram", "code", "n", "at", "root", "class")
+    on = (
+        (F.col("a_gram") == F.col("b_gram"))
+        & (F.col("a_other") == F.col("b_root"))
+        & (F.col("a_class") == F.col("b_class"))
+    )
     return _candidates(left, right, on, percent)
 
 
@@ -237,6 +270,7 @@ def jaccard_links(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataF
     of near copies meets its centres, not itself. What lies in one component then need
     not be compared any more: only pairs across components are left, and they are all
     compared. So no pair is lost, and a group of n copies costs about n comparisons.
+    Two of the centres are documents that share most with others, one is any.
     """
     rows = pick(docs, doc_id="long", text="string").withColumn("key", text_key(text_or_empty()))
     spark = docs.sparkSession
@@ -256,16 +290,26 @@ def jaccard_links(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataF
     reps = stage(reps, "sets-once")
     postings = reps.select("code", "n", F.posexplode("prefix").alias("at", "gram"))
     common = postings.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    members = stage(postings.join(common, "gram"), "members")
-
-    orders = [F.xxhash64("code", F.lit(seed)) for seed in range(3)]
+    members = stage(postings.join(common, "gram").drop("df"), "members")
+
+    # Central documents are those whose rare elements others have too, as the original of
+    # edited copies: the edits are rare, so the copies' prefixes begin with their own.
+    central = members.groupBy("code").agg((-F.count("*") / F.first("n")).alias("lonely"))
+    members = members.join(central, "code")
+    half = F.pmod(F.xxhash64("code", F.lit(1)), F.lit(2))
+    orders = [
+        F.struct("lonely", F.xxhash64("code")),
+        F.struct(half.alias("half"), "lonely", F.xxhash64("code")),
+        F.struct(F.xxhash64("code", F.lit(2))),
+    ]
     centres = members.groupBy("gram").agg(
         *(F.min(F.struct(o.alias("o"), "code", "n", "at")).alias(f"c{i}") for i, o in enumerate(orders))
     )
-    centres = centres.select("gram", F.explode(F.array("c0", "c1", "c2")).alias("c"))
+    chosen = [F.struct(*(F.col(f"c{i}.{k}").alias(k) for k in ("code", "n", "at"))) for i in range(3)]
+    centres = centres.select("gram", F.explode(F.array(*chosen)).alias("c"))
     centres = centres.select("gram", "c.code", "c.n", "c.at").distinct()
     same = F.col("a_gram") == F.col("b_gram")
-    near = _candidates(members.drop("df"), centres, same, settings.percent)
+    near = _candidates(members.select("gram", "code", "n", "at"), centres, same, settings.percent)
     near = stage(_suffix_filter(near, reps, settings.percent), "near")
     codes = near.select(F.col("a").alias("code")).unionAll(near.select(F.col("b").alias("code"))).distinct()
     sets = _sets(rows, reps, codes, settings)
