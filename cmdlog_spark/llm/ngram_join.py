@@ -45,24 +45,24 @@ def _cells(codes: np.ndarray, cells: int) -> np.ndarray:
     return (codes & np.uint64(cells - 1)).astype(np.int64)
 
 
-def frequencies(docs: DataFrame, settings: Settings, cells: int) -> np.ndarray:
-    """For each cell a step of the logarithm of its shingles, over all documents.
+def frequencies(sets: DataFrame, codes_of, cells: int) -> np.ndarray:
+    """For each cell a step of the logarithm of its shingles, over all rows of ``sets``.
 
-    The table has a fixed most size, whatever the number of documents; shingles that
-    share a cell only blur the order in which prefixes are taken, not the result.
+    ``codes_of`` gives the shingles of a batch. The table has a fixed most size, whatever
+    the number of documents; shingles that share a cell only blur the order in which
+    prefixes are taken, not the result.
     """
 
     def count(batches):
         total = np.zeros(cells, np.int64)
         for batch in slices(batches):
-            codes, _ = shingle_sets(batch["text"].fillna("").tolist(), settings.size)
-            total += np.bincount(_cells(codes, cells), minlength=cells)
+            total += np.bincount(_cells(codes_of(batch), cells), minlength=cells)
         some = np.flatnonzero(total)
         for start in range(0, len(some), 100_000):
             part = some[start : start + 100_000]
             yield pd.DataFrame({"cell": part.astype(np.int32), "n": total[part]})
 
-    counted = docs.select("text").mapInPandas(count, "cell int, n long")
+    counted = sets.mapInPandas(count, "cell int, n long")
     # Steps of 1/8 of a doubling, one byte each.
     step = F.least(F.floor(F.log2("n") * 8), F.lit(255)).cast("int")
     summed = counted.groupBy("cell").agg(F.sum("n").alias("n"))
@@ -80,6 +80,19 @@ def frequencies(docs: DataFrame, settings: Settings, cells: int) -> np.ndarray:
     return table
 
 
+def enough_cells(shingles: float) -> int:
+    cells = LEAST_CELLS
+    while cells < MOST_CELLS and cells * SHINGLES_PER_CELL < shingles:
+        cells *= 2
+    return cells
+
+
+def rare_first(codes: np.ndarray, table: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of an ascending set: its rarest shingles, ties in order of codes."""
+    order = np.argsort(table[_cells(codes, len(table))], kind="stable")
+    return codes[order[: int(prefix_length(np.int64(len(codes)), percent))]]
+
+
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     """Two sets that reach the similarity share one of their first so many elements."""
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
@@ -275,10 +288,12 @@ def jaccard_links(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataF
     rows = pick(docs, doc_id="long", text="string").withColumn("key", text_key(text_or_empty()))
     spark = docs.sparkSession
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    cells = LEAST_CELLS
-    while cells < MOST_CELLS and cells * SHINGLES_PER_CELL < chars / 7:
-        cells *= 2
-    shared = spark.sparkContext.broadcast(frequencies(rows, settings, cells))
+
+    def codes_of(batch: pd.DataFrame) -> np.ndarray:
+        return shingle_sets(batch["text"].fillna("").tolist(), settings.size)[0]
+
+    table = frequencies(rows.select("text"), codes_of, enough_cells(chars / 7))
+    shared = spark.sparkContext.broadcast(table)
     signed = signatures(rows, settings, shared)
     # Equal sets are one from here on.
     reps = signed.filter("n_shingles > 0").groupBy("code").agg(

@@ -165,12 +165,11 @@ def paragraphs(rows: DataFrame, settings: Settings) -> DataFrame:
                         "code": np.concatenate([code, block_code]).view(np.int64),
                         "start": np.concatenate([g.start[first], g.start[block]]),
                         "end": np.concatenate([g.end[first + count - 1], g.end[last]]),
-                        "n": np.concatenate([count - settings.size + 1, np.zeros(len(block), np.int64)]),
                         "bands": [*keys, *[None] * len(block)],
                     }
                 )
 
-    schema = "doc_id long, code long, start long, end long, n long, bands array<long>"
+    schema = "doc_id long, code long, start long, end long, bands array<long>"
     return stage(rows.mapInPandas(find, schema), "paragraphs")
 
 
@@ -182,11 +181,12 @@ def _line_sets(rows: DataFrame, wanted: DataFrame, settings: Settings) -> DataFr
 
     def build(batches):
         for batch in slices(batches):
+            wanted_codes = [set(codes) for codes in batch["codes"]]
             for g in groups(batch["text"].fillna("").tolist()):
                 first, count, code = g.lines(settings.least_words)
                 signed, found, sets = code.view(np.int64), [], []
                 for i, text in enumerate(g.words.text[first]):
-                    if signed[i] in batch["codes"].iloc[text]:
+                    if signed[i] in wanted_codes[text]:
                         shingles, _ = g.shingles(first[i : i + 1], count[i : i + 1], settings.size)
                         found.append(signed[i])
                         sets.append(np.unique(shingles).tobytes())
@@ -196,39 +196,79 @@ def _line_sets(rows: DataFrame, wanted: DataFrame, settings: Settings) -> DataFr
     return stage(built.groupBy("code").agg(F.first("shingles").alias("shingles")), "line-sets")
 
 
+def _prefixes(sets: DataFrame, settings: Settings) -> DataFrame:
+    """Rows code, n, at, element: the rare shingles of each set, of which similar sets share one."""
+
+    def codes_of(batch: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(batch["shingles"]), np.uint64)
+
+    total = sets.agg(F.coalesce(F.sum(F.length("shingles")), F.lit(0)).alias("n")).first().n / 8
+    table = ngram_join.frequencies(sets.select("shingles"), codes_of, ngram_join.enough_cells(total))
+    shared = sets.sparkSession.sparkContext.broadcast(table)
+
+    def take(batches):
+        for batch in slices(batches):
+            own = [np.frombuffer(x, np.uint64) for x in batch["shingles"]]
+            rare = [ngram_join.rare_first(x, shared.value, settings.percent) for x in own]
+            count = np.array([len(x) for x in rare], np.int64)
+            yield pd.DataFrame(
+                {
+                    "code": np.repeat(batch["code"].to_numpy(), count),
+                    "n": np.repeat(np.array([len(x) for x in own], np.int64), count),
+                    "at": ragged(np.zeros(len(count), np.int64), count).astype(np.int32),
+                    "element": np.concatenate([np.zeros(0, np.uint64), *rare]).view(np.int64),
+                }
+            )
+
+    return sets.select("code", "shingles").mapInPandas(take, "code long, n long, at int, element long")
+
+
+def _of_several(placed: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in more than one component."""
+    open_ = placed.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return placed.join(open_.filter("low < high").select(key), key, "left_semi")
+
+
 def similar_lines(rows: DataFrame, lines: DataFrame, settings: Settings) -> DataFrame:
     """Links between codes of different lines that collide in a band and are similar.
 
-    As in the n-gram join, a bucket meets one of its lines first, and only what is not
-    connected then is compared pair by pair.
+    As in the n-gram join, a bucket meets two of its lines first: the one that shares
+    most buckets with others, and any. Only what is not connected then is compared
+    pair by pair. A bucket may still hold many lines that are edits of one but not
+    similar: there the lines meet that also share one of their rare shingles, as every
+    similar pair does, so no pair that collides is lost.
     """
-    reps = lines.groupBy("code").agg(
-        F.min("doc_id").alias("w_id"), F.first("n").alias("n"), F.first("bands").alias("bands")
-    )
+    reps = lines.groupBy("code").agg(F.min("doc_id").alias("w_id"), F.first("bands").alias("bands"))
     reps = stage(reps, "lines-once")
-    buckets = reps.select("code", "n", F.explode("bands").alias("gram"), F.lit(0).alias("at"))
-    shared = buckets.groupBy("gram").agg(F.count("*").alias("df"), F.min(F.struct("code", "n", "at")).alias("c"))
-    shared = shared.filter("df > 1")
+    buckets = reps.select("code", F.explode("bands").alias("gram"))
+    shared = buckets.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
     members = stage(buckets.join(shared.select("gram"), "gram"), "buckets")
-    centres = shared.select("gram", "c.code", "c.n", "c.at")
-    same = F.col("a_gram") == F.col("b_gram")
-    # Distinct shingles are at most the runs counted in n: the length filter stays safe
-    # on n only for lines without repeated runs, so lengths are not filtered here.
-    free = members.withColumn("n", F.lit(1000))
-    near = ngram_join._candidates(free, centres.withColumn("n", F.lit(1000)), same, settings.percent)
+    central = members.groupBy("code").agg((-F.count("*")).alias("lonely"))
+    orders = (F.struct("lonely", F.xxhash64("code"), "code"), F.struct(F.xxhash64("code", F.lit(1)), "code"))
+    centres = members.join(central, "code").groupBy("gram").agg(
+        F.array(*(F.min(o).getField("code") for o in orders)).alias("codes")
+    )
+    centres = centres.select("gram", F.explode("codes").alias("b"))
+    pairs = members.join(centres, "gram").filter("code <> b")
+    near = pairs.select(F.least("code", "b").alias("a"), F.greatest("code", "b").alias("b")).distinct()
     near = stage(near, "line-pairs")
     sets = _line_sets(rows, _ends(near, reps), settings)
     links = stage(ngram_join._verify(near, sets, settings.percent), "line-links")
     found = components(links)
-    placed = free.join(found, F.col("code") == F.col("node"), "left").select(
-        "gram", "code", "n", "at", F.coalesce("root", "code").alias("root")
-    )
-    open_ = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    placed = stage(placed.join(open_.filter("low < high").select("gram"), "gram", "left_semi"), "line-open")
+    placed = members.join(found, F.col("code") == F.col("node"), "left")
+    placed = placed.select("gram", "code", F.coalesce("root", "code").alias("root"))
+    placed = stage(_of_several(placed, "gram"), "line-open")
+    codes = placed.select("code", "root").distinct()
+    more = _line_sets(rows, reps.join(codes, "code", "left_semi").join(sets, "code", "left_anti"), settings)
+    sets = sets.unionAll(more)
+    elements = _prefixes(stage(sets.join(codes, "code", "left_semi"), "open-sets"), settings)
+    elements = stage(_of_several(elements.join(codes, "code"), "element").drop("root"), "line-elements")
+    placed = placed.join(elements, "code")
+    placed = placed.withColumn("gram", F.xxhash64("gram", "element")).select("gram", "code", "n", "at", "root")
+    placed = stage(_of_several(placed, "gram"), "line-rare")
     rest = ngram_join._across(placed, settings.percent).join(near, ["a", "b"], "left_anti")
     rest = stage(rest, "line-rest")
-    more = _line_sets(rows, _ends(rest, reps).join(sets, "code", "left_anti"), settings)
-    late = stage(ngram_join._verify(rest, sets.unionAll(more), settings.percent), "line-rest-links")
+    late = stage(ngram_join._verify(rest, sets, settings.percent), "line-rest-links")
     return links.unionAll(late)
 
 

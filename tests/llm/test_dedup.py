@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 from cmdlog_spark.llm import exact_dedup, ngram_join, paragraph_dedup
+from cmdlog_spark.llm.common import pick
 from cmdlog_spark.llm.components import components
 from cmdlog_spark.llm.cuckoo import CuckooIndex
 
@@ -158,3 +159,31 @@ def test_blocks_hit_every_long_passage():
                 for code in set(group.blocks(settings)[1].tolist()):
                     codes[code] += 1
         assert max(codes.values()) == 2
+
+
+def test_edits_of_one_line_link_as_brute_force_says(make_docs):
+    rng = random.Random(11)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for _ in range(60):
+        far = list(base)
+        for at in rng.sample(range(60), 3):  # like the others of the bucket, but not similar to them
+            far[at] = f"e{rng.randrange(10**6)}"
+        for _ in range(rng.randrange(1, 4)):
+            close = list(far)
+            close[rng.randrange(60)] += "x"
+            rows.append((len(rows), " ".join(close)))
+    docs = pick(make_docs(*rows), doc_id="long", text="string")
+    settings = paragraph_dedup.Settings()
+    lines = paragraph_dedup.paragraphs(docs, settings).filter("bands IS NOT NULL")
+    links = paragraph_dedup.similar_lines(docs, lines, settings)
+    code_of = {r.doc_id: r.code for r in lines.collect()}
+    roots = {r.node: r.root for r in components(links).collect()}
+    got = defaultdict(set)
+    for i, code in code_of.items():
+        got[roots.get(code, code)].add(i)
+    want = defaultdict(set)
+    for i, (_, component) in brute_components(rows, 5, 80).items():
+        want[component].add(i)
+    assert len(want) > 20
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
