@@ -232,11 +232,11 @@ def _of_several(placed: DataFrame, key: str) -> DataFrame:
 def similar_lines(rows: DataFrame, lines: DataFrame, settings: Settings) -> DataFrame:
     """Links between codes of different lines that collide in a band and are similar.
 
-    As in the n-gram join, a bucket meets two of its lines first: the one that shares
-    most buckets with others, and any. Only what is not connected then is compared
-    pair by pair. A bucket may still hold many lines that are edits of one but not
-    similar: there the lines meet that also share one of their rare shingles, as every
-    similar pair does, so no pair that collides is lost.
+    A line first meets one other: among those that lead its buckets, the one with most
+    buckets that others share. Only buckets whose lines are not all connected then are
+    left. They may hold many lines that are edits of one but not similar, so there the
+    lines meet that also share one of their rare shingles, as every similar pair does:
+    no similar pair that collides is lost.
     """
     reps = lines.groupBy("code").agg(F.min("doc_id").alias("w_id"), F.first("bands").alias("bands"))
     reps = stage(reps, "lines-once")
@@ -244,12 +244,12 @@ def similar_lines(rows: DataFrame, lines: DataFrame, settings: Settings) -> Data
     shared = buckets.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
     members = stage(buckets.join(shared.select("gram"), "gram"), "buckets")
     central = members.groupBy("code").agg((-F.count("*")).alias("lonely"))
-    orders = (F.struct("lonely", F.xxhash64("code"), "code"), F.struct(F.xxhash64("code", F.lit(1)), "code"))
-    centres = members.join(central, "code").groupBy("gram").agg(
-        F.array(*(F.min(o).getField("code") for o in orders)).alias("codes")
-    )
-    centres = centres.select("gram", F.explode("codes").alias("b"))
-    pairs = members.join(centres, "gram").filter("code <> b")
+    by_rank = F.struct("lonely", F.xxhash64("code"), "code")
+    ranked = members.join(central, "code")
+    centres = ranked.groupBy("gram").agg(F.min(by_rank).alias("c"))
+    # Of the centres of its buckets, a line is compared with the first in rank.
+    pairs = members.join(centres, "gram").groupBy("code").agg(F.min("c").getField("code").alias("b"))
+    pairs = pairs.filter("code <> b")
     near = pairs.select(F.least("code", "b").alias("a"), F.greatest("code", "b").alias("b")).distinct()
     near = stage(near, "line-pairs")
     sets = _line_sets(rows, _ends(near, reps), settings)
