@@ -138,20 +138,18 @@ def _zsh_oracle(line_table: str) -> str:
         FROM (SELECT file, pos, rtrim(line) AS t FROM lines WHERE rtrim(line) <> ''))"""
 
 
-_BASH = _bash_oracle(demo.lines_sql(demo.BASH_LINE))
-# Zsh lines are single lines too, as a file reader would give them.
-_ZSH_LINE = demo.ZSH_LINE.replace("|| text", "|| replace(text, chr(10), ' ')")
-_ZSH = _zsh_oracle(demo.lines_sql(_ZSH_LINE))
+_BASH = _bash_oracle(demo.lines_sql(demo.BASH_LINES))
+_ZSH = _zsh_oracle(demo.lines_sql(demo.ZSH_LINES))
 _ENTRIES = "SELECT file, epoch, cmd FROM entries"
 
 
 def _bash_entries(spark, sf_dir) -> DataFrame:
-    lines = shell_files.with_parts(demo.lines(spark, sf_dir, demo.BASH_LINE))
+    lines = shell_files.with_parts(demo.lines(spark, sf_dir, demo.BASH_LINES))
     return shell_files.parse_bash_lines(lines)
 
 
 def _zsh_entries(spark, sf_dir) -> DataFrame:
-    lines = shell_files.with_parts(demo.lines(spark, sf_dir, _ZSH_LINE))
+    lines = shell_files.with_parts(demo.lines(spark, sf_dir, demo.ZSH_LINES))
     return shell_files.parse_zsh_lines(lines)
 
 
@@ -165,10 +163,10 @@ def _(spark, sf_dir):
     return _zsh_entries(spark, sf_dir).select("file", "epoch", "cmd")
 
 
-def _written_files(spark, sf_dir, line: str) -> str:
+def _written_files(spark, sf_dir, parts: tuple[str, ...]) -> str:
     """The lines as real text files, one folder per group of conversations."""
     path = staging_path(spark, "shell-files")
-    lines = demo.lines(spark, sf_dir, line)
+    lines = demo.lines(spark, sf_dir, parts)
     grouped = lines.withColumn("book", times.floor_div(F.col("file"), 64))
     (
         grouped.repartition("book")
@@ -180,10 +178,10 @@ def _written_files(spark, sf_dir, line: str) -> str:
     return path
 
 
-def _books(line: str) -> str:
+def _books(parts: tuple[str, ...]) -> str:
     """The same files for the oracle: lines of a group follow each other."""
     return f"""SELECT file // 64 AS file, file * 1000 + pos AS pos, line
-        FROM ({demo.lines_sql(line)})"""
+        FROM ({demo.lines_sql(parts)})"""
 
 
 def _book_entries(entries: DataFrame) -> DataFrame:
@@ -191,15 +189,15 @@ def _book_entries(entries: DataFrame) -> DataFrame:
     return entries.select(book.alias("file"), "epoch", "cmd")
 
 
-@_query("a2_bash_files", f"WITH {_bash_oracle(_books(demo.BASH_LINE))} {_ENTRIES}")
+@_query("a2_bash_files", f"WITH {_bash_oracle(_books(demo.BASH_LINES))} {_ENTRIES}")
 def _(spark, sf_dir):
-    path = _written_files(spark, sf_dir, demo.BASH_LINE)
+    path = _written_files(spark, sf_dir, demo.BASH_LINES)
     return _book_entries(shell_files.read_bash_history(spark, path))
 
 
-@_query("a3_zsh_files", f"WITH {_zsh_oracle(_books(_ZSH_LINE))} {_ENTRIES}")
+@_query("a3_zsh_files", f"WITH {_zsh_oracle(_books(demo.ZSH_LINES))} {_ENTRIES}")
 def _(spark, sf_dir):
-    path = _written_files(spark, sf_dir, _ZSH_LINE)
+    path = _written_files(spark, sf_dir, demo.ZSH_LINES)
     return _book_entries(shell_files.read_zsh_history(spark, path))
 
 
@@ -360,20 +358,18 @@ def _(h):
 
 
 def _merge_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Target: two rows in three. Sources: the even rows, then the same again
-    with every tenth row damaged."""
+    """Target: two rows in three. Sources: all rows, then the same again with
+    every tenth row damaged."""
     h = demo.history(spark, sf_dir)
-    even = h.where(F.col("id") % 2 == 0)
     damaged = F.when(F.col("id") % 10 == 0, "x y z").otherwise(F.col("epoch_txt"))
-    second = demo.raw(even, "second", 1).withColumns(
+    second = demo.raw(h, "second", 1).withColumns(
         {"epoch_txt": damaged, "epoch_type": F.lit("text")}
     )
-    return h.where(F.col("id") % 3 != 0), demo.raw(even, "first", 0).unionByName(second)
+    return h.where(F.col("id") % 3 != 0), demo.raw(h, "first", 0).unionByName(second)
 
 
-_MERGED = """WITH even AS (SELECT * FROM hashed WHERE id % 2 = 0),
-    target AS (SELECT row_hash FROM hashed WHERE id % 3 <> 0),
-    fresh AS (SELECT * FROM even WHERE row_hash NOT IN (SELECT row_hash FROM target)
+_MERGED = """WITH target AS (SELECT row_hash FROM hashed WHERE id % 3 <> 0),
+    fresh AS (SELECT * FROM hashed WHERE row_hash NOT IN (SELECT row_hash FROM target)
         QUALIFY row_number() OVER (PARTITION BY row_hash ORDER BY id) = 1)"""
 
 
@@ -389,10 +385,10 @@ def _(spark, sf_dir):
 @_query(
     "c4_import_stats",
     f"""{_MERGED},
-    per AS (SELECT 'first' AS src, (SELECT count(*) FROM even) AS considered,
+    per AS (SELECT 'first' AS src, (SELECT count(*) FROM hashed) AS considered,
             (SELECT count(*) FROM fresh) AS inserted, 0 AS skipped_bad
-        UNION ALL SELECT 'second', (SELECT count(*) FROM even), 0,
-            (SELECT count(*) FROM even WHERE id % 10 = 0))
+        UNION ALL SELECT 'second', (SELECT count(*) FROM hashed), 0,
+            (SELECT count(*) FROM hashed WHERE id % 10 = 0))
     SELECT src, considered, inserted, CAST(skipped_bad AS BIGINT) AS skipped_bad FROM per
     UNION ALL SELECT 'total', CAST(sum(considered) AS BIGINT), CAST(sum(inserted) AS BIGINT),
         CAST(sum(skipped_bad) AS BIGINT) FROM per""",
@@ -826,22 +822,21 @@ def _(h):
 
 
 def _incoming(h: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows = h.where(F.col("id") % 2 == 0).withColumn("row_hash", row_hash())
-    return rows, h.where(F.col("id") % 3 != 0)
+    return h.withColumn("row_hash", row_hash()), h.where(F.col("id") % 3 != 0)
 
 
-_EVEN = "SELECT id, row_hash FROM hashed WHERE id % 2 = 0 AND row_hash"
+_INCOMING = "SELECT id, row_hash FROM hashed WHERE row_hash"
 
 
 @_history_query(
-    "h5_unseen_hashes", f"{_EVEN} NOT IN (SELECT row_hash FROM hashed WHERE id % 3 <> 0)"
+    "h5_unseen_hashes", f"{_INCOMING} NOT IN (SELECT row_hash FROM hashed WHERE id % 3 <> 0)"
 )
 def _(h):
     return merge.unseen(*_incoming(h)).select("id", "row_hash")
 
 
 @_history_query(
-    "h6_present_hashes", f"{_EVEN} IN (SELECT row_hash FROM hashed WHERE id % 3 <> 0)"
+    "h6_present_hashes", f"{_INCOMING} IN (SELECT row_hash FROM hashed WHERE id % 3 <> 0)"
 )
 def _(h):
     return merge.already_present(*_incoming(h)).select("id", "row_hash")
@@ -1056,7 +1051,8 @@ def _(spark, sf_dir):
     "k5_list_templates",
     f"""SELECT 't' || p_partkey AS id, CASE WHEN p_size = 1 THEN '' ELSE p_name END AS name,
         CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'No description' END AS description,
-        p_type AS category, CAST({_CATALOG_SIZE} AS BIGINT) AS variables FROM part""",
+        p_type AS category, CAST({_CATALOG_SIZE} AS BIGINT) AS variables
+    FROM part WHERE p_size <> 1 AND p_partkey % 10 NOT IN (1, 2, 3)""",
 )
 def _(spark, sf_dir):
     return templates.list_templates(demo.templates(spark, sf_dir))

@@ -77,24 +77,25 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.selectExpr(*HISTORY_COLUMNS)
 
 
-def _line(stamped: str) -> str:
-    return f"""CASE WHEN role = 'user' THEN {stamped}
-        ELSE replace(text, chr(10), ' ') END AS line"""
-
-
 _SECONDS = "CAST(1700000000 + conv_id*100 + turn AS VARCHAR(20))"
-BASH_LINE = _line(f"'#' || {_SECONDS}")
-ZSH_LINE = _line(f"': ' || {_SECONDS} || ':0;' || text")
+_TEXT = "replace(text, chr(10), ' ')"
+#: The lines of one turn: in bash files a user's text follows its time stamp.
+BASH_LINES = (f"CASE WHEN role = 'user' THEN '#' || {_SECONDS} END", _TEXT)
+ZSH_LINES = (f"CASE WHEN role = 'user' THEN ': ' || {_SECONDS} || ':0;' || {_TEXT} ELSE {_TEXT} END",)
 
 
-def lines_sql(line: str) -> str:
-    return f"SELECT conv_id AS file, turn AS pos, {line} FROM conversations"
+def lines_sql(parts: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT conv_id AS file, turn * 2 + {n} AS pos, {part} AS line FROM conversations WHERE {part} IS NOT NULL"
+        for n, part in enumerate(parts)
+    )
 
 
-def lines(spark: SparkSession, sf_dir: str, line: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, parts: tuple[str, ...]) -> DataFrame:
     """``conversations`` as the lines of one history file per conversation."""
     table = read_table(spark, sf_dir, "conversations")
-    return table.selectExpr("conv_id AS file", "turn AS pos", line)
+    each = table.selectExpr("conv_id AS file", "turn", f"posexplode(array({', '.join(parts)})) AS (n, line)")
+    return each.where("line IS NOT NULL").selectExpr("file", "turn * 2 + n AS pos", "line")
 
 
 # Loose cells: ids of every shape in hist_id, and every shape of text in epoch

@@ -11,6 +11,10 @@ from cmdlog_spark.functions.times import floor_div
 from cmdlog_spark.schema import CHUNK
 
 
+#: Pieces of the rows that have no number yet.
+NULL_CHUNKS = 1 << 16
+
+
 def rows_before(
     df: DataFrame, group: list[str], chunk: list[str], counted: Column | None = None
 ) -> DataFrame:
@@ -40,15 +44,21 @@ def assign_ids(
     """Replace ``id`` by ids that go on from ``start`` in (source, id) order.
 
     ``chunk`` names columns that cut the order into pieces; without it pieces
-    are runs of :data:`CHUNK` old ids of one source.
+    are runs of :data:`CHUNK` old ids of one source. Rows without an old id come
+    first, in pieces by the hash of their fields. Null sources are one source.
     """
     if chunk is None:
-        df = df.withColumn("chunk", floor_div(F.col("id"), CHUNK))
+        unnumbered = -1 - F.pmod(F.xxhash64(*[c for c in df.columns if c != "id"]), F.lit(NULL_CHUNKS))
+        df = df.withColumn("chunk", F.coalesce(floor_div(F.col("id"), CHUNK), unnumbered))
         chunk = ["src_ord", "chunk"]
     order = order or ["id"]
     offsets = rows_before(df, [], chunk).drop("total")
     inside = F.row_number().over(Window.partitionBy(*chunk).orderBy(*order))
-    numbered = df.withColumn("n", inside).join(offsets, chunk)
+    offsets = offsets.withColumnsRenamed({c: f"at_{c}" for c in chunk})
+    same = F.lit(True)
+    for name in chunk:
+        same = same & F.col(name).eqNullSafe(F.col(f"at_{name}"))
+    numbered = df.withColumn("n", inside).join(offsets, same)
     return numbered.withColumn("id", F.lit(start) + F.col("before") + F.col("n")).drop(
-        "n", "before", "chunk"
+        "n", "before", "chunk", *[f"at_{c}" for c in chunk]
     )

@@ -51,7 +51,8 @@ def validate_templates(catalog: DataFrame) -> DataFrame:
 
 
 def list_templates(catalog: DataFrame) -> DataFrame:
-    return catalog.select(
+    """The templates that have no problem."""
+    return catalog.where(F.size(template_problems()) == 0).select(
         "id",
         "name",
         F.coalesce("description", F.lit("No description")).alias("description"),

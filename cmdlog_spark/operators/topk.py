@@ -37,27 +37,33 @@ def oldest_first(df: DataFrame, limit: int | None = 100, offset: int = 0) -> Dat
     start = key_at(df, offset)
     if start is None:
         return df.limit(0)
-    after = (F.col("epoch") > start["epoch"]) | (
-        (F.col("epoch") == start["epoch"]) & (F.col("id") >= start["id"])
-    )
-    return top(df.where(after), ["epoch", "id"], limit)
+    return top(df.where(_from(start)), ["epoch", "id"], limit)
+
+
+def _from(start: Row) -> Column:
+    """Rows at or after a key; nulls come first, as in the order."""
+    later = F.col("epoch").isNotNull() if start["epoch"] is None else F.col("epoch") > start["epoch"]
+    same = F.col("epoch").isNull() if start["epoch"] is None else F.col("epoch") == start["epoch"]
+    return later | (same if start["id"] is None else same & (F.col("id") >= start["id"]))
+
+
+def _run(name: str, length: int, number: int | None) -> Column:
+    """The rows of one run of ``length`` values, as a range that a scan can skip by."""
+    if number is None:
+        return F.col(name).isNull()
+    return F.col(name).between(number * length, number * length + length - 1)
 
 
 def key_at(df: DataFrame, position: int) -> Row | None:
-    """Key of the row with ``position`` rows before it in (epoch, id) order.
+    """Key of the row with ``position`` rows before it in (epoch, id) order, nulls first.
 
     Each step counts the rows of finer pieces inside the piece found so far:
     days, seconds, runs of ids, ids. One row reaches the driver per step.
     """
     keys = df.select("epoch", "id")
-    steps: list[Column] = [
-        floor_div(F.col("epoch"), DAY_SECONDS),
-        F.col("epoch"),
-        floor_div(F.col("id"), CHUNK),
-        F.col("id"),
-    ]
     left = position
-    for piece in steps:
+    for name, length in (("epoch", DAY_SECONDS), ("epoch", 1), ("id", CHUNK), ("id", 1)):
+        piece = floor_div(F.col(name), length)
         counts = keys.groupBy(piece.alias("piece")).agg(F.count("*").alias("n"))
         running = F.sum("n").over(
             Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -72,7 +78,7 @@ def key_at(df: DataFrame, position: int) -> Row | None:
         if found is None:
             return None
         left -= found["upto"] - found["n"]
-        keys = keys.where(piece == found["piece"])
+        keys = keys.where(_run(name, length, found["piece"]))
     return keys.first()
 
 

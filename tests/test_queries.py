@@ -68,6 +68,18 @@ def test_pages(make_history, monkeypatch, limit, offset, heap):
     assert got == (ids[offset:] if limit is None else ids[offset : offset + limit])
 
 
+@pytest.mark.parametrize("heap", [0, 10**6])
+def test_pages_with_null_keys(make_history, monkeypatch, heap):
+    monkeypatch.setattr(topk, "HEAP_ROWS", heap)
+    keys = [(e, i) for i, e in enumerate([5, None, 7, None, -3, 5, None, 90_000, None, 7], 1)]
+    df = make_history(*[{"cmd": "c", "epoch": e, "id": i} for e, i in [*keys, (5, None)]])
+    order = [i for _, i in sorted(((e is not None, e or 0, i or 0), i) for e, i in [*keys, (5, None)])]
+    for offset in range(12):
+        for limit in (None, 3):
+            got = [r.id for r in topk.oldest_first(df, limit, offset).collect()]
+            assert got == (order[offset:] if limit is None else order[offset : offset + limit])
+
+
 def test_key_at_with_small_chunks(make_history, monkeypatch):
     monkeypatch.setattr(topk, "CHUNK", 4)
     df, ids = pages(make_history)
