@@ -23,9 +23,9 @@ NEWLINE = 10
 class Settings:
     """A pair at the least similarity shares a band with 1 - (1 - 0.8^3)^9 = 99.8 %.
 
-    least_words: paragraphs with fewer are no passages. Paragraphs also hold blocks of
-    ``block`` words; of ``spacing`` blocks in a row at least one is compared, so that a
-    passage of block + spacing - 1 words is found inside any paragraph.
+    least_words: paragraphs with fewer are no passages. Documents also hold blocks of
+    ``block`` words, across their lines; of ``spacing`` blocks in a row at least one is
+    compared, so that a passage of block + spacing - 1 words is found anywhere.
     """
 
     size: int = 5
@@ -54,9 +54,13 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Group:
-    """Words, lines and blocks of some texts, in code points of their texts."""
+    """Words, lines and blocks of some texts, in code points of their texts.
 
-    def __init__(self, group: list[tuple[int, bytes]], passed: dict[int, int]):
+    ``last`` is the group before: if it ends within the first text of this one, its last
+    ``carry`` words go before the own words in ``text``, ``hash_``, ``from_`` and ``to``.
+    """
+
+    def __init__(self, group: list[tuple[int, bytes]], passed: dict[int, int], last: Group | None = None, carry: int = 0):
         buffer, owners = join_pieces([(n, piece.translate(LOWER)) for n, piece in group])
         array = np.frombuffer(buffer, np.uint8)
         blank = BLANKS[array]
@@ -81,8 +85,23 @@ class Group:
         new[1:] = (line[1:] != line[:-1]) | (piece[1:] != piece[:-1])
         self.line_first = np.flatnonzero(new)
         self.line_words = np.diff(np.append(self.line_first, len(line)))
-        self.left = np.repeat(self.line_first + self.line_words, self.line_words) - np.arange(len(line))
-        self.power, self.inverse = _powers(len(line) + 1)
+        left = np.repeat(self.line_first + self.line_words, self.line_words) - np.arange(len(line))
+        none = np.zeros(0, np.int64)
+        before = last.tail(group[0][0], carry) if last else (none, none.astype(np.uint64), none, none, none.astype(bool))
+        self.text = np.concatenate([before[0], self.words.text])
+        self.hash_ = np.concatenate([before[1], self.hash])
+        self.from_ = np.concatenate([before[2], self.start])
+        self.to = np.concatenate([before[3], self.end])
+        self.taken = np.concatenate([before[4], np.zeros(len(line), bool)])
+        # Words left in the line and in the text.
+        self.in_line = np.concatenate([np.zeros(len(before[0]), np.int64), left])
+        self.in_text = np.searchsorted(self.text, self.text, side="right") - np.arange(len(self.text))
+        self.power, self.inverse = _powers(len(self.text) + 1)
+
+    def tail(self, n: int, carry: int) -> tuple[np.ndarray, ...]:
+        """The last words of this group, as far as they are of text ``n``."""
+        first = max(len(self.text) - carry, int(np.searchsorted(self.text, n)))
+        return tuple(x[first:] for x in (self.text, self.hash_, self.from_, self.to, self.taken))
 
     def lines(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, number of words and code of the lines with enough words."""
@@ -98,36 +117,49 @@ class Group:
         return _runs(self.hash, at, width, self.power, self.inverse), np.cumsum(n) - n
 
     def blocks(self, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-        """First word and code of the blocks that are least among ``spacing`` in a row."""
-        worst = np.uint64(2**64 - 1)
-        codes = np.full(len(self.hash), worst, np.uint64)
-        at = np.flatnonzero(self.left >= settings.block)
-        codes[at] = _runs(self.hash, at, np.full(len(at), settings.block), self.power, self.inverse)
-        k = settings.spacing
-        if not len(at) or len(codes) < k:
-            return at, codes[at]
-        least = codes
-        width = 1
-        while width < k:  # minima over windows of doubling width
-            step = min(width, k - width)
-            least = np.minimum(least[: len(least) - step], least[step:])
-            width += step
-        padded = np.concatenate([np.zeros(k - 1, np.uint64), least, np.zeros(k - 1, np.uint64)])
-        most = padded
-        width = 1
-        while width < k:
-            step = min(width, k - width)
-            most = np.maximum(most[: len(most) - step], most[step:])
-            width += step
-        # A short line has no window of its own: all its blocks count if it is near an end.
-        chosen = np.flatnonzero((codes == most) & (codes != worst))
-        return chosen, codes[chosen]
-
-
-def groups(texts: list[str]):
+        """First word (of ``text``) and code of the blocks that are least among ``spacing``
+        in a row, of their text or of their line, less those that the last group had."""
+        at = np.flatnonzero(self.in_text >= settings.block)
+        codes = np.zeros(len(self.text), np.uint64)
+        codes[at] = _runs(self.hash_, at, np.full(len(at), settings.block), self.power, self.inverse)
+        chosen = _least_in_a_row(codes, self.in_text >= settings.block, settings.spacing)
+        chosen |= _least_in_a_row(codes, self.in_line >= settings.block, settings.spacing)
+        new = np.flatnonzero(chosen & ~self.taken)
+        self.taken |= chosen
+        return new, codes[new]
+
+
+def _least_in_a_row(values: np.ndarray, valid: np.ndarray, k: int) -> np.ndarray:
+    """Whether a valid value is the least of the valid ones in some ``k`` places in a row."""
+    worst = np.uint64(2**64 - 1)
+    codes = np.where(valid, values, worst)
+    if not valid.any() or len(codes) < k:
+        return valid.copy()
+    least = codes
+    width = 1
+    while width < k:  # minima over windows of doubling width
+        step = min(width, k - width)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        width += step
+    padded = np.concatenate([np.zeros(k - 1, np.uint64), least, np.zeros(k - 1, np.uint64)])
+    most = padded
+    width = 1
+    while width < k:
+        step = min(width, k - width)
+        most = np.maximum(most[: len(most) - step], most[step:])
+        width += step
+    # A short run has no window of its own: all its values count if it is near an end.
+    return (codes == most) & valid
+
+
+def groups(texts: list[str], settings: Settings | None = None):
+    settings = settings or Settings()
     passed: dict[int, int] = {}
+    last = None
     for group in segments([t.encode("utf-8", "replace") for t in texts]):
-        yield Group(group, passed)
+        # So many words hold one block less than are compared in a row.
+        last = Group(group, passed, last, settings.block + settings.spacing - 2)
+        yield last
 
 
 def minhashes(shingles: np.ndarray, begin: np.ndarray, settings: Settings) -> np.ndarray:
@@ -151,7 +183,7 @@ def paragraphs(rows: DataFrame, settings: Settings) -> DataFrame:
     def find(batches):
         for batch in slices(batches):
             ids = batch["doc_id"].to_numpy()
-            for g in groups(batch["text"].fillna("").tolist()):
+            for g in groups(batch["text"].fillna("").tolist(), settings):
                 if not len(g.hash):
                     continue
                 first, count, code = g.lines(settings.least_words)
@@ -161,10 +193,10 @@ def paragraphs(rows: DataFrame, settings: Settings) -> DataFrame:
                 last = block + settings.block - 1
                 yield pd.DataFrame(
                     {
-                        "doc_id": ids[g.words.text[np.concatenate([first, block])]],
+                        "doc_id": ids[np.concatenate([g.words.text[first], g.text[block]])],
                         "code": np.concatenate([code, block_code]).view(np.int64),
-                        "start": np.concatenate([g.start[first], g.start[block]]),
-                        "end": np.concatenate([g.end[first + count - 1], g.end[last]]),
+                        "start": np.concatenate([g.start[first], g.from_[block]]),
+                        "end": np.concatenate([g.end[first + count - 1], g.to[last]]),
                         "bands": [*keys, *[None] * len(block)],
                     }
                 )
@@ -283,8 +315,8 @@ def repeated_passages(docs: DataFrame, settings: Settings | None = None) -> Data
     Paragraphs are lines with at least ``least_words`` words, ASCII case ignored. Lines
     that collide in a MinHash band and whose sets of runs of five words have a Jaccard
     similarity of ``percent`` or more are linked; the components are clusters. Blocks of
-    words inside lines are clustered by equality, so that a passage is found within a
-    longer paragraph too. In each cluster with several documents, the smallest doc_id
+    words are clustered by equality, so that a passage is found within a longer
+    paragraph and over several lines too, however they are wrapped. In each cluster with several documents, the smallest doc_id
     keeps its passage; overlapping passages of a document are joined, and removed says
     whether another document keeps one of its n_parts. Documents without such passages
     have no row.

@@ -187,3 +187,55 @@ def test_edits_of_one_line_link_as_brute_force_says(make_docs):
         want[component].add(i)
     assert len(want) > 20
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_passages_over_several_lines_are_found(make_docs):
+    rng = random.Random(13)
+
+    def words(n):
+        return [f"{rng.choice('abcé')}{rng.randrange(10**6)}" for _ in range(n)]
+
+    def wrapped(items, width):
+        return "\n".join(" ".join(items[i : i + width]) for i in range(0, len(items), width))
+
+    passage, other = words(60), words(60)
+    rows = [
+        (1, f"{wrapped(words(40), 9)}\n{wrapped(passage, 12)}\n{wrapped(words(30), 8)}"),
+        (2, f"{wrapped(words(25), 7)} {wrapped(passage, 7)} {wrapped(words(25), 20)}"),
+        (3, f"{' '.join(words(20))} {' '.join(passage)} {' '.join(words(20))}"),
+        (4, wrapped(words(300), 10)),
+        (5, "\n".join(other)), (6, wrapped(words(50) + other, 4)),
+    ]
+    got = paragraph_dedup.repeated_passages(make_docs(*rows)).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3, 5, 6}
+    assert {r.doc_id for r in got if r.removed} == {2, 3, 6}
+    texts = dict(rows)
+    for r in got:
+        part = texts[r.doc_id][r.start : r.end].split()
+        assert " ".join(part) in " ".join(passage if r.doc_id < 4 else other)
+        assert len(part) >= 32
+
+
+def test_blocks_cross_the_pieces_of_a_long_text(monkeypatch):
+    from cmdlog_spark.llm import words
+
+    rng = random.Random(17)
+    settings = paragraph_dedup.Settings()
+    texts = ["é".join(str(rng.random()) for _ in range(3)) + "\n" + " ".join(str(rng.random()) for _ in range(n)) for n in (900, 3, 700)]
+    want = set()
+    for g in paragraph_dedup.groups(texts):
+        at, code = g.blocks(settings)
+        want |= set(zip(g.text[at].tolist(), code.tolist(), g.from_[at].tolist(), strict=True))
+    for size in (50, 700, 2_000, 5_000):
+        monkeypatch.setattr(words, "GROUP", size)
+        found = []
+        for g in paragraph_dedup.groups(texts):
+            at, code = g.blocks(settings)
+            found += zip(g.text[at].tolist(), code.tolist(), g.from_[at].tolist(), strict=True)
+        assert len(found) == len(set(found))
+        # Every 16 blocks in a row of a text have one that both ways of cutting take.
+        for n in (0, 2):
+            both = sorted(start for text, _, start in want & set(found) if text == n)
+            words_of = [m.start() for m in re.finditer(r"\S+", texts[n])]
+            place = [words_of.index(start) for start in both]
+            assert place and all(b - a <= settings.spacing for a, b in zip(place, place[1:]))
