@@ -317,8 +317,10 @@ def repeated_passages(docs: DataFrame, settings: Settings | None = None) -> Data
     similarity of ``percent`` or more are linked; the components are clusters. Blocks of
     words are clustered by equality, so that a passage is found within a longer
     paragraph and over several lines too, however they are wrapped. In each cluster with several documents, the smallest doc_id
-    keeps its passage; overlapping passages of a document are joined, and removed says
-    whether another document keeps one of its n_parts. Documents without such passages
+    keeps its passage. Overlapping passages of a document are joined: those that other
+    documents keep (removed) and those that it keeps itself in rows of their own, which
+    may overlap. To delete the removed rows leaves each repeated word in one document at
+    least, a near copy in the form of its kept line. Documents without such passages
     have no row.
 
     Offsets are code points, end exclusive. Null and empty texts and documents without
@@ -349,15 +351,18 @@ def repeated_passages(docs: DataFrame, settings: Settings | None = None) -> Data
 
 
 def _merge(spans: DataFrame) -> DataFrame:
-    """Join what overlaps in a document, as many rows as it has passages."""
-    order = W.partitionBy("doc_id").orderBy("start", "end")
+    """Join what overlaps in a document, as many rows as it has passages.
+
+    Parts that another document keeps and parts that this one keeps are joined apart.
+    Where both lie on one word, the keeper of the other passage has that word: from
+    document to document the ids fall, so the last of them keeps it.
+    """
+    removed = F.col("keep_id") < F.col("doc_id")
+    order = W.partitionBy("doc_id", "removed").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     starts = F.coalesce((F.col("start") > before).cast("int"), F.lit(1))
-    islands = spans.withColumn("new", starts)
+    islands = spans.withColumn("removed", removed).withColumn("new", starts)
     islands = islands.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return islands.groupBy("doc_id", "island").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.max(F.col("keep_id") < F.col("doc_id")).alias("removed"),
-        F.count("*").alias("n_parts"),
-    ).drop("island")
+    return islands.groupBy("doc_id", "removed", "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_parts")
+    ).select("doc_id", "start", "end", "removed", "n_parts")

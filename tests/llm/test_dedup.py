@@ -239,3 +239,23 @@ def test_blocks_cross_the_pieces_of_a_long_text(monkeypatch):
             words_of = [m.start() for m in re.finditer(r"\S+", texts[n])]
             place = [words_of.index(start) for start in both]
             assert place and all(b - a <= settings.spacing for a, b in zip(place, place[1:]))
+
+
+def test_chains_of_overlapping_passages_survive_once(make_docs):
+    rng = random.Random(19)
+    words = [f"{rng.choice('abcé')}{rng.randrange(10**6)}" for _ in range(420)]
+    line, long = words[:220], words[220:]
+    parts = {1: line[:100], 2: line[:200], 3: line[49:210], 5: long[:120], 6: long[60:], 7: long}
+    rows = [(i, " ".join(part)) for i, part in parts.items()]
+    got = paragraph_dedup.repeated_passages(make_docs(*rows)).collect()
+    texts, left = dict(rows), Counter()
+    for i, text in rows:
+        gone = [(r.start, r.end) for r in got if r.doc_id == i and r.removed]
+        for m in re.finditer(r"\S+", text):
+            left[m.group()] += not any(a <= m.start() and m.end() <= b for a, b in gone)
+    covered = Counter(w for part in parts.values() for w in part)
+    assert all(left[w] >= 1 for w in covered)
+    # The ends of a passage may lie outside its blocks.
+    assert sum(left.values()) <= len(covered) + 6 * 15
+    kept = [texts[r.doc_id][r.start : r.end] for r in got if not r.removed]
+    assert any(" ".join(line[115:185]) in part for part in kept)
