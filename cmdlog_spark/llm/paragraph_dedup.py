@@ -25,16 +25,20 @@ class Settings:
 
     least_words: paragraphs with fewer are no passages. Documents also hold blocks of
     ``block`` words, across their lines; of ``spacing`` blocks in a row at least one is
-    compared, so that a passage of block + spacing - 1 words is found anywhere.
+    compared, so that a passage of block + spacing - 1 words is found anywhere. Edited copies inside longer
+    texts are found by windows that begin and end with equal runs of ``size`` words: one
+    run in ``anchors`` begins a window, the first such run ``reach`` words on ends it.
     """
 
     size: int = 5
     percent: int = 80
     bands: int = 9
     rows: int = 3
-    least_words: int = 40
+    least_words: int = 5
     block: int = 32
     spacing: int = 16
+    anchors: int = 4
+    reach: int = 44
 
 
 def _runs(values: np.ndarray, first: np.ndarray, count: np.ndarray, power: np.ndarray, inverse: np.ndarray) -> np.ndarray:
@@ -109,6 +113,24 @@ class Group:
         first, count = self.line_first[chosen], self.line_words[chosen]
         return first, count, _runs(self.hash, first, count, self.power, self.inverse)
 
+    def windows(self, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First word, number of words, code and code of the ends of the windows."""
+        text = self.words.text
+        at = np.arange(max(0, len(text) - settings.size + 1))
+        at = at[text[at] == text[at + settings.size - 1]]
+        runs = _runs(self.hash, at, np.full(len(at), settings.size), self.power, self.inverse)
+        # Whether a run is an anchor depends on its words only, so that edits elsewhere change nothing.
+        chosen = mix(runs) % np.uint64(settings.anchors) == 0
+        at, runs = at[chosen], runs[chosen]
+        to = np.searchsorted(at, at + settings.reach)
+        some = np.flatnonzero(to < len(at))
+        to = to[some]
+        near = (text[at[to]] == text[at[some]]) & (at[to] - at[some] < 2 * settings.reach)
+        some, to = some[near], to[near]
+        first, count = at[some], at[to] - at[some] + settings.size
+        code = mix(_runs(self.hash, first, count, self.power, self.inverse))  # not that of an equal line
+        return first, count, code, mix(runs[some] * BASE + runs[to])
+
     def shingles(self, first: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all runs of ``size`` words of each line, and where each line's begin."""
         n = np.maximum(count - size + 1, 1)
@@ -178,7 +200,7 @@ def minhashes(shingles: np.ndarray, begin: np.ndarray, settings: Settings) -> np
 
 
 def paragraphs(rows: DataFrame, settings: Settings) -> DataFrame:
-    """Staged lines (with band keys) and blocks (without) of all documents."""
+    """Staged lines (with band keys), windows (with ends) and blocks (with neither) of all documents."""
 
     def find(batches):
         for batch in slices(batches):
@@ -191,22 +213,27 @@ def paragraphs(rows: DataFrame, settings: Settings) -> DataFrame:
                 keys = minhashes(shingles, begin, settings).view(np.int64)
                 block, block_code = g.blocks(settings)
                 last = block + settings.block - 1
+                window, width, window_code, ends = g.windows(settings)
                 yield pd.DataFrame(
                     {
-                        "doc_id": ids[np.concatenate([g.words.text[first], g.text[block]])],
-                        "code": np.concatenate([code, block_code]).view(np.int64),
-                        "start": np.concatenate([g.start[first], g.from_[block]]),
-                        "end": np.concatenate([g.end[first + count - 1], g.to[last]]),
-                        "bands": [*keys, *[None] * len(block)],
+                        "doc_id": ids[np.concatenate([g.words.text[first], g.text[block], g.words.text[window]])],
+                        "code": np.concatenate([code, block_code, window_code]).view(np.int64),
+                        "start": np.concatenate([g.start[first], g.from_[block], g.start[window]]),
+                        "end": np.concatenate([g.end[first + count - 1], g.to[last], g.end[window + width - 1]]),
+                        "bands": [*keys, *[None] * (len(block) + len(window))],
+                        "ends": pd.arrays.IntegerArray(
+                            np.concatenate([np.zeros(len(first) + len(block), np.int64), ends.view(np.int64)]),
+                            np.arange(len(first) + len(block) + len(window)) < len(first) + len(block),
+                        ),
                     }
                 )
 
-    schema = "doc_id long, code long, start long, end long, bands array<long>"
+    schema = "doc_id long, code long, start long, end long, bands array<long>, ends long"
     return stage(rows.mapInPandas(find, schema), "paragraphs")
 
 
 def _line_sets(rows: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """Staged sets of shingles of the lines (w_id, code) wanted."""
+    """Staged sets of shingles of the lines and windows (w_id, code) wanted."""
     listed = stage(wanted.groupBy("w_id").agg(F.collect_list("code").alias("codes")), "wanted")
     few = listed.limit(ngram_join.FEW + 1).count() <= ngram_join.FEW
     joined = rows.join(F.broadcast(listed) if few else listed, F.col("doc_id") == F.col("w_id"))
@@ -214,10 +241,13 @@ def _line_sets(rows: DataFrame, wanted: DataFrame, settings: Settings) -> DataFr
     def build(batches):
         for batch in slices(batches):
             wanted_codes = [set(codes) for codes in batch["codes"]]
+            any_wanted = np.unique(np.concatenate([np.zeros(0, np.int64), *batch["codes"]]))
             for g in groups(batch["text"].fillna("").tolist()):
-                first, count, code = g.lines(settings.least_words)
+                lines, windows = g.lines(settings.least_words), g.windows(settings)
+                first, count, code = (np.concatenate([x, y]) for x, y in zip(lines, windows, strict=False))
                 signed, found, sets = code.view(np.int64), [], []
-                for i, text in enumerate(g.words.text[first]):
+                near = np.flatnonzero(np.isin(signed, any_wanted))
+                for i, text in zip(near.tolist(), g.words.text[first[near]].tolist(), strict=True):
                     if signed[i] in wanted_codes[text]:
                         shingles, _ = g.shingles(first[i : i + 1], count[i : i + 1], settings.size)
                         found.append(signed[i])
@@ -304,6 +334,20 @@ def similar_lines(rows: DataFrame, lines: DataFrame, settings: Settings) -> Data
     return links.unionAll(late)
 
 
+def _open_windows(found: DataFrame) -> DataFrame:
+    """Windows whose ends stand in several documents with different words between.
+
+    Equal windows hold equal blocks.
+    """
+    windows = found.filter("ends IS NOT NULL").select("doc_id", "code", "start", "end", "ends")
+    several = windows.groupBy("ends").agg(
+        *(f(c).alias(f"{n}_{c}") for c in ("doc_id", "code") for n, f in (("low", F.min), ("high", F.max)))
+    )
+    several = several.filter("low_doc_id < high_doc_id AND low_code < high_code").select("ends")
+    named = windows.join(several, "ends", "left_semi")
+    return stage(named.select("doc_id", "code", "start", "end", F.array("ends").alias("bands")), "windows")
+
+
 def _ends(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     codes = pairs.select(F.col("a").alias("code")).unionAll(pairs.select(F.col("b").alias("code")))
     return reps.join(codes.distinct(), "code", "left_semi").select("w_id", "code")
@@ -316,11 +360,13 @@ def repeated_passages(docs: DataFrame, settings: Settings | None = None) -> Data
     that collide in a MinHash band and whose sets of runs of five words have a Jaccard
     similarity of ``percent`` or more are linked; the components are clusters. Blocks of
     words are clustered by equality, so that a passage is found within a longer
-    paragraph and over several lines too, however they are wrapped. In each cluster with several documents, the smallest doc_id
+    paragraph and over several lines too, however they are wrapped. Windows of 49 to 92
+    words with equal ends are linked and clustered as lines are, so that edited passages
+    are found there too. In each cluster with several documents, the smallest doc_id
     keeps its passage. Overlapping passages of a document are joined: those that other
     documents keep (removed) and those that it keeps itself in rows of their own, which
     may overlap. To delete the removed rows leaves each repeated word in one document at
-    least, a near copy in the form of its kept line. Documents without such passages
+    least, a near copy in the form of the one that is kept. Documents without such passages
     have no row.
 
     Offsets are code points, end exclusive. Null and empty texts and documents without
@@ -330,7 +376,8 @@ def repeated_passages(docs: DataFrame, settings: Settings | None = None) -> Data
     settings = settings or Settings()
     rows = pick(docs, doc_id="long", text="string").filter("doc_id IS NOT NULL")
     found = paragraphs(rows, settings)
-    lines = found.filter("bands IS NOT NULL")
+    lines = found.filter("bands IS NOT NULL").select("doc_id", "code", "start", "end", "bands")
+    lines = lines.unionAll(_open_windows(found))
     links = similar_lines(rows, lines, settings)
     roots = components(links)
 
@@ -343,7 +390,7 @@ def repeated_passages(docs: DataFrame, settings: Settings | None = None) -> Data
     kept = stage(clusters.select(F.col("code").alias("k_code"), "keep_id"), "clusters")
     spans = lines.join(kept, F.col("code") == F.col("k_code")).select("doc_id", "start", "end", "keep_id")
 
-    blocks = found.filter("bands IS NULL").select("doc_id", "code", "start", "end")
+    blocks = found.filter("bands IS NULL AND ends IS NULL").select("doc_id", "code", "start", "end")
     several = blocks.groupBy("code").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last_id"))
     several = several.filter("keep_id < last_id").select(F.col("code").alias("k_code"), "keep_id")
     inside = blocks.join(several, F.col("code") == F.col("k_code")).select("doc_id", "start", "end", "keep_id")

@@ -259,3 +259,40 @@ def test_chains_of_overlapping_passages_survive_once(make_docs):
     assert sum(left.values()) <= len(covered) + 6 * 15
     kept = [texts[r.doc_id][r.start : r.end] for r in got if not r.removed]
     assert any(" ".join(line[115:185]) in part for part in kept)
+
+
+def test_short_lines_and_edited_passages_inside_long_ones(make_docs):
+    rng = random.Random(23)
+
+    def words(n):
+        return [f"{rng.choice('abcé')}{rng.randrange(10**6)}" for _ in range(n)]
+
+    def inside(items):
+        return " ".join([*words(30), *items, *words(30)])
+
+    five, twenty, four = words(5), words(20), words(4)
+    rows = [
+        (1, "\n".join(map(" ".join, (words(9), five, words(7), twenty, four)))),
+        (2, "\n".join(map(" ".join, (five, words(8))))),
+        (3, "\n".join(map(" ".join, (words(8), [*twenty[:-1], "edited"])))),
+        (4, "\n".join(map(" ".join, (words(8), four)))),
+    ]
+    edited = {}
+    for i in range(10, 40, 3):
+        passage = words(90)
+        one, two = [*passage[:30], "new", *passage[31:60], "put", *passage[60:]], [*passage[:29], *passage[30:60], "x", *passage[61:]]
+        rows += [(i, inside(passage)), (i + 1, inside(one)), (i + 2, inside(two).replace(" ", "\n"))]
+        edited[i] = set(passage) | {"new", "put", "x"}
+    got = paragraph_dedup.repeated_passages(make_docs(*rows)).collect()
+    texts = dict(rows)
+    assert sorted((r.doc_id, texts[r.doc_id][r.start : r.end], r.removed) for r in got if r.doc_id < 10) == sorted([
+        (1, " ".join(five), False), (1, " ".join(twenty), False), (2, " ".join(five), True),
+        (3, " ".join([*twenty[:-1], "edited"]), True),
+    ])
+    hit = Counter()
+    for r in got:
+        if r.doc_id >= 10:
+            first = r.doc_id - (r.doc_id - 10) % 3
+            assert set(texts[r.doc_id][r.start : r.end].split()) <= edited[first]
+            hit[r.doc_id] |= r.removed
+    assert sum(hit.values()) >= 14  # of 20; no block of theirs is equal
