@@ -13,8 +13,6 @@ from cmdlog_spark.llm.common import pick
 
 # Days in one bucket of the as-of join: an interval is met by the captures of its buckets only.
 BUCKET_DAYS = 32
-# Labels of a host and steps of a path that entries may name.
-MOST_LABELS, MOST_STEPS = 6, 4
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^?#]*)"
 
@@ -43,19 +41,28 @@ def intervals(entries: DataFrame) -> DataFrame:
     return named.select("rule", F.col("day").alias("since"), "until")
 
 
-def rule_keys(url: Column) -> Column:
+def depths(rules: DataFrame) -> tuple[int, int]:
+    """The greatest numbers of labels of a '.domain' and of steps of a path among the rules."""
+    rule = F.col("rule")
+    labels = F.when(rule.startswith("."), F.size(F.split(rule, r"\.")) - 1)
+    steps = F.when(~rule.startswith("."), F.size(F.split(rule, "/")) - 1)
+    row = rules.agg(F.max(labels).alias("labels"), F.max(steps).alias("steps")).first()
+    return row.labels or 0, row.steps or 0
+
+
+def rule_keys(url: Column, most_labels: int, most_steps: int) -> Column:
     """All rules that could name a URL: its host, the domains above it as '.domain', path
-    prefixes as 'host/step/step'. Bounded by MOST_LABELS and MOST_STEPS."""
+    prefixes as 'host/step/step', up to so many labels and steps."""
     host = host_of(url)
     labels = F.split(host, r"\.")
-    # The last MOST_LABELS labels, at every length.
+    # The last labels, at every length.
     above = F.transform(
-        F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MOST_LABELS))),
+        F.slice(F.sequence(F.lit(1), F.size(labels)), 1, most_labels),
         lambda n: F.concat(F.lit("."), F.array_join(F.slice(labels, -n, n), ".")),
     )
     steps = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1), "/"), lambda s: s != "")
     paths = F.transform(
-        F.sequence(F.lit(0), F.least(F.size(steps), F.lit(MOST_STEPS))),
+        F.sequence(F.lit(0), F.least(F.size(steps), F.lit(most_steps))),
         lambda n: F.when(n == 0, host).otherwise(F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, F.greatest(n, F.lit(1))), "/"))),
     )
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(paths, above))
@@ -75,12 +82,13 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     not once per page.
     """
     rows = pick(captures, page_id="long", url="string", day="long")
-    rows = rows.select("page_id", host_of(F.col("url")).alias("host"), "day", rule_keys(F.col("url")).alias("keys"))
+    valid = intervals(entries)
+    keys = rule_keys(F.col("url"), *depths(valid))
+    rows = rows.select("page_id", host_of(F.col("url")).alias("host"), "day", keys.alias("keys"))
     bucket = F.floor(F.col("day") / BUCKET_DAYS)
     asked = rows.filter(F.col("day").isNotNull()).select("day", F.explode("keys").alias("key"))
     asked = asked.distinct().withColumn("bucket", bucket)
 
-    valid = intervals(entries)
     newest = asked.agg(F.max("day").alias("newest")).first().newest
     # An interval without an end lasts to the newest capture.
     newest = F.lit(newest).cast("long")

@@ -183,3 +183,17 @@ def test_pipeline_equals_its_stages_in_plain_python(spark):
     for doc_id, group in pieces.groupby("doc_id"):
         assert group["length"].sum() % group["doc_tokens"].iloc[0] == 0
         assert group["length"].sum() <= 3 * group["doc_tokens"].iloc[0]
+
+
+def test_url_rules_of_any_depth(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://a.b.c.d.e.f.g.com/1/2/3/4/5/6/7", 5), (2, "http://h.com/1/2/3/4/5", 5), (3, "http://h.com/1/2/3/4", 5),
+         (4, "http://b.c.d.e.f.g.com/", 5)],
+        "page_id long, url string, day long",
+    )
+    rules = [".b.c.d.e.f.g.com", "a.b.c.d.e.f.g.com/1/2/3/4/5/6", "h.com/1/2/3/4/5"]
+    entries = spark.createDataFrame([(r, "add", 1) for r in rules], "rule string, action string, day long")
+    got = sorted((r.page_id, r.n_rules, r.rule) for r in url_filter.filter_urls(pages, entries).collect())
+    assert got == [(1, 2, rules[1]), (2, 1, rules[2]), (3, 0, None), (4, 1, rules[0])]
+    top = entries.filter("rule LIKE 'h.com%'")
+    assert [r.page_id for r in url_filter.filter_urls(pages, top).collect() if r.blocked] == [2]
