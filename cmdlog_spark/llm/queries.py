@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cmdlog_spark.llm import exact_dedup, mixing, ngram_join, packing, paragraph_dedup, quality, secrets_scan, toxicity, url_filter, vector_graph
+from cmdlog_spark.llm import (
+    cross_tokens,
+    exact_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    paragraph_dedup,
+    quality,
+    secrets_scan,
+    simhash,
+    spelling,
+    toxicity,
+    url_filter,
+    vector_graph,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +47,14 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def vocabularies() -> cross_tokens.Vocabularies:
+    import public_tokenizers
+
+    return cross_tokens.Vocabularies(
+        str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model"))
+    )
+
+
 @_query("op1_pack")
 def _(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
@@ -149,3 +171,18 @@ def _(spark, sf_dir):
 @_query("op4_graph_search")
 def _(spark, sf_dir):
     return vector_graph.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op11_cross_tokens")
+def _(spark, sf_dir):
+    return cross_tokens.align(table(spark, sf_dir, "documents"), vocabularies())
+
+
+@_query("op12_spelling")
+def _(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), spelling.Settings(typos=199))
+
+
+@_query("op13_simhash")
+def _(spark, sf_dir):
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
