@@ -10,7 +10,7 @@ from cmdlog_spark.functions.staging import stage
 from cmdlog_spark.functions.text import ascii_lower, first_word
 from cmdlog_spark.functions.times import floor_div
 from cmdlog_spark.operators.filters import close_in_time, command_differs, command_is
-from cmdlog_spark.operators.pairs import WIDE, best_partners, pruned_pairs
+from cmdlog_spark.operators.pairs import WIDE, best_partners, leading_pairs
 from cmdlog_spark.schema import WINDOW_SECONDS
 
 SESSION = ["salt", "ppid"]
@@ -249,8 +249,8 @@ def session_pairs(
     )
     if hot is None:
         return best_partners(_calm_session_pairs(events), k)
-    calm = _calm_session_pairs(events.join(hot, SESSION, "left_anti"))
-    cells = stage(_session_cells(events.join(hot, SESSION, "left_semi")), "session-cells")
+    calm = stage(_calm_session_pairs(events.join(hot, SESSION, "left_anti")), "session-calm")
+    cells = _session_cells(events.join(hot, SESSION, "left_semi"))
     # All that lies within an hour of a row is in three hours of its session.
     hourly = events.groupBy(*SESSION, _hour(F.col("epoch")).alias("hour"), "cmd").agg(
         F.count("*").alias("n")
@@ -258,7 +258,11 @@ def session_pairs(
     totals = hourly.groupBy("cmd").agg(
         (F.max("n") * 3).alias("widest"), F.sum("n").alias("weight")
     )
-    return best_partners(calm.unionByName(pruned_pairs(cells, totals, k)), k)
+    totals = stage(totals, "session-totals")
+    # A command runs in a cell no more often than anywhere.
+    weights = totals.select("cmd", F.col("weight").alias("rank_by"))
+    cells = stage(cells.join(weights, "cmd"), "session-cells")
+    return best_partners(leading_pairs(cells, calm, k, totals), k)
 
 
 def _direct_pairs(grouped: DataFrame) -> DataFrame:
@@ -288,7 +292,7 @@ def directory_pairs(
     """:func:`directory_partners` for every command at once.
 
     Rows shrink to one per directory and command first. Directories with few
-    commands join with themselves; the others go through the pruned join.
+    commands join with themselves; the others go through lists of leaders.
     """
     grouped = (
         df.where(F.col("pwd").isNotNull())
@@ -304,19 +308,17 @@ def directory_pairs(
     )
     if hot is None:
         return best_partners(_direct_pairs(grouped), k)
-    calm = _direct_pairs(grouped.join(hot, "pwd", "left_anti"))
+    calm = stage(_direct_pairs(grouped.join(hot, "pwd", "left_anti")), "directory-calm")
     cells = grouped.join(hot, "pwd", "left_semi").select(
         F.col("pwd").alias("cell"),
         "cmd",
         F.col("n").alias("b"),
         F.col("n").alias("p"),
+        F.col("n").alias("rank_by"),
         "latest",
     )
     cells = stage(cells, "directory-cells")
-    totals = grouped.groupBy("cmd").agg(
-        F.max("n").alias("widest"), F.sum("n").alias("weight")
-    )
-    return best_partners(calm.unionByName(pruned_pairs(cells, totals, k)), k)
+    return best_partners(leading_pairs(cells, calm, k), k)
 
 
 def tool_pairs(df: DataFrame, k: int = TOOL_COUNT) -> DataFrame:

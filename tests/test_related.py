@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cmdlog_spark.operators import related
-from cmdlog_spark.operators.pairs import pruned_pairs
+from cmdlog_spark.operators import pairs
 
 TOOLS = ["git a", "git b", "Git c", "git", "make", "make x", "ls", "ls ", " ls", "docker ps"]
 
@@ -105,17 +105,60 @@ def test_long_lists_of_hot_groups_are_joined_by_key(make_history, monkeypatch):
     assert listed(found) == best(brute(rows, in_directory))
 
 
-def test_hot_cells_form_few_pairs(make_history):
+def spied(monkeypatch):
+    """Numbers of pairs that each round forms."""
+    formed, whole = [], pairs.pairs_met
+
+    def count(*arguments):
+        found = whole(*arguments)
+        formed.append(found.count())
+        return found
+
+    monkeypatch.setattr(pairs, "pairs_met", count)
+    return formed
+
+
+def test_hot_cells_form_few_pairs(make_history, monkeypatch):
     """A directory of many rare commands must not be squared."""
+    formed = spied(monkeypatch)
     rows = [{"cmd": f"x{i}", "epoch": i, "pwd": "/hot"} for i in range(400)]
     rows += [{"cmd": c, "epoch": 0, "pwd": "/hot"} for c in ("a", "b", "c") for _ in range(9)]
-    cells = (
-        make_history(*rows)
-        .groupBy(F.col("pwd").alias("cell"), "cmd")
-        .agg(F.count("*").alias("b"), F.count("*").alias("p"), F.max("epoch").alias("latest"))
-    )
-    totals = cells.select("cmd", F.col("b").alias("widest"), F.col("p").alias("weight"))
-    assert pruned_pairs(cells, totals, 2).count() == 400 * 3 + 3 * 2
+    assert listed(related.directory_pairs(make_history(*rows))) == best(brute(rows, in_directory))
+    assert sum(formed) <= 403 * 4
+
+
+def test_one_off_commands_of_a_directory(make_history, monkeypatch):
+    """4,000 commands that all ran once: equal scores end on time and text."""
+    formed = spied(monkeypatch)
+    rows = [{"cmd": f"x{i}", "epoch": i % 37, "pwd": "/flat"} for i in range(4_000)]
+    found = listed(related.directory_pairs(make_history(*rows)))
+    assert sum(formed) < 20 * 4_000
+    newest = sorted(rows, key=lambda r: (-r["epoch"], r["cmd"]))[:3]
+    want = {}
+    for row in rows:
+        others = [r for r in newest if r["cmd"] != row["cmd"]][:2]
+        want |= {(row["cmd"], n): (r["cmd"], 1, r["epoch"]) for n, r in enumerate(others, 1)}
+    assert found == want
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_flat_and_mixed_groups_equal_a_loop(make_history, seed):
+    """Commands that ran once or twice, in many crowded directories and sessions at once."""
+    rng = random.Random(seed)
+    rows = [
+        {
+            "cmd": f"x{rng.randrange(120)}" if rng.random() < 0.5 else f"y{i}",
+            "epoch": rng.randrange(12_000),
+            "pwd": f"/d{rng.randrange(4)}",
+            "ppid": rng.randrange(2),
+        }
+        for i in range(260)
+    ]
+    df = make_history(*rows)
+    directory = related.directory_pairs(df, hot_commands=5 if seed == 11 else 70)
+    assert listed(directory) == best(brute(rows, lambda a, b: a["pwd"] == b["pwd"]))
+    near = lambda a, b: a["ppid"] == b["ppid"] and abs(a["epoch"] - b["epoch"]) < 3600
+    assert listed(related.session_pairs(df, hot_rows=5)) == best(brute(rows, near))
 
 
 @pytest.mark.parametrize("case", CASES)
