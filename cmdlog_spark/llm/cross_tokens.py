@@ -31,18 +31,60 @@ def _halves(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code >> BITS, code & ((1 << BITS) - 1)
 
 
-def tally(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
-    """Staged partial counts of documents for each pair of linked ids.
+def read_documents(docs: DataFrame, vocabularies: Vocabularies, with_groups: bool = False) -> DataFrame:
+    """Staged rows with the token groups of every document and its distinct linked pairs.
 
-    Pairs of an id and its same-bytes partner, which are most, are counted in a vector as
-    long as the vocabulary: rows (page, counts), a vector cut in pages. The others are
-    rows (code, n), distinct within a task as long as they fit in memory.
+    row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, groups; same: ids of A that
+    are linked with their partner, the id of B with the same bytes; a, b: the ids of other
+    pairs; same_times, times: how often.
     """
     names = vocabularies
 
-    def count(batches):
+    def read(batches):
         reader = aligner(names.a, names.b)
-        vector = np.zeros(len(reader.same), np.int64)
+        for batch in slices(batches):
+            ids = batch["doc_id"].astype("Int64")
+            for block in reader.read(batch["text"].tolist(), with_groups):
+                texts = len(block.n_a)
+                left, right = _halves(block.code)
+                regular = reader.same[left] == right
+                lists = {}
+                for chosen, columns in (
+                    (regular, {"same": left, "same_times": block.times}),
+                    (~regular, {"a": left, "b": right, "times": block.times}),
+                ):
+                    cuts = np.searchsorted(block.owner[chosen], np.arange(1, texts))
+                    lists |= {k: np.split(v[chosen], cuts) for k, v in columns.items()}
+                yield pd.DataFrame(
+                    {
+                        "doc_id": ids.iloc[block.first : block.first + texts].array,
+                        "n_a": block.n_a, "n_b": block.n_b, "n_groups": block.n_groups, "n_links": block.n_links,
+                        "groups_sha256": block.digest,
+                        "groups": [None if g is None else g.decode() for g in block.groups],
+                        **lists,
+                    }
+                )
+
+    numbers = "n_a long, n_b long, n_groups long, n_links long"
+    lists = "same array<int>, same_times array<long>, a array<int>, b array<int>, times array<long>"
+    read_ = docs.mapInPandas(read, f"doc_id long, {numbers}, groups_sha256 string, groups string, {lists}")
+    return stage(read_.withColumn("row", F.monotonically_increasing_id()), "token-groups")
+
+
+def _flat(column: pd.Series) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *column])
+
+
+def tally(documents: DataFrame, size: int) -> DataFrame:
+    """Staged partial counts of documents for each pair of linked ids.
+
+    Pairs of an id and its partner, which are most, are counted in a vector as long as the
+    vocabulary: rows (page, counts), a vector cut in pages. The others are rows (code, n),
+    distinct within a task as long as they fit in memory.
+    """
+
+    def count(batches):
+        vector = np.zeros(size, np.int64)
         codes, counts, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
         def gathered():
@@ -57,17 +99,14 @@ def tally(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
             return frame.astype({"code": "Int64", "n": "Int64", "page": "Int64"})
 
         for batch in slices(batches):
-            for block in reader.read(batch["text"].tolist()):
-                left, right = _halves(block.code)
-                regular = reader.same[left] == right
-                vector += np.bincount(left[regular], minlength=len(vector))
-                waiting.append(block.code[~regular])
-                if sum(map(len, waiting)) > GATHERED:
-                    codes, counts = gathered()
-                    waiting = []
-                    if len(codes) > GATHERED:
-                        yield rows(code=codes, n=counts)
-                        codes, counts = codes[:0], counts[:0]
+            vector += np.bincount(_flat(batch["same"]).astype(np.int64), minlength=size)
+            waiting.append(_flat(batch["a"]).astype(np.int64) << BITS | _flat(batch["b"]).astype(np.int64))
+            if sum(map(len, waiting)) > GATHERED:
+                codes, counts = gathered()
+                waiting = []
+                if len(codes) > GATHERED:
+                    yield rows(code=codes, n=counts)
+                    codes, counts = codes[:0], counts[:0]
         codes, counts = gathered()
         if len(codes):
             yield rows(code=codes, n=counts)
@@ -77,7 +116,7 @@ def tally(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
                 yield rows(page=[start // PAGE], counts=[part.astype("<i8").tobytes()])
 
     kinds = "code long, n long, page long, counts binary"
-    return stage(docs.select("text").mapInPandas(count, kinds), "pair-tally")
+    return stage(documents.select("same", "a", "b").mapInPandas(count, kinds), "pair-tally")
 
 
 def regular_counts(tallied: DataFrame, size: int) -> np.ndarray:
@@ -122,8 +161,8 @@ def _frequent(pairs: DataFrame, most: int) -> int:
 
 def pair_counts(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
     """Rows a, b, documents for every pair of ids that some document holds linked."""
-    tallied = tally(pick(docs, text="string"), vocabularies)
     same = aligner(vocabularies.a, vocabularies.b).same
+    tallied = tally(read_documents(pick(docs, doc_id="long", text="string"), vocabularies), len(same))
     regular = regular_counts(tallied, len(same))
     some = np.flatnonzero(regular)
     frame = pd.DataFrame({"a": some, "b": same[some], "documents": regular[some]}, dtype="int64")
@@ -153,10 +192,9 @@ def align(
     with their counts, the rest are joined. A group that never ends on both sides costs
     the product of its distinct ids, which the vocabularies bound.
     """
-    rows = pick(docs, doc_id="long", text="string")
-    spark, names = docs.sparkSession, vocabularies
-    tallied = tally(rows, names)
-    size = len(aligner(names.a, names.b).same)
+    documents = read_documents(pick(docs, doc_id="long", text="string"), vocabularies, with_groups)
+    size = len(aligner(vocabularies.a, vocabularies.b).same)
+    tallied = tally(documents, size)
     regular = regular_counts(tallied, size)
     pairs = irregular_counts(tallied)
     left = F.shiftright("code", BITS)
@@ -167,46 +205,44 @@ def align(
     least = _frequent(pairs, most_pairs)
     head = pairs.filter(F.col("n") >= least).toPandas()  # most_pairs rows at most
     order = np.argsort(head["code"].to_numpy(np.int64))
-    shared = spark.sparkContext.broadcast(
+    shared = docs.sparkSession.sparkContext.broadcast(
         (regular, best, head["code"].to_numpy(np.int64)[order], head["n"].to_numpy(np.int64)[order])
     )
 
     def score(batches):
-        reader = aligner(names.a, names.b)
         regular, best, codes, counts = shared.value
         for batch in slices(batches):
-            ids = batch["doc_id"].astype("Int64")
-            for block in reader.read(batch["text"].tolist(), with_groups):
-                left, right = _halves(block.code)
-                n = np.where(reader.same[left] == right, regular[left], 0)
-                place = np.minimum(np.searchsorted(codes, block.code), max(0, len(codes) - 1))
-                if len(codes):
-                    n = np.where(codes[place] == block.code, counts[place], n)
-                texts = len(block.n_a)
-                found = n > 0
-                is_best = found & (n == best[left])
-                n_best, count_sum = np.zeros(texts, np.int64), np.zeros(texts, np.int64)
-                np.add.at(n_best, block.owner[is_best], block.times[is_best])
-                np.add.at(count_sum, block.owner, block.times * n)
-                lost = np.flatnonzero(~found)
-                cuts = np.searchsorted(block.owner[lost], np.arange(texts + 1)).tolist()
-                spans = [lost[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": ids.iloc[block.first : block.first + texts].array,
-                        "n_a": block.n_a, "n_b": block.n_b, "n_groups": block.n_groups, "n_links": block.n_links,
-                        "n_best": n_best, "count_sum": count_sum,
-                        "groups_sha256": block.digest, "groups": block.groups,
-                        "code": [block.code[s] for s in spans],
-                        "times": [block.times[s] for s in spans],
-                        "best": [best[left[s]] for s in spans],
-                    }
-                )
-
-    numbers = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long"
-    kinds = f"doc_id long, {numbers}, groups_sha256 string, groups string, code array<long>, times array<long>, best array<long>"
-    scored = rows.mapInPandas(score, kinds).withColumn("row", F.monotonically_increasing_id())
-    scored = stage(scored, "aligned")
+            texts = len(batch)
+            n_best, count_sum = np.zeros(texts, np.int64), np.zeros(texts, np.int64)
+
+            def add(a, owner, times, n, n_best=n_best, count_sum=count_sum):
+                is_best = (n > 0) & (n == best[a])
+                np.add.at(n_best, owner[is_best], times[is_best])
+                np.add.at(count_sum, owner, times * n)
+
+            same = _flat(batch["same"]).astype(np.int64)
+            owner = np.repeat(np.arange(texts), batch["same"].map(len))
+            add(same, owner, _flat(batch["same_times"]), regular[same])
+            a, times = _flat(batch["a"]).astype(np.int64), _flat(batch["times"])
+            code = a << BITS | _flat(batch["b"]).astype(np.int64)
+            owner = np.repeat(np.arange(texts), batch["a"].map(len))
+            n = np.zeros(len(code), np.int64)
+            if len(codes):
+                place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                n = np.where(codes[place] == code, counts[place], 0)
+            add(a, owner, times, n)
+            lost = np.flatnonzero(n == 0)
+            cuts = np.searchsorted(owner[lost], np.arange(1, texts))
+            lists = {"code": code[lost], "times": times[lost], "best": best[a[lost]]}
+            yield batch[plain].assign(
+                n_best=n_best, count_sum=count_sum, **{k: np.split(v, cuts) for k, v in lists.items()}
+            )
+
+    plain = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    numbers = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
+    kinds = f"row long, doc_id long, {numbers}, code array<long>, times array<long>, best array<long>"
+    lists = ["same", "same_times", "a", "b", "times"]
+    scored = stage(documents.select(*plain, *lists).mapInPandas(score, kinds), "aligned")
     open_ = scored.filter(F.size("code") > 0).select("row", F.explode(F.arrays_zip("code", "times", "best")).alias("p"))
     rare = pairs.filter(F.col("n") < least).withColumnRenamed("code", "p_code")
     joined = open_.select("row", "p.code", "p.times", "p.best").join(rare, F.col("code") == F.col("p_code"))
@@ -215,11 +251,12 @@ def align(
         F.sum(F.col("times") * F.col("n")).alias("m_sum"),
     )
     whole = scored.join(more, F.col("row") == F.col("m_row"), "left")
-    plain = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
-    shown = ["groups_sha256", "groups"] if with_groups else ["groups_sha256"]
+    if with_groups:
+        texts = documents.select(F.col("row").alias("g_row"), "groups")
+        whole = whole.join(texts, F.col("row") == F.col("g_row"))
     return whole.select(
-        *plain,
+        *["doc_id", "n_a", "n_b", "n_groups", "n_links"],
         (F.col("n_best") + F.coalesce("m_best", F.lit(0))).alias("n_best"),
         (F.col("count_sum") + F.coalesce("m_sum", F.lit(0))).alias("count_sum"),
-        *shown,
+        *(["groups_sha256", "groups"] if with_groups else ["groups_sha256"]),
     )

@@ -47,7 +47,7 @@ class Aligned:
     n_groups: np.ndarray
     n_links: np.ndarray
     digest: list[str]
-    groups: list[str | None]
+    groups: list[bytes | None]
     owner: np.ndarray
     code: np.ndarray
     times: np.ndarray
@@ -67,6 +67,28 @@ def _starts(count: np.ndarray) -> np.ndarray:
     return np.cumsum(count) - count
 
 
+def _table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, and where those of each token begin and how many they are."""
+    length = np.array([len(t) for t in tokens], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), _starts(length), length
+
+
+def _gives_back(table: tuple, ids: np.ndarray, n: np.ndarray, data: list[bytes]) -> np.ndarray:
+    """Whether the bytes of each unit's tokens are its own; ``n``: how many tokens it has."""
+    flat, begin, length = table
+    owner = np.repeat(np.arange(len(data)), n)
+    size = np.zeros(len(data), np.int64)
+    np.add.at(size, owner, length[ids])
+    own = np.fromiter(map(len, data), np.int64, len(data))
+    good = size == own
+    ids = ids[good[owner]]
+    got = flat[ragged(begin[ids], length[ids])]
+    want = np.frombuffer(b"".join(data), np.uint8)[np.repeat(good, own)]
+    wrong = np.repeat(np.arange(len(data)), np.where(good, own, 0))[got != want]
+    good[wrong] = False
+    return good
+
+
 class Aligner:
     """Tokens of A: a byte-level vocabulary in the JSON form of ``tokenizers``; of B: a
     ``sentencepiece`` model that puts a blank before a text."""
@@ -100,14 +122,20 @@ class Aligner:
             if not self.b.is_control(number) and not self.b.is_unknown(number):
                 ids.setdefault(self.b_bytes[number], number)
         self.same = np.array([ids.get(x, -1) if x else -1 for x in self.a_bytes], np.int64)
-        self.a_length = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_table, self.b_table = _table(self.a_bytes), _table(self.b_bytes)
+        # Ids in decimal digits, one row each, with room for what stands behind.
+        digits = [str(i).encode() for i in range(max(len(self.a_bytes), len(pieces)))]
+        self.width = len(digits[-1]) + 1
+        rows = b"".join(d.ljust(self.width, b" ") for d in digits)
+        self.digits = np.frombuffer(rows, np.uint8).reshape(-1, self.width)
+        self.n_digits = np.array([len(d) for d in digits], np.int64)
         self._forget()
 
     def _forget(self) -> None:
         self.memory: dict[str, int] = {}
         self.chars = 0
-        self.text: list[str] = []
+        # The groups of each unit as text, a semicolon behind each.
+        self.text: list[bytes] = []
         self.good = np.zeros(0, bool)
         # n_a, n_b, n_groups, n_links of each unit; its pairs begin at ``begin``.
         self.sizes = np.zeros((0, 4), np.int64)
@@ -140,22 +168,22 @@ class Aligner:
     def _learn(self, units: list[str]) -> None:
         """Encode and align new units."""
         a_ids, b_ids = self._encode(units)
-        good = np.ones(len(units), bool)
-        for i, unit in enumerate(units):
-            data = unit.encode()
-            if b"".join([self.a_bytes[x] for x in a_ids[i]]) != data or b"".join([self.b_bytes[x] for x in b_ids[i]]) != data:
-                good[i], a_ids[i], b_ids[i] = False, [], []
-        a = np.array(list(chain.from_iterable(a_ids)), np.int64)
-        b = np.array(list(chain.from_iterable(b_ids)), np.int64)
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
-        a_end, b_end = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        data = [u.encode() for u in units]
+        n = len(units)
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, n) for ids in (a_ids, b_ids))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(c.sum())) for x, c in ((a_ids, n_a), (b_ids, n_b)))
+        good = _gives_back(self.a_table, a, n_a, data) & _gives_back(self.b_table, b, n_b, data)
+        if not good.all():
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+        a_end, b_end = (np.cumsum(t[2][x]) for t, x in ((self.a_table, a), (self.b_table, b)))
         both = np.intersect1d(a_end, b_end, assume_unique=True)
         a_group, b_group = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
         in_a, in_b = np.bincount(a_group, minlength=len(both)), np.bincount(b_group, minlength=len(both))
         a_from, b_from = _starts(in_a), _starts(in_b)
-        unit_of = np.repeat(np.arange(len(units)), n_a)[a_from]  # of each group
-        n_groups = np.bincount(unit_of, minlength=len(units))
-        links = np.zeros(len(units), np.int64)
+        unit_of = np.repeat(np.arange(n), n_a)[a_from]  # of each group
+        n_groups = np.bincount(unit_of, minlength=n)
+        links = np.zeros(n, np.int64)
         np.add.at(links, unit_of, in_a * in_b)
 
         # Pairs of small groups at once; of a large one by distinct ids.
@@ -173,15 +201,7 @@ class Aligner:
             owner.append(np.full(len(code[-1]), unit_of[g]))
         owner, code, times = _distinct(np.concatenate(owner), np.concatenate(code), np.concatenate(times))
 
-        cuts = _starts(n_groups)
-        counts = list(zip(in_a.tolist(), in_b.tolist(), strict=True))
-        for i in range(len(units)):
-            at, bt, out = 0, 0, []
-            for x, y in counts[cuts[i] : cuts[i] + n_groups[i]]:
-                left_ids, right_ids = a_ids[i][at : at + x], b_ids[i][bt : bt + y]
-                out.append(",".join(map(str, left_ids)) + "|" + ",".join(map(str, right_ids)))
-                at, bt = at + x, bt + y
-            self.text.append(";".join(out))
+        self.text += self._shown(a, b, in_a, in_b, n_a + n_b)
         known = len(self.good)
         for i, unit in enumerate(units):
             self.memory[unit] = known + i
@@ -193,6 +213,21 @@ class Aligner:
         self.count = np.concatenate([self.count, pairs])
         self.code, self.times = np.concatenate([self.code, code]), np.concatenate([self.times, times])
 
+    def _shown(self, a, b, in_a, in_b, tokens) -> list[bytes]:
+        """'a1,a2|b1;a3|b2,b3;' of each unit; ``tokens``: how many each has."""
+        a_from, b_from = _starts(in_a), _starts(in_b)
+        ids, mark = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[np.arange(len(a)) + np.repeat(b_from, in_a)] = a
+        ids[np.arange(len(b)) + np.repeat(a_from + in_a, in_b)] = b
+        mark[a_from + b_from + in_a - 1] = ord("|")
+        mark[a_from + b_from + in_a + in_b - 1] = ord(";")
+        size = self.n_digits[ids]
+        rows = self.digits[ids]
+        rows[np.arange(len(ids)), size] = mark
+        blob = rows[np.arange(self.width)[None, :] <= size[:, None]].tobytes()
+        ends = np.concatenate([[0], np.cumsum(size + 1)])[np.concatenate([[0], np.cumsum(tokens)])].tolist()
+        return [blob[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
     def _numbers(self, units: list[str]) -> np.ndarray:
         numbers = np.fromiter((self.memory.get(u, -1) for u in units), np.int64, len(units))
         if len(numbers) and numbers.min() < 0:
@@ -202,7 +237,7 @@ class Aligner:
             numbers = np.fromiter(map(self.memory.__getitem__, units), np.int64, len(units))
         return numbers
 
-    def _read(self, pieces: list[str], keep: bool) -> tuple[np.ndarray, np.ndarray, list[str], tuple]:
+    def _read(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], tuple]:
         """Of each piece: sizes, whether all its units are good, its groups; and all pairs."""
         split = [self.units(p) for p in pieces]
         numbers = self._numbers(list(chain.from_iterable(split)))
@@ -213,7 +248,7 @@ class Aligner:
         sizes = np.add.reduceat(self.sizes[numbers], start, axis=0)
         listed = numbers.tolist()
         text = [
-            ";".join([self.text[u] for u in listed[s : s + k]]) if ok else ""
+            b"".join([self.text[u] for u in listed[s : s + k]])[:-1] if ok else b""
             for s, k, ok in zip(start.tolist(), n.tolist(), good.tolist(), strict=True)
         ]
         right = good[owner]
@@ -229,15 +264,15 @@ class Aligner:
         sizes, sha, kept = np.zeros(4, np.int64), hashlib.sha256(), []
         code, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for i, piece in enumerate(self.pieces(text)):
-            more, good, groups, pairs = self._read([piece], keep)
+            more, good, groups, pairs = self._read([piece])
             if not good[0]:
-                return self._block(first, np.zeros((1, 4), np.int64), [False], [""], [""], (code[:0],) * 3)
-            sha.update((";" if i else "").encode() + groups[0].encode())
+                return self._block(first, np.zeros((1, 4), np.int64), [False], [""], [b""], (code[:0],) * 3)
+            sha.update((b";" if i else b"") + groups[0])
             kept += groups if keep else []
             sizes = sizes + more[0]
             code, times = _sums(np.concatenate([code, pairs[1]]), np.concatenate([times, pairs[2]]))
         pairs = (np.zeros(len(code), np.int64), code, times)
-        return self._block(first, sizes[None, :], [True], [sha.hexdigest()], [";".join(kept) if keep else None], pairs)
+        return self._block(first, sizes[None, :], [True], [sha.hexdigest()], [b";".join(kept) if keep else None], pairs)
 
     @staticmethod
     def _block(first, sizes, good, digest, groups, pairs) -> Aligned:
@@ -261,13 +296,13 @@ class Aligner:
             size += len(text)
 
     def _some(self, first: int, texts: list[str], keep: bool) -> Aligned:
-        sizes, good, groups, pairs = self._read([" " + t if t else "\t" for t in texts], keep)
+        sizes, good, groups, pairs = self._read([" " + t if t else "\t" for t in texts])
         empty = np.array([not t for t in texts])
         sizes[empty] = 0
         good &= ~empty
         right = ~empty[pairs[0]]
-        digest = [hashlib.sha256(g.encode()).hexdigest() for g in groups]
-        shown = [(g if ok else "") if keep else None for g, ok in zip(groups, good.tolist(), strict=True)]
+        digest = [hashlib.sha256(g).hexdigest() for g in groups]
+        shown = [(g if ok else b"") if keep else None for g, ok in zip(groups, good.tolist(), strict=True)]
         return self._block(first, sizes, good.tolist(), digest, shown, tuple(p[right] for p in pairs))
 
 
