@@ -1,21 +1,26 @@
 """Append events, import other tables without duplicates, count what happened."""
 
-from pyspark.sql import DataFrame, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from cmdlog_spark.functions.cells import coerce_int, row_hash
 from cmdlog_spark.functions.staging import stage
 from cmdlog_spark.functions.times import day_of
 from cmdlog_spark.operators.noise import NoiseRules, drop_noise
 from cmdlog_spark.operators.numbering import assign_ids
-from cmdlog_spark.schema import HISTORY, STORED
+from cmdlog_spark.schema import HISTORY, MAX_EPOCH, STORED
 from cmdlog_spark.sources.shell_files import assign_synthetic_epoch
 from cmdlog_spark.sources.tables import table_so_far
 
 REQUIRED = ["cmd", "pwd", "epoch", "ppid", "salt"]
 FIELDS = [c for c in HISTORY.names if c != "id"]
-#: Longest list of days written into a partition filter; beyond it a range is.
-MAX_LISTED_DAYS = 1_000
+#: What a hash tells apart. Directory and command are one text in it.
+IDENTITY = ["hist_id", "epoch", "ppid", "salt"]
+#: Decimal digits of an order key: source, number in the source, length of the directory.
+SOURCE_DIGITS, NUMBER_DIGITS, LENGTH_DIGITS = 10, 20, 8
 
 
 def with_derived(df: DataFrame) -> DataFrame:
@@ -78,34 +83,94 @@ def coerce_raw(raw: DataFrame) -> DataFrame:
     return typed.withColumn("bad", bad)
 
 
-def first_per_hash(rows: DataFrame, order: list[str]) -> DataFrame:
-    """First row of each hash. Copies collapse in the task that reads them."""
-    payload = [c for c in rows.columns if c != "row_hash"]
-    first = F.min_by(F.struct(*payload), F.struct(*order))
-    return rows.groupBy("row_hash").agg(first.alias("r")).select("row_hash", "r.*")
+def _digits(value: Column, digits: int) -> Column:
+    return F.lpad(value.cast(f"decimal({digits},0)").cast("string"), digits, "0")
 
 
-def _in_days_of(target: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of ``target`` on the days of ``rows``, as a literal partition filter."""
-    days = rows.select(day_of(F.col("epoch")).alias("day")).distinct()
-    listed = [r.day for r in days.limit(MAX_LISTED_DAYS + 1).collect()]
-    if len(listed) <= MAX_LISTED_DAYS:
-        return target.where(F.col("day").isin(listed))
-    ends = days.agg(F.min("day").alias("low"), F.max("day").alias("high")).first()
-    return target.where(F.col("day").between(ends["low"], ends["high"]))
+def first_per_hash(rows: DataFrame, order: list[str]) -> DataFrame:
+    """First row of each hash in ``order``, with the columns of ``order`` and ``src``.
+
+    ``order`` is nothing, or a whole number that goes up within columns that cut the rows
+    into sources or chunks. Place and length of the directory make one number of fixed
+    width, so that copies collapse in a hash table of the task that reads them; the hash
+    itself is taken once per row that is left.
+    """
+    chunk, chunks = order[:-1], None
+    if chunk:
+        # One row per source or chunk.
+        listed = [*chunk, *(["src"] if "src" in rows.columns and "src" not in chunk else [])]
+        chunks = rows.select(*listed).distinct()
+        chunks = chunks.withColumn("chunk_no", F.row_number().over(Window.orderBy(*chunk)))
+        if chunk == ["src_ord"] and isinstance(rows.schema["src_ord"].dataType, IntegerType):
+            number = F.col("src_ord").cast("decimal(10,0)") + (1 << 31)
+            chunks = chunks.withColumn("chunk_no", number)
+        else:
+            same = F.lit(True)
+            named = chunks.select("chunk_no", *[F.col(c).alias(f"at_{c}") for c in chunk])
+            for name in chunk:
+                same = same & F.col(name).eqNullSafe(F.col(f"at_{name}"))
+            rows = rows.join(named, same)
+            number = F.col("chunk_no")
+    else:
+        number = F.lit(0)
+    # A missing number comes first.
+    place = F.col(order[-1]).cast("decimal(20,0)") + F.lit(Decimal((1 << 63) + 1)) if order else F.lit(0)
+    text = F.concat("pwd", F.lit("\n"), "cmd")
+    key = F.concat(
+        _digits(number, SOURCE_DIGITS),
+        _digits(F.coalesce(place, F.lit(0)), NUMBER_DIGITS),
+        _digits(F.char_length("pwd"), LENGTH_DIGITS),
+    ).cast("decimal(38,0)")
+    least = rows.groupBy(*IDENTITY, text.alias("text")).agg(F.min(key).alias("key"))
+    width = SOURCE_DIGITS + NUMBER_DIGITS + LENGTH_DIGITS
+    digits = F.lpad(F.col("key").cast("string"), width, "0")
+    length = F.substring(digits, SOURCE_DIGITS + NUMBER_DIGITS + 1, LENGTH_DIGITS).cast("int")
+    found = least.select(
+        *IDENTITY,
+        F.substring("text", F.lit(1), length).alias("pwd"),
+        F.substr("text", length + 2).alias("cmd"),
+        F.substring(digits, 1, SOURCE_DIGITS).cast("decimal(10,0)").alias("no"),
+        F.nullif(F.substring(digits, SOURCE_DIGITS + 1, NUMBER_DIGITS).cast("decimal(20,0)"), F.lit(0)).alias("place"),
+    ).withColumn("row_hash", row_hash())
+    columns = ["row_hash", *IDENTITY, "pwd", "cmd"]
+    if not order:
+        return found.select(*columns)
+    last = (F.col("place") - F.lit(Decimal((1 << 63) + 1))).cast("bigint").alias(order[-1])
+    if chunks is None:
+        return found.select(*columns, last)
+    named = found.join(chunks, F.col("no") == F.col("chunk_no"))
+    return named.select(*columns, *[c for c in chunks.columns if c != "chunk_no"], last)
+
+
+def _on_days_of(target: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of a table partitioned by day that lie on the days of ``rows``.
+
+    The list of days, of which there are fewer than four million, is written and prunes
+    the partitions when the job runs: Spark reuses the broadcast of a plain scan for that.
+    """
+    days = stage(rows.select(day_of(F.col("epoch")).alias("day")).distinct(), "days")
+    # True of every day; Spark prunes at run time only for a side that has a filter.
+    days = days.where(F.col("day") <= day_of(F.lit(MAX_EPOCH).cast("bigint")))
+    return target.join(F.broadcast(days), "day", "left_semi")
 
 
 def hashes_of(target: DataFrame, days_from: DataFrame | None = None) -> DataFrame:
     """Distinct hashes of a table, stored or derived.
 
-    Equal hashes have equal epochs, so of a table partitioned by day only the
-    days that occur in ``days_from`` are read.
+    Of a table partitioned by day only what meets ``days_from`` is read and kept: equal
+    hashes have equal epochs, so other days are pruned, and of the rest only hashes that
+    occur there are shuffled. For that last step Spark broadcasts them, or tests a Bloom
+    filter of them in the scan where they are many.
     """
-    if days_from is not None and "day" in target.columns:
-        target = _in_days_of(target, days_from)
+    pruned = days_from is not None and "day" in target.columns
+    if pruned:
+        target = _on_days_of(target, days_from)
     if "row_hash" not in target.columns:
         target = target.withColumn("row_hash", row_hash())
-    return target.select("row_hash").distinct()
+    hashes = target.select("row_hash")
+    if pruned and "row_hash" in days_from.columns:
+        hashes = hashes.join(days_from.select("row_hash"), "row_hash", "left_semi")
+    return hashes.distinct()
 
 
 def unseen(
@@ -150,8 +215,8 @@ def merge_typed(
     target: DataFrame, rows: DataFrame, order: list[str]
 ) -> tuple[DataFrame, DataFrame]:
     """New rows and counters for rows that carry ``src``, ``src_ord``, ``bad``."""
-    good = rows.where(~F.col("bad")).drop("bad").withColumn("row_hash", row_hash())
-    new_rows = unseen(first_per_hash(good, order), target, days_from=good)
+    once = first_per_hash(rows.where(~F.col("bad")), order)
+    new_rows = unseen(once, target, days_from=once)
     return new_rows, import_stats(rows, new_rows)
 
 
@@ -212,15 +277,15 @@ def insert_new_rows(spark: SparkSession, path: str, new_rows: DataFrame) -> None
 def _import(spark: SparkSession, path: str, rows: DataFrame, order: list[str]) -> DataFrame:
     """Merge into the table at ``path`` and return the counters.
 
-    Sources and new rows are written once each: both are read several times,
-    and the counters must not see the table after the append.
+    Sources, their distinct rows and the new rows are written once each: all are read
+    several times, and the counters must not see the table after the append.
     """
     rows = stage(rows, "import-rows")
     target = table_so_far(spark, path)
     if target is None:
         target = spark.createDataFrame([], HISTORY)
-    new_rows, _ = merge_typed(target, rows, order)
-    new_rows = stage(new_rows, "import-new")
+    once = stage(first_per_hash(rows.where(~F.col("bad")), order), "import-once")
+    new_rows = stage(unseen(once, target, days_from=once), "import-new")
     insert_new_rows(spark, path, new_rows)
     return import_stats(rows, new_rows)
 

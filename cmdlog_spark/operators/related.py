@@ -18,6 +18,8 @@ SESSION = ["salt", "ppid"]
 HOT_HOUR_ROWS = 128
 #: Commands per directory up to which their pairs are formed directly.
 HOT_DIRECTORY_COMMANDS = 128
+#: Commands of a directory beyond which it is cut into blocks.
+BLOCK_COMMANDS = 100_000
 #: Lists of hot groups are broadcast up to this length, joined by key beyond.
 MAX_BROADCAST_GROUPS = 10_000
 #: Halvings that take an hour down to single seconds.
@@ -48,80 +50,80 @@ def _ranked(counts: DataFrame, k: int) -> DataFrame:
 # One base command ----------------------------------------------------------
 
 
-def session_partners(
-    df: DataFrame, cmd: str, k: int = SESSION_COUNT, own: DataFrame | None = None
-) -> DataFrame:
+def session_partners(df: DataFrame, cmd: str, k: int = SESSION_COUNT) -> DataFrame:
     """Commands run within an hour of ``cmd`` in its sessions, by row pairs.
 
-    Pairs are counted, not formed. The base command shrinks to one row per
-    session and second. Running sums over one session and hour, at most a row
-    per second, say how many of its runs lie near each second; other commands
-    look that number up. ``own`` are the rows of ``cmd`` where at hand.
-
-    The shrunken base is written first: it is read twice, and its known size
-    lets Spark broadcast a small one instead of shuffling the table.
+    Pairs are counted, not formed, in one sweep: equal rows collapse in the task that
+    reads them, runs of the base command stand in their own hour and the two beside it,
+    and running sums over one session and hour say how many of them lie near each row.
     """
     hour = _hour(F.col("epoch"))
-    own = df.where(command_is(cmd)) if own is None else own
-    base = stage(
-        own.groupBy(*SESSION, "epoch").agg(F.count("*").alias("runs")), "base-seconds"
-    )
-    around = base.select(
-        *SESSION,
-        F.explode(F.array(*[hour + F.lit(d) for d in (-1, 0, 1)])).alias("hour"),
-        "epoch",
-        "runs",
-    )
-    others = (
-        df.where(command_differs(cmd))
-        .select(*SESSION, hour.alias("hour"), "epoch", "cmd")
-        .join(around.select(*SESSION, "hour").distinct(), [*SESSION, "hour"], "left_semi")
-    )
-    seconds = others.select(*SESSION, "hour", "epoch").distinct()
-    marks = around.withColumn("asked", F.lit(False)).unionByName(
-        seconds.withColumns({"runs": F.lit(0).cast("bigint"), "asked": F.lit(True)})
+    is_base = command_is(cmd)
+    whole = F.col("cmd").isNotNull() & F.col("epoch").isNotNull()
+    for name in SESSION:
+        whole = whole & F.col(name).isNotNull()
+    hours = F.when(is_base, F.array(hour - 1, hour, hour + 1)).otherwise(F.array(hour))
+    seconds = (
+        df.where(whole)
+        .select(
+            *SESSION,
+            F.explode(hours).alias("hour"),
+            "epoch",
+            F.when(~is_base, F.col("cmd")).alias("cmd"),  # null marks the base
+        )
+        .groupBy(*SESSION, "hour", "epoch", "cmd")
+        .agg(F.count("*").alias("runs"))
     )
+    base_runs = F.when(F.col("cmd").isNull(), F.col("runs")).otherwise(0)
     by_time = Window.partitionBy(*SESSION, "hour").orderBy("epoch")
-    upto = F.sum("runs").over(
+    upto = F.sum(base_runs).over(
         by_time.rangeBetween(Window.unboundedPreceding, WINDOW_SECONDS - 1)
     )
-    long_before = F.sum("runs").over(
+    long_before = F.sum(base_runs).over(
         by_time.rangeBetween(Window.unboundedPreceding, -WINDOW_SECONDS)
     )
-    near = (
-        marks.withColumn("near", upto - F.coalesce(long_before, F.lit(0)))
-        .where(F.col("asked") & (F.col("near") > 0))
-        .select(*SESSION, "epoch", "near")
-    )
+    near = F.col("near").cast("decimal(19,0)") * F.col("runs").cast("decimal(19,0)")
     counts = (
-        others.join(near, [*SESSION, "epoch"])
+        seconds.withColumn("near", upto - F.coalesce(long_before, F.lit(0)))
+        .where(F.col("cmd").isNotNull() & (F.col("near") > 0))
         .groupBy("cmd")
-        .agg(
-            F.sum(F.col("near").cast("decimal(19,0)")).cast(WIDE).alias("co_occurrences"),
-            F.max("epoch").alias("latest"),
-        )
+        .agg(F.sum(near).cast(WIDE).alias("co_occurrences"), F.max("epoch").alias("latest"))
     )
     return _ranked(counts, k)
 
 
-def directory_partners(
-    df: DataFrame, cmd: str, k: int = DIRECTORY_COUNT, own: DataFrame | None = None
-) -> DataFrame:
+def directory_partners(df: DataFrame, cmd: str, k: int = DIRECTORY_COUNT) -> DataFrame:
     """Commands run in the directories of ``cmd``, by row pairs.
 
-    The base command shrinks to one row per directory, so every other row
-    meets at most one row and adds that directory's runs.
+    Rows shrink to one per directory and command, which is written: it is read for the
+    sizes of directories, too. A directory of more than a thousandth of those rows is cut
+    into blocks by command, so there are a thousand such directories at most.
     """
-    own = df.where(command_is(cmd)) if own is None else own
-    base = own.groupBy("pwd").agg(F.count("*").alias("runs"))
+    grouped = (
+        df.where(F.col("pwd").isNotNull() & F.col("cmd").isNotNull())
+        .groupBy("pwd", "cmd")
+        .agg(F.count("*").alias("n"), F.max("epoch").alias("latest"))
+    )
+    grouped = stage(grouped, "directory-commands")
+    base = grouped.where(command_is(cmd)).select("pwd", F.col("n").alias("runs"))
+    block = max(BLOCK_COMMANDS, grouped.count() // 1_000)
+    large = grouped.groupBy("pwd").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    large = F.broadcast(large.where(F.col("blocks") > 1))
+    number = F.pmod(F.xxhash64("cmd"), F.col("blocks")).cast("int")
+    blocks = F.coalesce("blocks", F.lit(1))
+    rows = grouped.join(large, "pwd", "left").withColumn("block", F.coalesce(number, F.lit(0)))
+    base = base.join(large, "pwd", "left").select(
+        "pwd", "runs", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
+    )
     counts = (
-        df.where(command_differs(cmd))
-        .select("pwd", "cmd", "epoch")
-        .join(base, "pwd")
+        rows.where(command_differs(cmd))
+        .join(base, ["pwd", "block"])
         .groupBy("cmd")
         .agg(
-            F.sum(F.col("runs").cast("decimal(19,0)")).cast(WIDE).alias("co_occurrences"),
-            F.max("epoch").alias("latest"),
+            F.sum(F.col("runs").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)"))
+            .cast(WIDE)
+            .alias("co_occurrences"),
+            F.max("latest").alias("latest"),
         )
     )
     return _ranked(counts, k)
@@ -385,9 +387,7 @@ def _as_list(partners: DataFrame, cmd: str, list_no: int, order: list) -> DataFr
     )
 
 
-def suggestions(
-    df: DataFrame, cmd: str, limit: int = SUGGESTIONS, own: DataFrame | None = None
-) -> DataFrame:
+def suggestions(df: DataFrame, cmd: str, limit: int = SUGGESTIONS) -> DataFrame:
     """Related commands of ``cmd``: advice, same tool, same session, same place."""
     counted = [F.desc("co_occurrences"), F.desc("latest"), "cmd"]
     base = df.sparkSession.range(1).select(F.lit(cmd).alias("base"))
@@ -395,8 +395,8 @@ def suggestions(
         [
             semantic_list(base),
             _as_list(tool_partners(df, cmd), cmd, TOOL, [F.desc("latest"), "cmd"]),
-            _as_list(session_partners(df, cmd, own=own), cmd, IN_SESSION, counted),
-            _as_list(directory_partners(df, cmd, own=own), cmd, IN_DIRECTORY, counted),
+            _as_list(session_partners(df, cmd), cmd, IN_SESSION, counted),
+            _as_list(directory_partners(df, cmd), cmd, IN_DIRECTORY, counted),
         ],
         limit,
     )

@@ -116,7 +116,7 @@ def start_merge(
         # Read twice below; kept, or the source and any state would run again.
         batch = batch.persist()
         try:
-            once = first_per_hash(batch, ["epoch"])
+            once = first_per_hash(batch, [])
             target = table_so_far(batch.sparkSession, path, STORED)
             new_rows = once if target is None else unseen(once, target, days_from=batch)
             numbered = with_new_ids(new_rows.select(batch.columns), last_id(target))

@@ -7,6 +7,8 @@ from cmdlog_spark.demo import raw
 from cmdlog_spark.functions.cells import row_hash
 from cmdlog_spark.operators import merge, numbering
 from cmdlog_spark.operators.noise import NoiseRules
+from cmdlog_spark.schema import STORED
+from cmdlog_spark.sources import tables
 
 EVENTS = [
     {"cmd": "a", "epoch": 1},
@@ -78,18 +80,31 @@ def test_only_touched_days_of_the_target_are_read(spark, make_history, tmp_path)
     new_rows, _ = merge.merge_import(spark.read.parquet(path), raw(df, "s", 0))
     plan = new_rows._jdf.queryExecution().executedPlan().toString()
     [filters] = [x for x in plan.splitlines() if "PartitionFilters" in x]
-    # Days 1 and 3 since 1970.
-    assert re.search(r"PartitionFilters: \[[^]]*day#\d+ IN \((1970-01-02,1970-01-04|1970-01-04,1970-01-02)\)", filters)
+    assert re.search(r"PartitionFilters: \[[^]]*dynamicpruning", filters)
     assert [r.cmd for r in new_rows.collect()] == ["y"]
+    # Files of other days may be gone: nothing reads them.
+    for day in ("1970-01-01", "1970-01-03", "1970-01-05"):
+        for file in (tmp_path / "t" / f"day={day}").glob("*.parquet"):
+            file.write_bytes(b"no parquet")
+    table = spark.read.schema(STORED).parquet(path)
+    again, _ = merge.merge_import(table, raw(df, "s", 0))
+    assert [r.cmd for r in again.collect()] == ["y"]
 
 
-def test_many_days_are_pruned_by_range(spark, make_history, tmp_path, monkeypatch):
-    monkeypatch.setattr(merge, "MAX_LISTED_DAYS", 1)
+def test_copies_collapse_in_hash_tables(spark, make_history, tmp_path):
+    """One scan of each side, no sort for the first of each hash, and texts of any shape."""
     path = str(tmp_path / "t")
-    merge.append_events(make_history(*[{"cmd": "x", "epoch": d * 86_400} for d in range(4)]), path)
-    df = make_history(*[{"cmd": "x", "epoch": d * 86_400} for d in range(6)])
-    new_rows, _ = merge.merge_import(spark.read.parquet(path), raw(df, "s", 0))
-    assert sorted(r.epoch for r in new_rows.collect()) == [4 * 86_400, 5 * 86_400]
+    rows = [{"cmd": c, "epoch": e, "pwd": p} for c in ("", "x", "\n", "é\nx") for p in ("", "/", "\n/") for e in (1, 2)]
+    df = make_history(*rows, *rows)
+    merge.append_events(df.where("id > 40"), path, no_filter=True)
+    new_rows, _ = merge.merge_import(tables.scan_history(spark, path), raw(df, "s", 0))
+    plan = new_rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    first, held = {}, {r.row_hash for r in tables.scan_history(spark, path).collect()}
+    for r in df.withColumn("row_hash", row_hash()).orderBy("id").collect():
+        first.setdefault(r.row_hash, (r.id, r.pwd, r.cmd, r.epoch))
+    want = sorted(v for k, v in first.items() if k not in held)
+    assert sorted((r.id, r.pwd, r.cmd, r.epoch) for r in new_rows.collect()) == want
 
 
 def test_present_and_unseen_split_the_rows(make_history):
