@@ -29,7 +29,7 @@ from cmdlog_spark.operators import (
 )
 from cmdlog_spark.plans import reports
 from cmdlog_spark.schema import EVENT
-from cmdlog_spark.sinks import export
+from cmdlog_spark.sinks import export, quarantine
 from cmdlog_spark.sources import legacy, shell_files, tables
 from cmdlog_spark.streaming import intake
 
@@ -109,6 +109,12 @@ def _staged_history(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _listed(values) -> F.Column:
+    """A map as text, its keys in order."""
+    pairs = F.array_sort(F.map_entries(values))
+    return F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+
+
 # Sources -------------------------------------------------------------------
 
 
@@ -216,23 +222,70 @@ _CATALOG_SIZE = "CASE p_partkey % 10 " + " ".join(
 ) + " END"
 
 
+def _sql_text(value) -> str:
+    if value is None or isinstance(value, bool):
+        return {None: "null", True: "true", False: "false"}[value]
+    return value
+
+
+_CATALOG_VARIABLES = "CASE p_partkey % 10 " + " ".join(
+    "WHEN {} THEN '{}'".format(
+        i, "|".join(":".join([n, "null", _sql_text(r), _sql_text(d)]) for n, r, d in variables)
+    )
+    for i, variables in enumerate(demo.TEMPLATE_VARIABLES)
+) + " END"
+
+
 @_query(
     "a5_template_scan",
     f"""SELECT 't' || p_partkey AS id, CASE WHEN p_size = 1 THEN '' ELSE p_name END AS name,
         CASE WHEN p_size % 2 = 0 THEN p_brand END AS description, {_CATALOG_COMMAND} AS command,
-        p_type AS category, CAST({_CATALOG_SIZE} AS BIGINT) AS variables,
-        CAST(CASE p_partkey % 10 WHEN 4 THEN 1 WHEN 9 THEN 1 ELSE 0 END AS BIGINT) AS defaults
+        p_type AS category, {_CATALOG_VARIABLES} AS variables,
+        CASE p_partkey % 10 WHEN 4 THEN 'user=root' WHEN 9 THEN 'x={{y}}' ELSE '' END AS defaults
     FROM part""",
 )
 def _(spark, sf_dir):
     path = staging_path(spark, "templates")
     demo.templates(spark, sf_dir).write.json(path)
-    sizes = {c: F.size(c).cast("bigint") for c in ("variables", "defaults")}
-    return tables.read_templates(spark, path).withColumns(sizes)
+    null = F.lit("null")
+    fields = ("name", "description", "required", "default")
+    variable = lambda v: F.concat_ws(":", *[F.coalesce(v[f].cast("string"), null) for f in fields])
+    return tables.read_templates(spark, path).withColumns(
+        {"variables": F.array_join(F.transform("variables", variable), "|"), "defaults": _listed(F.col("defaults"))}
+    )
 
 
 # Sinks ---------------------------------------------------------------------
 
+_DAMAGE = """CASE WHEN id % 7 = 0 THEN 'no pwd' WHEN id % 11 = 0 THEN 'no epoch' END"""
+
+
+def _damaged(h: DataFrame) -> DataFrame:
+    """Events of which some lack a field."""
+    return h.withColumns(
+        {
+            "pwd": F.when(F.col("id") % 7 != 0, F.col("pwd")),
+            "epoch": F.when(F.col("id") % 11 != 0, F.col("epoch")),
+        }
+    )
+
+
+def _kept_and_put_aside(spark: SparkSession, path: str) -> DataFrame:
+    stored = tables.scan_history(spark, path).agg(F.lit("stored").alias("reason"), F.count("*").alias("rows"))
+    return quarantine.quarantine_counts(spark, path).unionByName(stored)
+
+
+@_query(
+    "b1_bad_events",
+    f"""SELECT reason, count(*) AS rows FROM (SELECT {_DAMAGE} AS reason FROM history)
+    WHERE reason IS NOT NULL GROUP BY reason
+    UNION ALL SELECT 'stored', count(*) FROM quiet WHERE ({_DAMAGE}) IS NULL""",
+)
+def _(spark, sf_dir):
+    path = staging_path(spark, "events")
+    merge.append_events(_damaged(demo.history(spark, sf_dir)).drop("id"), path, _RULES)
+    return _kept_and_put_aside(spark, path)
+
 
 @_query(
     "b1_append_events",
@@ -388,13 +441,15 @@ def _(spark, sf_dir):
     per AS (SELECT 'first' AS src, (SELECT count(*) FROM hashed) AS considered,
             (SELECT count(*) FROM fresh) AS inserted, 0 AS skipped_bad
         UNION ALL SELECT 'second', (SELECT count(*) FROM hashed), 0,
-            (SELECT count(*) FROM hashed WHERE id % 10 = 0))
+            (SELECT count(*) FROM hashed WHERE id % 10 = 0)
+        UNION ALL SELECT 'third', 0, 0, 0)
     SELECT src, considered, inserted, CAST(skipped_bad AS BIGINT) AS skipped_bad FROM per
     UNION ALL SELECT 'total', CAST(sum(considered) AS BIGINT), CAST(sum(inserted) AS BIGINT),
         CAST(sum(skipped_bad) AS BIGINT) FROM per""",
 )
 def _(spark, sf_dir):
-    _, stats = merge.merge_import(*_merge_parts(spark, sf_dir))
+    # The third source has no rows.
+    _, stats = merge.merge_import(*_merge_parts(spark, sf_dir), sources=["first", "second", "third"])
     return stats.drop("src_ord")
 
 
@@ -921,35 +976,65 @@ def _(h):
     return _suggested(related.suggestions_all(h))
 
 
+def _since(column: str) -> str:
+    """Text of an age, as the relative times of previews."""
+    age = f"({NOW} - {column})"
+    return f"""CASE WHEN {age} < 0 THEN 'in the future' WHEN {age} < 60 THEN {age} || 's ago'
+        WHEN {age} < 3600 THEN {age} // 60 || 'm ago' WHEN {age} < 86400 THEN {age} // 3600 || 'h ago'
+        WHEN {age} < 604800 THEN {age} // 86400 || 'd ago'
+        ELSE strftime(make_timestamp({column} * 1000000), '%Y-%m-%d') END"""
+
+
 @_history_query(
     "i5_preview_profile",
-    f"""SELECT *, 'git' AS type, 'Shows working directory status and changes' AS context
+    f"""SELECT *, {_since("first_used")} AS first_seen, {_since("last_used")} AS last_seen,
+        'git' AS type, 'Shows working directory status and changes' AS context
     FROM ({_PROFILE} WHERE cmd = '{BASE}' GROUP BY cmd)""",
 )
 def _(h):
-    return reports.preview(h, BASE, NOW)["profile"].drop("first_seen", "last_seen")
+    return reports.preview(h, BASE, NOW)["profile"]
+
+
+@_history_query(
+    "i5_preview_directories",
+    f"""WITH d AS (SELECT DISTINCT pwd FROM history WHERE cmd = '{BASE}')
+    SELECT '{BASE}' AS cmd, (SELECT string_agg(pwd, '|' ORDER BY pwd) FROM
+            (SELECT pwd FROM d ORDER BY pwd LIMIT 5)) AS dirs,
+        (SELECT greatest(count(*) - 5, 0) FROM d) AS more""",
+)
+def _(h):
+    shown = reports.preview(h, BASE, NOW)["directories"]
+    return shown.withColumn("dirs", F.array_join("dirs", "|"))
 
 
 @_history_query(
     "i5_preview_recent",
-    f"""SELECT id, epoch, pwd, cmd, '' AS mark FROM history WHERE cmd = '{BASE}'
-    ORDER BY epoch DESC, id DESC LIMIT 5""",
+    f"""SELECT id, epoch, pwd, cmd, '' AS mark, {_since("epoch")} AS "when" FROM history
+    WHERE cmd = '{BASE}' ORDER BY epoch DESC, id DESC LIMIT 5""",
 )
 def _(h):
-    return reports.preview(h, BASE, NOW)["recent"].drop("when")
+    return reports.preview(h, BASE, NOW)["recent"]
 
 
 @_history_query(
-    "i5_preview_related", f"SELECT base, cmd, cmd AS shown FROM ({_SUGGESTED} AND base = '{BASE}')"
+    "i5_preview_related",
+    f"""SELECT base, CAST(position AS BIGINT) AS position, cmd, CAST(list_no AS BIGINT) AS list_no,
+        cmd AS shown, CAST(rank AS BIGINT) AS rank
+    FROM ({_COMBINED}) WHERE position <= 5 AND base = '{BASE}'""",
 )
 def _(h):
-    return reports.preview(h, BASE, NOW)["related"].select("base", "cmd", "shown")
+    related_ = reports.preview(h, BASE, NOW)["related"]
+    longs = [F.col(c).cast("bigint").alias(c) for c in ("position", "list_no", "rank")]
+    return related_.select("base", "cmd", "shown", *longs)
 
 
-@_history_query("i5_preview_unknown", f"{_PROFILE} WHERE cmd = 'no such command' GROUP BY cmd")
+@_history_query(
+    "i5_preview_unknown",
+    f"""SELECT *, '' AS first_seen, '' AS last_seen, '' AS type, '' AS context
+    FROM ({_PROFILE} WHERE cmd = 'no such command' GROUP BY cmd)""",
+)
 def _(h):
-    preview = reports.preview(h, "no such command", NOW)
-    return preview["profile"].drop("first_seen", "last_seen", "type", "context")
+    return reports.preview(h, "no such command", NOW)["profile"]
 
 
 # Templates -----------------------------------------------------------------
@@ -981,18 +1066,13 @@ def _(spark, sf_dir):
 
 
 def _requests(spark, sf_dir) -> DataFrame:
-    calls = demo.assignments(spark, sf_dir)
-    ids = demo.read_table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey AS req_id", "'t' || CAST(o_custkey AS VARCHAR(20)) AS template_id"
-    )
-    return ids.join(templates.assignment_maps(calls), "req_id")
+    return templates.request_maps(demo.requests(spark, sf_dir))
 
 
 def _rendered(spark, sf_dir, **options) -> DataFrame:
     catalog = demo.templates(spark, sf_dir)
-    return templates.render_templates(catalog, _requests(spark, sf_dir), **options).drop(
-        "variables_used"
-    )
+    found = templates.render_templates(catalog, _requests(spark, sf_dir), **options)
+    return found.withColumn("variables_used", _listed(F.col("variables_used")))
 
 
 def _render_oracle(invalid: str, jobs: str) -> str:
@@ -1016,7 +1096,19 @@ def _render_oracle(invalid: str, jobs: str) -> str:
           WHEN 0 THEN 'run n' || o_orderkey || ' --size 10' WHEN 3 THEN ''
           WHEN 4 THEN 'ssh root@h' || o_custkey || '=x' WHEN 5 THEN 'make -j 4'
           WHEN 7 THEN 'echo groß' WHEN 8 THEN 'mv old old.bak'
-          ELSE 'echo ' || o_orderpriority || ' ' || o_orderpriority END END AS command
+          ELSE 'echo ' || o_orderpriority || ' ' || o_orderpriority END END AS command,
+        CASE WHEN status = 'ok' THEN concat_ws('|',
+          CASE WHEN o_orderkey % 2 = 0 THEN 'a=old' END,
+          CASE WHEN o_orderkey % 2 = 1 THEN 'b=unused' END,
+          CASE WHEN kind = 7 THEN 'größe=groß' END,
+          CASE WHEN o_orderkey % 3 <> 0 THEN 'host=h' || o_custkey || '=x' END,
+          CASE WHEN kind = 5 THEN 'jobs=4' END,
+          'name=n' || o_orderkey,
+          CASE WHEN kind = 0 THEN 'size=10' END,
+          'src=s',
+          CASE WHEN kind = 4 THEN 'user=root' END,
+          CASE WHEN kind = 9 THEN 'x={{y}}' END,
+          'y=' || o_orderpriority) END AS variables_used
     FROM judged"""
 
 
@@ -1066,14 +1158,40 @@ def _(spark, sf_dir):
 # Table care ----------------------------------------------------------------
 
 
-@_query("l1_table_profile")
+@_query(
+    "l1_table_profile",
+    """SELECT count(*) AS rows, true AS has_files, true AS has_bytes, 1.0 AS all_small, 0.0 AS none_small
+    FROM history""",
+)
 def _(spark, sf_dir):
-    return care.table_profile(spark.read.parquet(_staged_history(spark, sf_dir)))
+    # Limits that every file and none is below.
+    table = spark.read.parquet(_staged_history(spark, sf_dir))
+    one = care.table_profile(table, small_bytes=1 << 60)
+    two = care.table_profile(table, small_bytes=1).select(F.col("fragmentation").alias("none_small"), "rows")
+    return one.join(two, "rows").select(
+        "rows",
+        (F.col("files") > 0).alias("has_files"),
+        ((F.col("size_mb") > 0) & (F.col("size_mb") == F.col("small_mb"))).alias("has_bytes"),
+        F.col("fragmentation").alias("all_small"),
+        "none_small",
+    )
 
 
-@_query("l1_table_health")
+@_query(
+    "l1_table_health",
+    """SELECT 'all' AS of, 'table.rows' AS "check", 'ok' AS status, count(*) || ' rows' AS told FROM history
+    UNION ALL SELECT 'all', 'table.files', 'warn', '100.0%'
+    UNION ALL SELECT 'none', 'table.rows', 'ok', count(*) || ' rows' FROM history""",
+)
 def _(spark, sf_dir):
-    return care.table_health(spark.read.parquet(_staged_history(spark, sf_dir)))
+    # Notices with every file and with none below the limit; no more than the counts are compared.
+    table = spark.read.parquet(_staged_history(spark, sf_dir))
+    told = F.regexp_extract("detail", "^([0-9]+ rows|[0-9.]+%)", 1).alias("told")
+    found = [
+        care.table_health(table, small).select(F.lit(of).alias("of"), "check", "status", told)
+        for of, small in (("all", 1 << 60), ("none", 1))
+    ]
+    return found[0].unionByName(found[1]).where(F.col("check").isin("table.rows", "table.files"))
 
 
 @_query(
@@ -1088,14 +1206,15 @@ def _(spark, sf_dir):
     "l3_describe",
     """WITH nulls AS (SELECT count(*) FILTER (WHERE hist_id IS NULL) AS n FROM history)
     SELECT 'history' AS "table", CAST(p AS BIGINT) AS position, c AS "column", t AS type,
-        CASE WHEN c = 'hist_id' THEN n ELSE 0 END AS nulls, c = 'day' AS partition
+        CASE WHEN c = 'hist_id' THEN n ELSE 0 END AS nulls, c = 'day' AS partition,
+        true AS nullable, CAST(CASE WHEN c = 'id' THEN 1 ELSE 0 END AS BIGINT) AS key
     FROM nulls, (VALUES (1, 'id', 'bigint'), (2, 'hist_id', 'bigint'), (3, 'cmd', 'string'),
         (4, 'epoch', 'bigint'), (5, 'ppid', 'bigint'), (6, 'pwd', 'string'),
         (7, 'salt', 'bigint'), (8, 'row_hash', 'string'), (9, 'day', 'date')) v(p, c, t)""",
 )
 def _(spark, sf_dir):
     table = tables.scan_history(spark, _staged_history(spark, sf_dir))
-    return care.describe_table(table, "history", ("day",)).drop("nullable")
+    return care.describe_table(table, "history", ("day",))
 
 
 @_history_query(
@@ -1121,6 +1240,22 @@ def _arrivals(spark, sf_dir, copies: int) -> tuple[DataFrame, str]:
     return intake.read_event_stream(spark, folder), staging_path(spark, "stream")
 
 
+@_query(
+    "m1_bad_events",
+    f"""SELECT CASE WHEN id % 13 = 0 THEN 'malformed' ELSE {_DAMAGE} END AS reason, count(*) AS rows
+    FROM history GROUP BY 1 HAVING reason IS NOT NULL
+    UNION ALL SELECT 'stored', count(*) FROM quiet WHERE ({_DAMAGE}) IS NULL AND id % 13 <> 0""",
+)
+def _(spark, sf_dir):
+    folder, path = staging_path(spark, "arrivals"), staging_path(spark, "stream")
+    line = F.to_json(F.struct(*EVENT.names))
+    cut = F.when(F.col("id") % 13 == 0, F.substring(line, 1, 20)).otherwise(line)
+    _damaged(demo.history(spark, sf_dir)).select(cut.alias("value")).write.text(folder)
+    stream = intake.read_event_stream(spark, folder)
+    intake.start_intake(stream, path, f"{path}-state", rules=_RULES).awaitTermination()
+    return _kept_and_put_aside(spark, path)
+
+
 @_query("m1_stream_intake", "SELECT hist_id, cmd, epoch, ppid, pwd, salt, row_hash FROM quiet")
 def _(spark, sf_dir):
     events, path = _arrivals(spark, sf_dir, 1)

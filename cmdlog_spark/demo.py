@@ -211,6 +211,16 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as template calls with their arguments."""
+    table = read_table(spark, sf_dir, "orders")
+    return table.selectExpr(
+        "o_orderkey AS req_id",
+        "'t' || CAST(o_custkey AS VARCHAR(20)) AS template_id",
+        f"array({', '.join(ASSIGNMENTS)}) AS assignments",
+    )
+
+
 def write_legacy_files(df: DataFrame, folder: str, ids_per_file: int = CHUNK) -> list[str]:
     """History rows as legacy databases, one file per run of ids; their paths."""
     folder = folder.removeprefix("file://")

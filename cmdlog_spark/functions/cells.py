@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 def row_hash() -> Column:
     """SHA-256 over the fields of one event, one field per line.
 
-    A missing ``hist_id`` is an empty line: ``concat_ws`` on its own would
-    leave the line out.
+    A missing number is an empty line and a missing text a NUL, so that every field has
+    its line: ``concat_ws`` on its own would leave the line out, and rows that miss
+    different numbers would look alike.
     """
-    lines = [F.col(c).cast("string") for c in ("epoch", "ppid", "salt")]
-    lines.append(F.coalesce(F.col("hist_id").cast("string"), F.lit("")))
-    return F.sha2(F.concat_ws("\n", *lines, F.col("pwd"), F.col("cmd")), 256)
+    numbers = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("epoch", "ppid", "salt", "hist_id")]
+    texts = [F.coalesce(F.col(c), F.lit("\0")) for c in ("pwd", "cmd")]
+    return F.sha2(F.concat_ws("\n", *numbers, *texts), 256)
 
 
 # The first and the second word of a text, when an integer with optional stars.

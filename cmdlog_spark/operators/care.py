@@ -1,12 +1,14 @@
 """Look after the event table: profile, describe, audit and rewrite it."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cmdlog_spark.functions.cells import row_hash
+from cmdlog_spark.functions.staging import stage
 from cmdlog_spark.functions.times import day_of
-from cmdlog_spark.operators.merge import REQUIRED
-from cmdlog_spark.schema import HISTORY, MAX_EPOCH, MIN_EPOCH
+from cmdlog_spark.operators.ledger import Ledger
+from cmdlog_spark.schema import MAX_EPOCH, MIN_EPOCH
+from cmdlog_spark.sinks.quarantine import REQUIRED
 
 # Limits of the size and fragmentation notices.
 MEGABYTE = 1_000_000
@@ -65,8 +67,10 @@ def table_health(table: DataFrame, small_bytes: int = SMALL_FILE_BYTES) -> DataF
     return table_profile(table, small_bytes).select(F.inline(F.array_compact(checks)))
 
 
-def describe_table(df: DataFrame, name: str, partitions: tuple[str, ...] = ()) -> DataFrame:
-    """Columns of a table in order, with type, flags and observed nulls."""
+def describe_table(
+    df: DataFrame, name: str, partitions: tuple[str, ...] = (), keys: tuple[str, ...] = ("id",)
+) -> DataFrame:
+    """Columns of a table in order, with type, flags, place in the key (0: none) and observed nulls."""
     columns = [
         F.struct(
             F.lit(name).alias("table"),
@@ -75,6 +79,7 @@ def describe_table(df: DataFrame, name: str, partitions: tuple[str, ...] = ()) -
             F.lit(f.dataType.simpleString()).alias("type"),
             F.lit(f.nullable).alias("nullable"),
             F.lit(f.name in partitions).alias("partition"),
+            F.lit(keys.index(f.name) + 1 if f.name in keys else 0).cast("bigint").alias("key"),
             F.count_if(F.col(f.name).isNull()).alias("nulls"),
         )
         for i, f in enumerate(df.schema.fields, 1)
@@ -121,9 +126,31 @@ def audit(df: DataFrame) -> DataFrame:
 
 
 def _fingerprint(df: DataFrame):
-    """Row count and an order-free sum over the hashes."""
-    words = F.conv(F.substring(row_hash(), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("rows"), F.sum(words).alias("hashes")).first()
+    """Row count and an order-free sum over hashes of whole rows, stored columns too."""
+    row = F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("rows"), F.sum(row).alias("hashes")).first()
+
+
+def plan_files(table: DataFrame, target_bytes: int) -> DataFrame:
+    """Days packed into files by the bytes they take: day, first, bins.
+
+    A day's share of a file follows its rows. Days that follow each other fill a file
+    together; one that takes more than a file has several. The running sum sees one row
+    per day.
+    """
+    pieces = table.groupBy("day", F.col("_metadata.file_path").alias("file")).agg(
+        F.count("*").alias("n"), F.max("_metadata.file_size").alias("size")
+    )
+    files = pieces.groupBy("file").agg(F.sum("n").alias("all"))
+    share = F.col("size") * F.col("n") / F.col("all")
+    days = pieces.join(files, "file").groupBy("day").agg(F.sum(share).alias("bytes"))
+    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("bytes").over(earlier), F.lit(0.0))
+    return days.select(
+        "day",
+        F.floor(before / target_bytes).cast("int").alias("first"),
+        F.greatest(F.lit(1), F.ceil(F.col("bytes") / target_bytes)).cast("int").alias("bins"),
+    )
 
 
 def optimise(
@@ -131,23 +158,38 @@ def optimise(
 ) -> DataFrame:
     """Rewrite the table to a new path, sorted, in fewer and fuller files.
 
-    Rows are cut into ranges of (day, time, id), so a day that holds much of
-    the table spans several files. The source is left alone; a rewrite that
-    does not hold the same rows is an error.
+    All stored columns go along as they are: a hash that does not fit stays for the audit
+    to find, and the ledger goes too, so that a batch that is replayed after the rewrite
+    writes nothing. Days are packed by the bytes they take, and a day that holds much of
+    the table spans several files. The source is left alone; a rewrite that does not hold
+    the same rows is an error.
     """
-    table = spark.read.schema(HISTORY).parquet(source)
-    table = table.withColumns({"row_hash": row_hash(), "day": day_of(F.col("epoch"))})
+    table = spark.read.option("mergeSchema", "true").parquet(source)
+    if "row_hash" not in table.columns:
+        table = table.withColumn("row_hash", row_hash())
+    if "day" not in table.columns:
+        table = table.withColumn("day", day_of(F.col("epoch")))
     if files is None:
+        target_bytes = TARGET_FILE_BYTES
+    else:
         size = table_profile(spark.read.parquet(source)).first()["size_mb"] * MEGABYTE
-        files = max(1, round(size / TARGET_FILE_BYTES))
-    order = ["day", "epoch", "id"]
+        target_bytes = max(1, round(size / files))
+    # One row per day: fewer than four million.
+    plan = stage(plan_files(table, target_bytes), "files")
+    last = plan.agg(F.max(F.col("first") + F.col("bins"))).first()[0] or 1
+    piece = F.pmod(F.xxhash64("epoch", "id"), F.col("f_bins")).cast("int")
+    named = plan.select(F.col("day").alias("f_day"), F.col("first").alias("f_first"), F.col("bins").alias("f_bins"))
+    placed = table.join(F.broadcast(named), F.col("day").eqNullSafe(F.col("f_day")))
     (
-        table.repartitionByRange(files, *order)
-        .sortWithinPartitions(*order)
+        placed.withColumn("bin", F.col("f_first") + piece)
+        .repartitionByRange(last, "bin")
+        .sortWithinPartitions("day", "epoch", "id")
+        .select(table.columns)
         .write.partitionBy("day")
         .parquet(target)
     )
-    rewritten = spark.read.parquet(target)
+    rewritten = spark.read.schema(table.schema).parquet(target)
     if _fingerprint(rewritten) != _fingerprint(table):
         raise RuntimeError(f"{target} does not hold the rows of {source}")
+    Ledger(spark, source).copy_to(target)
     return rewritten

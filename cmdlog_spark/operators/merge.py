@@ -9,13 +9,14 @@ from pyspark.sql.types import IntegerType
 from cmdlog_spark.functions.cells import coerce_int, row_hash
 from cmdlog_spark.functions.staging import stage
 from cmdlog_spark.functions.times import day_of
+from cmdlog_spark.operators.ledger import Ledger
 from cmdlog_spark.operators.noise import NoiseRules, drop_noise
-from cmdlog_spark.operators.numbering import assign_ids
+from cmdlog_spark.operators.numbering import assign_ids, number_in_place, write_in_place
 from cmdlog_spark.schema import HISTORY, MAX_EPOCH, STORED
+from cmdlog_spark.sinks.quarantine import REQUIRED, good_events, put_aside
 from cmdlog_spark.sources.shell_files import assign_synthetic_epoch
 from cmdlog_spark.sources.tables import table_so_far
 
-REQUIRED = ["cmd", "pwd", "epoch", "ppid", "salt"]
 FIELDS = [c for c in HISTORY.names if c != "id"]
 #: What a hash tells apart. Directory and command are one text in it.
 IDENTITY = ["hist_id", "epoch", "ppid", "salt"]
@@ -44,26 +45,30 @@ def last_id(table: DataFrame | None) -> int:
     return table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()["id"]
 
 
-def with_new_ids(events: DataFrame, start: int) -> DataFrame:
-    """Number events that have no id, in the order in which they are read.
-
-    They are written first, so that a task that runs again finds the same order.
-    """
-    order = {"id": F.monotonically_increasing_id(), "src_ord": F.lit(0)}
-    return assign_ids(stage(events.withColumns(order), "events"), start).drop("src_ord")
+def first_free_id(spark: SparkSession, path: str) -> int:
+    return last_id(table_so_far(spark, path, STORED)) + 1
 
 
 def append_events(
     df: DataFrame, path: str, rules: NoiseRules | None = None, no_filter: bool = False
 ) -> None:
-    """Log events: drop noise, keep duplicates.
+    """Log events: put bad ones aside, drop noise, keep duplicates.
 
-    Events without an ``id`` get ids that go on from the table's last.
+    Events without an ``id`` get ids that go on from the table's last. They are written
+    first, so that their number is known and a task that runs again finds the same order.
     """
-    kept = df if no_filter else drop_noise(df, rules)
-    if "id" not in kept.columns:
-        kept = with_new_ids(kept, last_id(table_so_far(df.sparkSession, path, STORED)))
-    write_events(with_derived(kept), path)
+    spark = df.sparkSession
+    put_aside(df, path)
+    good = good_events(df)
+    kept = good if no_filter else drop_noise(good, rules)
+    ledger = Ledger(spark, path)
+    if "id" in df.columns:
+        write_events(with_derived(kept), path)
+        ledger.ids_given_elsewhere()
+        return
+    kept = stage(write_in_place(kept), "events")
+    entry = ledger.take(kept.count(), lambda: first_free_id(spark, path))
+    write_events(with_derived(number_in_place(kept, entry["first"] - 1)), path)
 
 
 def coerce_raw(raw: DataFrame) -> DataFrame:
@@ -187,8 +192,16 @@ def already_present(
     return rows.join(hashes_of(target, days_from), "row_hash", "left_semi")
 
 
-def import_stats(rows: DataFrame, new_rows: DataFrame) -> DataFrame:
-    """Considered, skipped and inserted rows per source, and a total row."""
+def import_stats(
+    rows: DataFrame, new_rows: DataFrame, sources: list[str] | None = None
+) -> DataFrame:
+    """Considered, skipped and inserted rows per source, and a total row.
+
+    ``sources`` are the names of all sources given, in order: one without rows has a line
+    of zeros.
+    """
+    if sources is not None and not sources:
+        raise ValueError("at least one source is required")
     considered = rows.groupBy("src_ord", "src").agg(
         F.count("*").alias("considered"), F.count_if("bad").alias("skipped_bad")
     )
@@ -200,6 +213,15 @@ def import_stats(rows: DataFrame, new_rows: DataFrame) -> DataFrame:
         F.coalesce("inserted", F.lit(0)).alias("inserted"),
         "skipped_bad",
     )
+    if sources is not None:
+        kind = per_source.schema["src_ord"].dataType
+        names = rows.sparkSession.createDataFrame(list(enumerate(sources)), "src_ord long, src string")
+        absent = names.select(
+            F.col("src_ord").cast(kind).alias("src_ord"),
+            "src",
+            *[F.lit(0).cast("bigint").alias(c) for c in ("considered", "inserted", "skipped_bad")],
+        ).join(per_source.select("src"), "src", "left_anti")
+        per_source = per_source.unionByName(absent)
     total = per_source.agg(
         F.lit(None).cast(per_source.schema["src_ord"].dataType).alias("src_ord"),
         F.lit("total").alias("src"),
@@ -212,21 +234,23 @@ def import_stats(rows: DataFrame, new_rows: DataFrame) -> DataFrame:
 
 
 def merge_typed(
-    target: DataFrame, rows: DataFrame, order: list[str]
+    target: DataFrame, rows: DataFrame, order: list[str], sources: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """New rows and counters for rows that carry ``src``, ``src_ord``, ``bad``."""
     once = first_per_hash(rows.where(~F.col("bad")), order)
     new_rows = unseen(once, target, days_from=once)
-    return new_rows, import_stats(rows, new_rows)
+    return new_rows, import_stats(rows, new_rows, sources)
 
 
-def merge_import(target: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merge_import(
+    target: DataFrame, raw: DataFrame, sources: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Rows of ``raw`` to insert into ``target``, and the counters.
 
     Sources count in the order of ``src_ord``, rows by ``id``; the first copy
-    of a row wins.
+    of a row wins. ``sources`` names them all, also those without rows.
     """
-    return merge_typed(target, coerce_raw(raw), ["src_ord", "id"])
+    return merge_typed(target, coerce_raw(raw), ["src_ord", "id"], sources)
 
 
 def typed_entries(
@@ -261,20 +285,21 @@ def merge_history_files(
 
 def number_new_rows(new_rows: DataFrame, start: int) -> DataFrame:
     """History rows with ids that go on from ``start`` in insert order."""
-    if "part" in new_rows.columns:
-        numbered = assign_ids(new_rows, start, chunk=["src_ord", "part"], order=["id"])
-    else:
-        numbered = assign_ids(new_rows, start)
+    order = [c for c in ("src_ord", "part", "id") if c in new_rows.columns]
+    numbered = assign_ids(new_rows, start, order=order)
     return numbered.select(*HISTORY.names, "row_hash")
 
 
 def insert_new_rows(spark: SparkSession, path: str, new_rows: DataFrame) -> None:
-    """Number the new rows after the largest id at ``path`` and append them."""
-    numbered = number_new_rows(new_rows, last_id(table_so_far(spark, path, STORED)))
+    """Number the new rows, a written table, after the ids taken so far and append them."""
+    entry = Ledger(spark, path).take(new_rows.count(), lambda: first_free_id(spark, path))
+    numbered = number_new_rows(new_rows, entry["first"] - 1)
     write_events(numbered.withColumn("day", day_of(F.col("epoch"))), path)
 
 
-def _import(spark: SparkSession, path: str, rows: DataFrame, order: list[str]) -> DataFrame:
+def _import(
+    spark: SparkSession, path: str, rows: DataFrame, order: list[str], sources: list[str] | None = None
+) -> DataFrame:
     """Merge into the table at ``path`` and return the counters.
 
     Sources, their distinct rows and the new rows are written once each: all are read
@@ -287,12 +312,14 @@ def _import(spark: SparkSession, path: str, rows: DataFrame, order: list[str]) -
     once = stage(first_per_hash(rows.where(~F.col("bad")), order), "import-once")
     new_rows = stage(unseen(once, target, days_from=once), "import-new")
     insert_new_rows(spark, path, new_rows)
-    return import_stats(rows, new_rows)
+    return import_stats(rows, new_rows, sources)
 
 
-def import_tables(spark: SparkSession, path: str, raw: DataFrame) -> DataFrame:
+def import_tables(
+    spark: SparkSession, path: str, raw: DataFrame, sources: list[str] | None = None
+) -> DataFrame:
     """Import ``raw`` rows of other tables into the table at ``path``."""
-    return _import(spark, path, coerce_raw(raw), ["src_ord", "id"])
+    return _import(spark, path, coerce_raw(raw), ["src_ord", "id"], sources)
 
 
 def import_history_files(

@@ -9,6 +9,8 @@ PLACEHOLDER = r"\{([^}]+)\}"
 VARIABLE_NAME = r"^\p{IsAlphabetic}[\p{IsAlphabetic}\p{N}_]*$"
 #: First opening brace with a closing one after it.
 LEFT_OVER = r"^[^{]*\{([^}]*)\}"
+#: Text and a placeholder without braces inside behind it, or the rest of a command.
+PARTS = r"(?s)(.*?)(?:\{([^{}]+)\}|\z)"
 
 
 def placeholders(command: Column) -> Column:
@@ -73,25 +75,51 @@ def parse_assignments(assignments: DataFrame) -> DataFrame:
     )
 
 
+def _last_values(entries: str) -> Column:
+    """Map of the last value of each key from a column of (key, pos, value) in order.
+
+    The column must be written, aggregated or used twice in the select: Spark then works
+    it out once, and a value is compared with the next one only.
+    """
+    following = lambda i: F.get(F.col(entries), i + 1)["key"]
+    last = F.filter(entries, lambda e, i: ~F.coalesce(following(i) == e["key"], F.lit(False)))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+
+
+def request_maps(requests: DataFrame) -> DataFrame:
+    """``vars`` and ``bad`` for requests with an array of ``assignments``; the last value wins.
+
+    The arguments of a request stay in their row: nothing is exploded or gathered.
+    """
+
+    def entry(text: Column, pos: Column) -> Column:
+        at = F.instr(text, "=")
+        key, value = F.substr(text, F.lit(1), at - 1), F.substr(text, at + 1)
+        return F.struct(key.alias("key"), pos.alias("pos"), value.alias("value"))
+
+    has_sign = lambda a: F.instr(a, "=") > 0
+    signed = F.transform(F.filter("assignments", has_sign), entry)
+    bad = F.array_min(F.filter("assignments", lambda a: ~has_sign(a)))
+    kept = [c for c in requests.columns if c != "assignments"]
+    sorted_ = requests.select(*kept, F.array_sort(signed).alias("entries"), bad.alias("bad"))
+    return sorted_.select(*kept, _last_values("entries").alias("vars"), "bad")
+
+
 def assignment_maps(assignments: DataFrame) -> DataFrame:
     """One map per request from ``req_id, pos, assignment``; the last value wins.
 
     A request gathers the arguments of one command line, whose length the
     system limits. A malformed assignment of a request is kept in ``bad``.
     """
-    found = F.when(F.col("ok"), F.struct("pos", "key", "value"))
-    latest_first = F.sort_array(F.collect_list(found), asc=False)
-    keys = F.transform("found", lambda e: e["key"])
-    last = F.filter("found", lambda e, i: F.array_position(keys, e["key"]) == i + 1)
-    pairs = F.transform(last, lambda e: F.struct(e["key"], e["value"]))
+    found = F.when(F.col("ok"), F.struct("key", "pos", "value"))
     return (
         parse_assignments(assignments)
         .groupBy("req_id")
         .agg(
-            latest_first.alias("found"),
+            F.array_sort(F.collect_list(found)).alias("entries"),
             F.min(F.when(~F.col("ok"), F.col("assignment"))).alias("bad"),
         )
-        .select("req_id", F.map_from_entries(pairs).alias("vars"), "bad")
+        .select("req_id", _last_values("entries").alias("vars"), "bad")
     )
 
 
@@ -127,6 +155,33 @@ def substitute(command: Column, values: Column) -> Column:
     )
 
 
+def compiled(command: Column) -> Column:
+    """A command as an array of (literal, name): text, and the placeholder behind it."""
+    literals = F.regexp_extract_all(command, F.lit(PARTS), F.lit(1))
+    names = F.regexp_extract_all(command, F.lit(PARTS), F.lit(2))
+    pairs = F.arrays_zip(literals.alias("literal"), names.alias("name"))
+    return F.transform(pairs, lambda p: F.struct(p["literal"].alias("literal"), F.nullif(p["name"], F.lit("")).alias("name")))
+
+
+def _joined(parts: Column, values: Column) -> Column:
+    """The parts with the values in their places; a name without a value stays in braces."""
+
+    def shown(part: Column) -> Column:
+        name = part["name"]
+        kept = F.concat(F.lit("{"), name, F.lit("}"))
+        value = F.coalesce(F.try_element_at(values, name), kept)
+        return F.when(name.isNull(), part["literal"]).otherwise(F.concat(part["literal"], value))
+
+    return F.array_join(F.transform(parts, shown), "")
+
+
+def _is_plain(values: Column) -> Column:
+    """No value can bring in a placeholder, and no key is more than a name."""
+    entries = F.map_entries(values)
+    odd = lambda e: e["value"].contains("{") | e["key"].contains("{") | e["key"].contains("}")
+    return ~F.exists(entries, odd)
+
+
 def render_templates(
     catalog: DataFrame, requests: DataFrame, mode: str = "lenient", check: bool = True
 ) -> DataFrame:
@@ -138,53 +193,71 @@ def render_templates(
     invalid for one that fails validation, unless ``check`` is off; malformed
     for a bad assignment; missing (``detail`` lists the names); or unresolved
     (``detail`` is the placeholder left). Only ok rows have text.
+
+    Templates are validated and cut into literals and placeholders once each. A request
+    joins the parts with its values; only where a value or a literal holds a brace, so
+    that replacing can make a new placeholder, keys are replaced one after the other.
     """
     if mode not in ("lenient", "strict"):
         raise ValueError(f"unknown mode {mode}")
-    fault = F.get(template_problems(), F.lit(0))
-    known = catalog.select(
+    empty = F.create_map().cast(EMPTY_MAP)
+    own = _own_defaults(F.col("variables"), strict=mode == "strict")
+    required = F.transform(F.filter("variables", lambda v: v["required"]), lambda v: v["name"])
+    judged = catalog.select(
         F.col("id").alias("template_id"),
         "command",
-        "variables",
-        "defaults",
+        required.alias("required"),
+        _over(own, F.coalesce("defaults", empty)).alias("base"),
+        template_problems().alias("problems"),
+        compiled(F.col("command")).alias("parts"),
+    )
+    fault = F.get("problems", F.lit(0))
+    known = judged.select(
+        "template_id",
+        "command",
+        "required",
+        "base",
+        "parts",
+        F.exists("parts", lambda p: p["literal"].contains("{")).alias("braces"),
         F.concat_ws(" ", fault["problem"], F.nullif(fault["subject"], F.lit(""))).alias("fault"),
-        (F.size(template_problems()) > 0).alias("invalid"),
+        (F.size("problems") > 0).alias("invalid"),
     )
     joined = requests.join(known, "template_id", "left")
-    empty = F.create_map().cast(EMPTY_MAP)
-    given = _over(F.coalesce("defaults", empty), F.coalesce("vars", empty))
-    own = _own_defaults(F.col("variables"), strict=mode == "strict")
-    resolved = joined.withColumn("values", _over(own, given))
-    missing = _names(
-        F.filter(
-            "variables",
-            lambda v: v["required"] & ~F.map_contains_key(F.col("values"), v["name"]),
-        )
-    )
-    rendered = resolved.withColumns(
-        {"missing": missing, "text": substitute(F.col("command"), F.col("values"))}
-    )
-    outcomes = [
+    failed = [
         (F.col("command").isNull(), "unknown", F.col("template_id")),
         (F.col("bad").isNotNull(), "malformed", F.col("bad")),
-        (F.size("missing") > 0, "missing", F.array_join("missing", ", ")),
-        (
-            F.col("text").rlike(LEFT_OVER),
-            "unresolved",
-            F.regexp_extract("text", LEFT_OVER, 1),
-        ),
     ]
     if check:
-        outcomes.insert(1, (F.col("invalid"), "invalid", F.col("fault")))
+        failed.insert(1, (F.col("invalid"), "invalid", F.col("fault")))
+    early = F.lit(None).cast("string")
+    for condition, name, _ in reversed(failed):
+        early = F.when(condition, name).otherwise(early)
+    # What is known to fail is not rendered.
+    resolved = joined.withColumn("early", early).withColumn(
+        "values", F.when(F.col("early").isNull(), _over(F.col("base"), F.coalesce("vars", empty)))
+    )
+    missing = F.filter("required", lambda n: ~F.map_contains_key(F.col("values"), n))
+    plain = ~F.col("braces") & _is_plain(F.col("values"))
+    text = F.when(plain, _joined(F.col("parts"), F.col("values"))).otherwise(
+        substitute(F.col("command"), F.col("values"))
+    )
+    filled = resolved.withColumn("missing", missing)
+    rendered = filled.withColumn("text", F.when(F.size("missing") == 0, text))
+    late = [
+        (F.size("missing") > 0, "missing", F.array_join("missing", ", ")),
+        (F.col("text").rlike(LEFT_OVER), "unresolved", F.regexp_extract("text", LEFT_OVER, 1)),
+    ]
     status, detail = F.lit("ok"), F.lit(None).cast("string")
-    for condition, name, text in reversed(outcomes):
+    for condition, name, told in reversed([*failed, *late]):
         status = F.when(condition, name).otherwise(status)
-        detail = F.when(condition, text).otherwise(detail)
-    return rendered.select(
+        detail = F.when(condition, told).otherwise(detail)
+    outcome = rendered.withColumns({"status": status, "detail": detail})
+    is_ok = F.col("status") == "ok"
+    return outcome.select(
         "req_id",
         "template_id",
-        status.alias("status"),
-        detail.alias("detail"),
-        F.when(status == "ok", F.col("text")).alias("command"),
-        F.when(status == "ok", F.col("values")).alias("variables_used"),
+        "status",
+        "detail",
+        F.when(is_ok, F.col("text")).alias("command"),
+        F.when(is_ok, F.col("values")).alias("variables_used"),
     )

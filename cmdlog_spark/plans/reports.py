@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cmdlog_spark.functions.commands import command_context, command_type
-from cmdlog_spark.functions.staging import stage
 from cmdlog_spark.functions.text import suggestion_text, variation_mark
 from cmdlog_spark.functions.times import local_datetime, relative_time
 from cmdlog_spark.operators.aggregate import directory_preview, profile
@@ -34,10 +33,10 @@ def search_events(
 def preview(df: DataFrame, cmd: str, now: int, shown: int = 5) -> dict[str, DataFrame]:
     """Everything known about one command; all parts are empty for an unknown one.
 
-    The rows of the command are written once and serve every part.
+    Nothing is written: each part is a scan of the rows of the command. One aggregate by
+    directory leads to the profile and the directories, a bounded heap to the recent runs.
     """
-    columns = ["id", "cmd", "epoch", "ppid", "pwd", "salt"]
-    own = stage(df.where(command_is(cmd)).select(columns), "preview")
+    own = df.where(command_is(cmd))
     usage = profile(own, cmd).select(
         "*",
         relative_time(F.col("first_used"), now).alias("first_seen"),

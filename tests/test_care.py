@@ -38,11 +38,38 @@ def test_optimise_keeps_rows_in_fewer_sorted_files(spark, table, tmp_path):
     )
 
 
+def test_optimise_carries_stored_columns(spark, table, tmp_path):
+    """Wrong hashes stay for the audit to find, and columns of other writers survive."""
+    odd = spark.read.parquet(table).withColumns(
+        {"row_hash": F.when(F.col("id") <= 5, "0").otherwise(F.col("row_hash")), "batch": F.concat(F.lit("b"), "id")}
+    )
+    odd.write.partitionBy("day").parquet(str(tmp_path / "odd"))
+    rewritten = care.optimise(spark, str(tmp_path / "odd"), str(tmp_path / "new"), files=3)
+    found = {r.check: r.rows for r in care.audit(rewritten).collect()}
+    assert found["hash.stored"] == 5
+    assert rewritten.where(F.col("batch") == F.concat(F.lit("b"), "id")).count() == 40
+
+
+def test_files_are_planned_by_bytes(spark, table):
+    days = {str(r.day): (r.first, r.bins) for r in care.plan_files(spark.read.parquet(table), 1 << 40).collect()}
+    assert set(days.values()) == {(0, 1)}
+    small = care.plan_files(spark.read.parquet(table), 500).orderBy("day").collect()
+    assert all(r.bins > 1 for r in small) and [r.first for r in small] == sorted({r.first for r in small})
+
+
+def test_a_rewrite_that_lost_rows_is_refused(spark, table, tmp_path, monkeypatch):
+    marks = iter([(1, 2), (1, 3)])
+    monkeypatch.setattr(care, "_fingerprint", lambda df: next(marks))
+    with pytest.raises(RuntimeError):
+        care.optimise(spark, table, str(tmp_path / "new"))
+
+
 def test_describe(spark, table):
     rows = care.describe_table(scan_history(spark, table), "history", ("day",)).collect()
     assert [(r.column, r.type) for r in rows][:3] == [("id", "bigint"), ("hist_id", "bigint"), ("cmd", "string")]
     assert {r.column: r.nulls for r in rows}["hist_id"] == 40
     assert [r.column for r in rows if r.partition] == ["day"]
+    assert [(r.column, r.key) for r in rows if r.key] == [("id", 1)]
 
 
 def test_audit_finds_each_kind_of_damage(make_history):

@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from cmdlog_spark.operators import aggregate, topk
 from cmdlog_spark.plans import reports
@@ -87,6 +89,30 @@ def test_key_at_with_small_chunks(make_history, monkeypatch):
     assert topk.key_at(df, 59) is None
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    keys=st.lists(st.tuples(st.sampled_from([None, 1, 2]), st.sampled_from([None, 7]), st.sampled_from("ab")), max_size=12),
+    offset=st.integers(0, 12),
+    limit=st.one_of(st.none(), st.integers(0, 4)),
+)
+def test_deep_pages_equal_shallow_ones(make_history, keys, offset, limit):
+    """Repeated and null keys, equal rows too: pages neither repeat nor lose rows."""
+    df = make_history(*[{"cmd": c, "epoch": e, "id": i} for e, i, c in keys])
+    everything = [tuple(r) for r in topk.oldest_first(df, None).collect()]
+    heap = topk.HEAP_ROWS
+    try:
+        topk.HEAP_ROWS = 0
+        deep = [tuple(r) for r in topk.oldest_first(df, limit, offset).collect()]
+        topk.HEAP_ROWS = 10**6
+        shallow = [tuple(r) for r in topk.oldest_first(df, limit, offset).collect()]
+    finally:
+        topk.HEAP_ROWS = heap
+    want = everything[offset:] if limit is None else everything[offset : offset + limit]
+    assert deep == want
+    if limit is not None:
+        assert shallow == want
+
+
 def test_newest_first(make_history):
     df, ids = pages(make_history)
     assert [r.id for r in topk.newest_first(df, 4).collect()] == ids[::-1][:4]

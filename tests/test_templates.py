@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,30 @@ def test_assignments_split_at_the_first_sign_and_the_last_counts(spark):
 def test_listing(spark):
     row = templates.list_templates(catalog(spark, *TEMPLATES[:1])).first()
     assert (row.name, row.description, row.variables) == ("SSH", "No description", 3)
+
+
+def test_compiled_parts_equal_replacing_key_by_key(spark):
+    """Random commands and values, braces in odd places too."""
+    rng = random.Random(4)
+    bits = ["{a}", "{b}", "{a b}", "{", "}", "x", "$1", "\\", "{{a}}", "{a}{b}", "", "\n", "é"]
+    rows = [
+        ("".join(rng.choices(bits, k=rng.randrange(6))), {k: rng.choice(["1", "", "{b}", "}", "z{", "$0"]) for k in rng.sample(["a", "b", "a b", "c"], 3)})
+        for _ in range(300)
+    ]
+    df = spark.createDataFrame(rows, "command string, vars map<string,string>")
+    parts = df.withColumns({"parts": templates.compiled(F.col("command")), "plain": templates._is_plain(F.col("vars"))})
+    joined = templates._joined(F.col("parts"), F.col("vars"))
+    braces = F.exists("parts", lambda p: p["literal"].contains("{"))
+    found = parts.where(F.col("plain") & ~braces).select(
+        "command", joined.alias("one"), templates.substitute(F.col("command"), F.col("vars")).alias("two")
+    ).collect()
+    assert len(found) > 40 and all(r.one == r.two for r in found)
+
+
+def test_assignments_stay_in_their_row(spark):
+    rows = [(1, ["a=1", "b=2", "a=3", "=x"]), (2, ["no sign", "a==", "also none"]), (3, []), (4, None)]
+    df = spark.createDataFrame(rows, "req_id int, assignments array<string>")
+    found = templates.request_maps(df)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.req_id: (r.vars, r.bad) for r in found.collect()}
+    assert got == {1: ({"a": "3", "b": "2", "": "x"}, None), 2: ({"a": "="}, "also none"), 3: ({}, None), 4: (None, None)}
