@@ -6,6 +6,8 @@ The table goes to the shared folder the cluster names in
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,5 +36,38 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and continue from the written files."""
     spark = df.sparkSession
     path = staging_path(spark, name)
+    if _OWNERS:
+        _OWNERS[-1].append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.staged_path = path
+    return written
+
+
+#: Lists of tables written while ``owned`` is active, the innermost last.
+_OWNERS: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def owned() -> Iterator[list[tuple[SparkSession, str]]]:
+    """Collects the tables that are staged inside, to be deleted by ``delete`` once what
+    is read from them has been written."""
+    made: list[tuple[SparkSession, str]] = []
+    _OWNERS.append(made)
+    try:
+        yield made
+    finally:
+        _OWNERS.remove(made)
+
+
+def delete(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete staged tables; one that is gone already is no error."""
+    for spark, path in tables:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    tables.clear()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables returned by ``stage`` that nothing reads any more."""
+    delete([(t.sparkSession, t.staged_path) for t in tables])

@@ -96,3 +96,20 @@ def test_audit_finds_each_kind_of_damage(make_history):
 def test_staging_uses_the_folder_of_the_session(spark):
     root = spark.sparkContext.getConf().get(staging.CHECKPOINT_DIR)
     assert staging.staging_path(spark, "x").startswith(f"{root}/cmdlog/x-")
+
+
+def test_staged_tables_go_with_their_owner(spark):
+    with staging.owned() as made:
+        one = staging.stage(spark.range(3), "one")
+        with staging.owned() as inner:
+            two = staging.stage(spark.range(4), "two")
+        three = staging.stage(spark.range(5), "three")
+    outside = staging.stage(spark.range(6), "outside")
+    assert [p for _, p in made] == [one.staged_path, three.staged_path]
+    assert [p for _, p in inner] == [two.staged_path]
+    staging.discard(three)
+    staging.delete(made)
+    assert made == [] and two.count() == 4 and outside.count() == 6
+    for table in (one, three):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST"):
+            spark.read.parquet(table.staged_path).count()
