@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cmdlog_spark.functions.staging import stage
+from cmdlog_spark.functions.staging import discard, stage
 
-__all__ = ["beside", "is_held_out", "pick", "slices", "stage", "text_or_empty", "without"]
+__all__ = ["beside", "discard", "is_held_out", "pick", "slices", "stage", "text_or_empty", "without"]
 
 # Rows whose texts a Python worker unfolds at a time.
 SLICE = 1_000
@@ -62,7 +62,10 @@ def without(docs: DataFrame, gone: DataFrame, key) -> DataFrame:
     """
     rows = beside(docs, key)
     same = F.col("x_doc_id").eqNullSafe(gone["doc_id"]) & (F.col("x_key") == gone["key"])
-    rest = rows.join(gone, same, "left_anti")
-    alike = rows.join(gone.filter("one_stays"), same, "left_semi")
-    kept = rest.unionAll(alike.dropDuplicates(["x_doc_id", "x_key"]))
+    # Sorted and merged at any size: whole texts are shuffled once.
+    kept = rows.join(gone.hint("merge"), same, "left_anti")
+    again = gone.filter("one_stays")
+    if not again.isEmpty():  # rows that are alike in id and text, of which one stays
+        alike = rows.join(again, same, "left_semi")
+        kept = kept.unionAll(alike.dropDuplicates(["x_doc_id", "x_key"]))
     return kept.drop("x_doc_id", "x_key").toDF(*docs.columns)

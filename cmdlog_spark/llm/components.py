@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cmdlog_spark.llm.common import stage
+from cmdlog_spark.llm.common import discard, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = stage(plain.filter("low < high").distinct(), "links")
     marked = _mark(edges)
     while True:
-        edges = stage(_small_star(_large_star(edges)), "links")
+        before, edges = edges, stage(_small_star(_large_star(edges)), "links")
+        discard(before)
         mark = _mark(edges)
         if mark == marked:
             break

@@ -9,16 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cmdlog_spark.llm.common import pick, slices, stage, text_or_empty, without
+from cmdlog_spark.llm.common import discard, pick, slices, stage, text_or_empty, without
 from cmdlog_spark.llm.components import components
 from cmdlog_spark.llm.words import LOWER, mix, shingle_hashes
 
-# Cells of the frequency table: a power of two between these, by the number of shingles.
-LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 24
-SHINGLES_PER_CELL = 128
+# Cells of the frequency table, at any size of the corpus.
+CELLS = 1 << 20
 # Parts of the suffix filter.
 PARTS = 64
-PAGE = 1 << 14
+PAGE = 1 << 16
 # Documents whose ids are broadcast to fetch their texts; more are shuffled.
 FEW = 200_000
 
@@ -45,48 +44,52 @@ def _cells(codes: np.ndarray, cells: int) -> np.ndarray:
     return (codes & np.uint64(cells - 1)).astype(np.int64)
 
 
-def frequencies(sets: DataFrame, codes_of, cells: int) -> np.ndarray:
+def frequencies(sets: DataFrame, codes_of, cells: int = CELLS) -> np.ndarray:
     """For each cell a step of the logarithm of its shingles, over all rows of ``sets``.
 
-    ``codes_of`` gives the shingles of a batch. The table has a fixed most size, whatever
-    the number of documents; shingles that share a cell only blur the order in which
-    prefixes are taken, not the result.
+    ``codes_of`` gives the shingles of a batch. The table has one size, whatever the number
+    of documents; shingles that share a cell only blur the order in which prefixes are
+    taken, not the result. Every task hands on its counts as a few packed pages, which
+    are summed as they come by, first in groups of tasks.
     """
+    pages = -(-cells // PAGE)
+
+    def packed(total: np.ndarray) -> pd.DataFrame:
+        parts = [total[p * PAGE : (p + 1) * PAGE].astype("<i8") for p in range(pages)]
+        some = [p for p in range(pages) if parts[p].any()]
+        return pd.DataFrame({"page": np.array(some, np.int32), "counts": [parts[p].tobytes() for p in some]})
 
     def count(batches):
         total = np.zeros(cells, np.int64)
         for batch in slices(batches):
             total += np.bincount(_cells(codes_of(batch), cells), minlength=cells)
-        some = np.flatnonzero(total)
-        for start in range(0, len(some), 100_000):
-            part = some[start : start + 100_000]
-            yield pd.DataFrame({"cell": part.astype(np.int32), "n": total[part]})
-
-    counted = sets.mapInPandas(count, "cell int, n long")
-    # Steps of 1/8 of a doubling, one byte each.
-    step = F.least(F.floor(F.log2("n") * 8), F.lit(255)).cast("int")
-    summed = counted.groupBy("cell").agg(F.sum("n").alias("n"))
-    summed = summed.select("cell", step.alias("step"), F.floor(F.col("cell") / PAGE).cast("int").alias("page"))
-
-    def write_page(group: pd.DataFrame) -> pd.DataFrame:
-        page = np.zeros(PAGE, np.uint8)
-        page[group["cell"].to_numpy() % PAGE] = group["step"].to_numpy()
-        return pd.DataFrame({"page": group["page"].iloc[:1], "steps": [page.tobytes()]})
+        yield packed(total)
+
+    def add(batches):
+        total = np.zeros(pages * PAGE, np.int64)
+        for batch in batches:
+            for page, counts in zip(batch["page"], batch["counts"], strict=True):
+                part = np.frombuffer(counts, "<i8")
+                total[page * PAGE : page * PAGE + len(part)] += part
+        yield packed(total)
+
+    kinds = "page int, counts binary"
+    few = sets.mapInPandas(count, kinds).repartition(16).mapInPandas(add, kinds)
+
+    def steps(batches):
+        # Steps of 1/8 of a doubling, one byte each.
+        for batch in add(batches):
+            total = [np.frombuffer(c, "<i8") for c in batch["counts"]]
+            step = [np.minimum(np.log2(np.maximum(t, 1)) * 8, 255).astype(np.uint8).tobytes() for t in total]
+            yield pd.DataFrame({"page": batch["page"], "steps": step})
 
     table = np.zeros(cells, np.uint8)
-    # MOST_CELLS bytes at most.
-    for row in summed.groupBy("page").applyInPandas(write_page, "page int, steps binary").collect():
-        table[row.page * PAGE : (row.page + 1) * PAGE] = np.frombuffer(row.steps, np.uint8)
+    for row in few.repartition(pages, "page").mapInPandas(steps, "page int, steps binary").collect():  # CELLS bytes
+        part = np.frombuffer(row.steps, np.uint8)
+        table[row.page * PAGE : row.page * PAGE + len(part)] = part
     return table
 
 
-def enough_cells(shingles: float) -> int:
-    cells = LEAST_CELLS
-    while cells < MOST_CELLS and cells * SHINGLES_PER_CELL < shingles:
-        cells *= 2
-    return cells
-
-
 def rare_first(codes: np.ndarray, table: np.ndarray, percent: int) -> np.ndarray:
     """The prefix of an ascending set: its rarest shingles, ties in order of codes."""
     order = np.argsort(table[_cells(codes, len(table))], kind="stable")
@@ -251,7 +254,9 @@ def _sets(docs: DataFrame, reps: DataFrame, codes: DataFrame, settings: Settings
             )
 
     built = rows.mapInPandas(build, "code long, shingles binary")
-    return stage(built.groupBy("code").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = stage(built.groupBy("code").agg(F.first("shingles").alias("shingles")), "sets")
+    discard(wanted)
+    return sets
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -287,12 +292,11 @@ def jaccard_links(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataF
     """
     rows = pick(docs, doc_id="long", text="string").withColumn("key", text_key(text_or_empty()))
     spark = docs.sparkSession
-    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
 
     def codes_of(batch: pd.DataFrame) -> np.ndarray:
         return shingle_sets(batch["text"].fillna("").tolist(), settings.size)[0]
 
-    table = frequencies(rows.select("text"), codes_of, enough_cells(chars / 7))
+    table = frequencies(rows.select("text"), codes_of)
     shared = spark.sparkContext.broadcast(table)
     signed = signatures(rows, settings, shared)
     # Equal sets are one from here on.
@@ -305,7 +309,7 @@ def jaccard_links(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataF
     reps = stage(reps, "sets-once")
     postings = reps.select("code", "n", F.posexplode("prefix").alias("at", "gram"))
     common = postings.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    members = stage(postings.join(common, "gram").drop("df"), "members")
+    stored = members = stage(postings.join(common, "gram").drop("df"), "members")
 
     # Central documents are those whose rare elements others have too, as the original of
     # edited copies: the edits are rare, so the copies' prefixes begin with their own.
@@ -344,6 +348,7 @@ def jaccard_links(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataF
     codes = rest.select(F.col("a").alias("code")).unionAll(rest.select(F.col("b").alias("code"))).distinct()
     more = _sets(rows, reps, codes.join(sets, "code", "left_anti"), settings)
     late = stage(_verify(rest, sets.unionAll(more), settings.percent), "rest-links")
+    discard(reps, stored, near, sets, placed, rest, more)
     return signed, links.unionAll(late)
 
 

@@ -264,8 +264,7 @@ def _prefixes(sets: DataFrame, settings: Settings) -> DataFrame:
     def codes_of(batch: pd.DataFrame) -> np.ndarray:
         return np.frombuffer(b"".join(batch["shingles"]), np.uint64)
 
-    total = sets.agg(F.coalesce(F.sum(F.length("shingles")), F.lit(0)).alias("n")).first().n / 8
-    table = ngram_join.frequencies(sets.select("shingles"), codes_of, ngram_join.enough_cells(total))
+    table = ngram_join.frequencies(sets.select("shingles"), codes_of)
     shared = sets.sparkSession.sparkContext.broadcast(table)
 
     def take(batches):

@@ -23,7 +23,8 @@ ASSIGN = (
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 BASE_KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
-RANDOM = "[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+RANDOM = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 # Lengths in one family of tests: a false-discovery rate holds within each.
 BANDS = (20, 24, 32, 48, 64, 128)
 # Steps of -log10 p in which p values are counted, and the greatest of them.
@@ -190,7 +191,7 @@ def scan(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
 
     Assignments, access keys and hexadecimal runs are the matches of their patterns that
     are long enough; ``random`` spans are other strings of 20 characters or more that
-    pass ``random_strings``. Spans are kind:start:end by start, then kind, in code points.
+    pass ``random_strings``; equal signs at their end do not count. Spans are kind:start:end by start, then kind, in code points.
     Null texts count as empty: no spans. Repeated rows are scanned row by row, also those
     with one id. Strings of any length are tested whole. An empty table gives no rows.
     """
@@ -210,6 +211,8 @@ def scan(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     strings = rows.filter(F.size("random") > 0).select("row", F.explode("random").alias("s"))
     # Each distinct string is tested once, with its copies counted once: copies are not news.
     values = strings.select(F.col("s.value").alias("value")).distinct()
+    # Signs at the end only fill up: headings underlined with them are no strings.
+    values = values.filter(F.length(F.regexp_replace("value", "=+$", "")) >= LEAST)
     random = random_strings(values, settings).select(F.col("value").alias("r_value"))
     hits = strings.join(random, F.col("s.value") == F.col("r_value"))
     hits = hits.groupBy("row").agg(F.collect_list(F.struct("s.start", "s.end")).alias("more"))

@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -197,3 +198,29 @@ def test_url_rules_of_any_depth(spark):
     assert got == [(1, 2, rules[1]), (2, 1, rules[2]), (3, 0, None), (4, 1, rules[0])]
     top = entries.filter("rule LIKE 'h.com%'")
     assert [r.page_id for r in url_filter.filter_urls(pages, top).collect() if r.blocked] == [2]
+
+
+def test_underlined_headings_are_no_secrets(make_docs):
+    docs = make_docs((1, "Heading\n" + "=" * 30), (2, "A" + "=" * 30), (3, "=" * 20), (4, "x" * 19 + "=" * 5), (5, "password=" + "=" * 9))
+    got = {r.doc_id: (r.n_assign, r.spans) for r in secrets_scan.scan(docs).collect()}
+    assert got == {1: (0, ""), 2: (0, ""), 3: (0, ""), 4: (0, ""), 5: (1, "assign:0:18")}
+
+
+def test_pipeline_stages_delete_what_the_last_one_left(spark, tmp_path):
+    from cmdlog_spark.functions.staging import staging_root
+
+    rows = [(i, f"text {i} " + " ".join(f"w{(i * j) % 97}" for j in range(60)), "en", "s", 100) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    folder = Path(staging_root(spark).removeprefix("file://")) / "cmdlog"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    left = set()
+    for i, (name, function) in enumerate(corpus_pipeline.STAGES):
+        result = function(spark, docs, str(tmp_path))
+        assert not left & set(folder.iterdir())
+        result.write.parquet(str(tmp_path / f"out-{i}"))
+        docs = spark.read.parquet(str(tmp_path / f"out-{i}"))
+        left = set(folder.iterdir()) - before
