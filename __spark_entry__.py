@@ -209,8 +209,8 @@ def _(spark, sf_dir):
 
 @_query("a4_legacy_history", "SELECT id, hist_id, cmd, epoch, ppid, pwd, salt FROM history")
 def _(spark, sf_dir):
-    paths = demo.write_legacy_files(demo.history(spark, sf_dir), staging_path(spark, "legacy"))
-    typed = merge.coerce_raw(legacy.read_legacy_history(spark, paths))
+    path = demo.write_legacy_dump(demo.history(spark, sf_dir), staging_path(spark, "legacy"))
+    typed = merge.coerce_raw(legacy.read_legacy_history(spark, [path]))
     return typed.select("id", "hist_id", "cmd", "epoch", "ppid", "pwd", "salt")
 
 

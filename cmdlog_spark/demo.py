@@ -3,17 +3,10 @@
 Each view exists once as Spark code and once as SQL for the oracle.
 """
 
-import os
-import sqlite3
-import uuid
-from contextlib import closing
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cmdlog_spark.functions.times import floor_div
-from cmdlog_spark.schema import CHUNK, HISTORY, TEMPLATE
+from cmdlog_spark.schema import HISTORY, TEMPLATE
 from cmdlog_spark.sources.tables import fill_template_defaults
 
 # Parameters of the registered queries.
@@ -221,28 +214,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_legacy_files(df: DataFrame, folder: str, ids_per_file: int = CHUNK) -> list[str]:
-    """History rows as legacy databases, one file per run of ids; their paths."""
-    folder = folder.removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
-
-    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        path = f"{folder}/{key[0]}.sqlite"
-        # A task that runs again starts its file afresh.
-        part = f"{path}.{uuid.uuid4().hex}"
-        with closing(sqlite3.connect(part)) as database:
-            database.execute(
-                "CREATE TABLE history (id INTEGER PRIMARY KEY, hist_id INTEGER, cmd TEXT,"
-                " epoch INTEGER, ppid INTEGER, pwd TEXT, salt INTEGER)"
-            )
-            cells = rows[HISTORY.names].astype(object).where(rows[HISTORY.names].notna(), None)
-            database.executemany(
-                "INSERT INTO history VALUES (?, ?, ?, ?, ?, ?, ?)", cells.values.tolist()
-            )
-            database.commit()
-        os.replace(part, path)
-        return pd.DataFrame({"path": [path]})
-
-    book = floor_div(F.col("id"), ids_per_file).alias("book")
-    written = df.groupBy(book).applyInPandas(write, "path string")
-    return sorted(row.path for row in written.collect())
+def write_legacy_dump(df: DataFrame, folder: str) -> str:
+    """History rows as a dump of a legacy table; its folder."""
+    df.select(*HISTORY.names).write.option("ignoreNullFields", "false").json(folder)
+    return folder

@@ -1,124 +1,65 @@
-"""Legacy history databases (SQLite files) as a partitioned Spark source.
+"""Legacy history tables, dumped as one JSON object per row.
 
-Each partition reads one range of ids of one file, so a large file is read by
-many tasks. Files must be on storage that every executor can reach. Cells are
-returned as text with their storage class; nothing is coerced here.
+A dump holds ``id, cmd, pwd`` and cells that the old table kept in any storage class:
+numbers, texts or nulls, told apart by their JSON form. Spark splits large files; cells
+come back as text with their class, and nothing is coerced here.
 """
 
-import sqlite3
-from collections.abc import Iterator
-from contextlib import closing
-from dataclasses import dataclass
-from urllib.parse import quote
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cmdlog_spark.schema import RAW
 
-NAME = "legacy_history"
-IDS_PER_PARTITION = 1 << 18
-#: Per file, so that a stray far-off id does not create endless empty ranges.
-MAX_PARTITIONS = 10_000
-#: The driver looks into this many files to split them; more are read whole.
-MAX_PLANNED_FILES = 1_000
-MIN_ID, MAX_ID = -(2**63), 2**63 - 1
-ROWS_PER_BATCH = 10_000
 # The columns whose cells may be of any storage class.
 LOOSE_COLUMNS = ["hist_id", "epoch", "ppid", "salt"]
 
 
-@dataclass
-class IdRange(InputPartition):
-    path: str
-    src_ord: int
-    first: int
-    last: int
-
-
-def _connect(path: str) -> sqlite3.Connection:
-    connection = sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
-    connection.text_factory = lambda raw: raw.decode("utf-8", "replace")
-    return connection
-
-
-def _text(value) -> str | None:
-    if value is None or isinstance(value, bytes):
-        return None
-    return repr(value) if isinstance(value, float) else str(value)
-
-
-def _require_history(connection: sqlite3.Connection, path: str) -> None:
-    found = connection.execute(
-        "SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = 'history'"
-    ).fetchone()
-    if not found:
-        raise ValueError(f"source database {path} does not have a history table")
-
+def _kind(cell: Column) -> Column:
+    """Storage class of a JSON value."""
+    name = F.schema_of_variant(cell)
+    return (
+        F.when(cell.isNull() | (name == "VOID"), "null")
+        .when(name == "BIGINT", "integer")
+        .when(name == "STRING", "text")
+        .when(name.startswith("DOUBLE") | name.startswith("DECIMAL"), "real")
+        .otherwise("blob")
+    )
 
-def _id_ranges(path: str, src_ord: int) -> list[IdRange]:
-    with closing(_connect(path)) as connection:
-        _require_history(connection, path)
-        low, high = connection.execute("SELECT min(id), max(id) FROM history").fetchone()
-    if low is None:
-        return []
-    step = max(IDS_PER_PARTITION, (high - low) // MAX_PARTITIONS + 1)
-    starts = range(low, high + 1, step)
-    return [IdRange(path, src_ord, s, min(s + step - 1, high)) for s in starts]
 
+def _cells(name: str) -> list[Column]:
+    cell = F.variant_get(F.col("row"), f"$.{name}", "variant")
+    kind = _kind(cell)
+    text = F.when(kind.isin("integer", "text", "real"), F.try_variant_get(F.col("row"), f"$.{name}", "string"))
+    return [text.alias(f"{name}_txt"), kind.alias(f"{name}_type")]
 
-class LegacyReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
 
-    def partitions(self) -> list[InputPartition]:
-        if len(self.paths) > MAX_PLANNED_FILES:
-            return [IdRange(p, i, MIN_ID, MAX_ID) for i, p in enumerate(self.paths)]
-        ranges = [r for i, p in enumerate(self.paths) for r in _id_ranges(p, i)]
-        return ranges or [IdRange("", 0, 1, 0)]
-
-    def read(self, partition: IdRange) -> Iterator[pa.RecordBatch]:
-        if partition.first > partition.last:
-            return
-        cells = ", ".join(f"{c}, typeof({c})" for c in LOOSE_COLUMNS)
-        with closing(_connect(partition.path)) as connection:
-            _require_history(connection, partition.path)
-            cursor = connection.execute(
-                f"SELECT id, cmd, pwd, {cells} FROM history WHERE id BETWEEN ? AND ? ORDER BY id",
-                (partition.first, partition.last),
-            )
-            while rows := cursor.fetchmany(ROWS_PER_BATCH):
-                yield _batch(partition, rows)
-
-
-def _batch(partition: IdRange, rows: list[tuple]) -> pa.RecordBatch:
-    ids, *columns = zip(*rows)
-    texts = [[_text(v) for v in column] for column in columns]
-    arrays = [
-        pa.array([partition.path] * len(rows), pa.string()),
-        pa.array([partition.src_ord] * len(rows), pa.int32()),
-        pa.array(ids, pa.int64()),
-        *(pa.array(column, pa.string()) for column in texts),
-    ]
-    return pa.RecordBatch.from_arrays(arrays, names=RAW.names)
-
-
-class LegacyHistorySource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return NAME
-
-    def schema(self):
-        return RAW
-
-    def reader(self, schema) -> DataSourceReader:
-        return LegacyReader(self.options["paths"].split("\n"))
+def _plain(path: Column) -> Column:
+    """A path in one form, however many slashes its scheme has."""
+    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "/+$", "")
 
 
 def read_legacy_history(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``RAW`` rows of every file; ``src_ord`` is the place in ``paths``."""
+    """``RAW`` rows of every dump, a file or a folder; ``src_ord`` is the place in ``paths``.
+
+    A line that is no JSON object is a row of nulls, which an import counts as bad.
+    """
     if not paths:
         raise ValueError("at least one source is required")
-    spark.dataSource.register(LegacyHistorySource)
-    return spark.read.format(NAME).option("paths", "\n".join(paths)).load()
+    file = _plain(F.col("_metadata.file_path"))
+    lines = spark.read.text(paths).select("value", file.alias("file"))
+    lines = lines.withColumn("folder", F.regexp_replace("file", "/[^/]*$", ""))
+    uris = [p.replace("%", "%25").replace(" ", "%20").replace("#", "%23") for p in paths]
+    named = spark.createDataFrame(list(enumerate(zip(paths, uris, strict=True))), "src_ord int, p struct<src:string,uri:string>")
+    named = named.select("src_ord", "p.src", _plain(F.col("p.uri")).alias("uri"))
+    # Each line names its file and its folder; as many rows to meet as the caller has named paths.
+    places = lines.select("value", F.explode(F.array("file", "folder")).alias("uri"))
+    placed = places.join(F.broadcast(named), "uri")
+    rows = placed.withColumn("row", F.try_parse_json("value"))
+
+    def plain(name: str, kind: str) -> Column:
+        return F.try_variant_get(F.col("row"), f"$.{name}", kind).alias(name)
+
+    cells = [c for name in LOOSE_COLUMNS for c in _cells(name)]
+    return rows.select(
+        "src", "src_ord", plain("id", "bigint"), plain("cmd", "string"), plain("pwd", "string"), *cells
+    ).select(*RAW.names)

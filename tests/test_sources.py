@@ -1,10 +1,10 @@
+import json
 import random
-import sqlite3
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from cmdlog_spark.operators.merge import coerce_raw
@@ -127,31 +127,26 @@ def test_template_defaults(spark, tmp_path):
     assert rows["c"].variables == []
 
 
-def legacy_file(path, rows, table="history"):
-    with sqlite3.connect(path) as db:
-        db.execute(
-            f"CREATE TABLE {table} (id INTEGER PRIMARY KEY, hist_id INTEGER, cmd TEXT,"
-            " epoch INTEGER, ppid INTEGER, pwd TEXT, salt INTEGER)"
-        )
-        db.executemany(f"INSERT INTO {table} VALUES (?, ?, ?, ?, ?, ?, ?)", rows)
-    db.close()
+def legacy_dump(path, rows):
+    names = ["id", "hist_id", "cmd", "epoch", "ppid", "pwd", "salt"]
+    path.write_text("".join(json.dumps(dict(zip(names, row, strict=True))) + "\n" for row in rows))
     return str(path)
 
 
-def test_legacy_cells_of_every_class(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(legacy, "IDS_PER_PARTITION", 2)
-    one = legacy_file(
-        tmp_path / "one.sqlite",
+def test_legacy_cells_of_every_class(spark, tmp_path):
+    one = legacy_dump(
+        tmp_path / "one.jsonl",
         [
             (1, 7, "ls", 100, 1, "/a", 9),
             (2, "  970* 1571608128 ssh", "b", 1.5, 1, "/a", 9),
             (3, None, "c", "", 1, "/a", 9),
             (4, None, None, 100, 1, "/a", 9),
-            (9, b"\x00", "d", "5 x", 2**60, "/ü", 9),
-            (10, 1e300, "e", b"\x01", 1, "/a", 9),
+            (9, [0], "d", "5 x", 2**60, "/ü", 9),
+            (10, 1e300, "e", {"x": 1}, 1, "/a", 9),
+            (11, 2.0, "f", 100.0, 1, "/a", 9),
         ],
     )
-    two = legacy_file(tmp_path / "two #1 50%.sqlite", [(1, 1, "z", 1, 1, "/", 1)])
+    two = legacy_dump(tmp_path / "two #1 50%.jsonl", [(1, 1, "z", 1, 1, "/", 1)])
     raw = legacy.read_legacy_history(spark, [one, two])
     got = coerce_raw(raw).orderBy("src_ord", "id").collect()
     assert [(r.src_ord, r.id, r.hist_id, r.epoch, r.ppid, r.bad) for r in got] == [
@@ -161,28 +156,36 @@ def test_legacy_cells_of_every_class(spark, tmp_path, monkeypatch):
         (0, 4, None, 100, 1, True),
         (0, 9, None, 5, 2**60, False),
         (0, 10, 2**63 - 1, None, 1, True),
+        (0, 11, 2, 100, 1, False),
         (1, 1, 1, 1, 1, False),
     ]
+    assert {r.src for r in got} == {one, two}
 
 
-def test_many_legacy_files_are_read_whole(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(legacy, "MAX_PLANNED_FILES", 1)
-    rows = [(i, 1, "x", 1, 1, "/", 1) for i in (-5, 3)]
-    paths = [legacy_file(tmp_path / f"{n}.sqlite", rows) for n in "abc"]
-    raw = legacy.read_legacy_history(spark, paths)
-    assert sorted((r.src_ord, r.id) for r in raw.collect()) == [
-        (n, i) for n in range(3) for i in (-5, 3)
-    ]
+def test_legacy_dumps_of_folders_are_split(spark, tmp_path):
+    rows = [(i, 1, "x", 1, 1, "/", 1) for i in range(200)]
+    folders = []
+    for name in "abc":
+        (tmp_path / name).mkdir()
+        legacy_dump(tmp_path / name / "part-0.jsonl", rows)
+        folders.append(str(tmp_path / name))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        raw = legacy.read_legacy_history(spark, folders)
+        assert raw.rdd.getNumPartitions() > 8
+        assert sorted((r.src_ord, r.id) for r in raw.collect()) == [(n, i) for n in range(3) for i in range(200)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-def test_legacy_file_without_history(spark, tmp_path):
-    path = legacy_file(tmp_path / "x.sqlite", [], table="other")
-    with pytest.raises(PySparkException, match="does not have a history table"):
-        legacy.read_legacy_history(spark, [path]).collect()
+def test_odd_legacy_dumps(spark, tmp_path):
     with pytest.raises(ValueError):
         legacy.read_legacy_history(spark, [])
-
-
-def test_empty_legacy_file(spark, tmp_path):
-    path = legacy_file(tmp_path / "e.sqlite", [])
-    assert legacy.read_legacy_history(spark, [path]).collect() == []
+    empty = legacy_dump(tmp_path / "e.jsonl", [])
+    assert legacy.read_legacy_history(spark, [empty]).collect() == []
+    (tmp_path / "bad.jsonl").write_text('no json\n{"id": 1}\n')
+    got = coerce_raw(legacy.read_legacy_history(spark, [str(tmp_path / "bad.jsonl")])).collect()
+    assert sorted((r.id or 0, r.bad) for r in got) == [(0, True), (1, True)]
+    with pytest.raises(AnalysisException):
+        legacy.read_legacy_history(spark, [str(tmp_path / "nothing")])
