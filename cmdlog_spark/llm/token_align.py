@@ -3,12 +3,13 @@
 A unit is white space and the run of other characters behind it. No token of the two
 kinds of vocabulary served here reaches over the beginning of a unit, so that units are
 encoded and aligned once and remembered. ``Aligner`` checks the second vocabulary for
-this; where it does not hold, a whole text is one unit.
+this: before a blank that it joins to other characters no unit begins.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,15 +24,17 @@ from cmdlog_spark.llm.words import ragged
 BITS = 20
 # Characters handled at a time; longer texts are cut where a unit begins.
 PIECE = 1_000_000
-# Units and their characters kept in memory before it is cleared.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 24_000_000
+# Units and their characters kept in memory before those that came once are forgotten.
+REMEMBERED, REMEMBERED_CHARS = 250_000, 24_000_000
 
 BLANKS = "\t\n\x0b\x0c\r "
 # White space to some regular expressions and not to others: no cut beside it.
 UNSURE = "\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 UNIT = re.compile(f"[{BLANKS}]+[^{BLANKS}]*")
-CUT = re.compile(f"(?<=[^{BLANKS}{UNSURE}])(?=[{BLANKS}])")
-DOUBT = re.compile(f"[{UNSURE}]")
+# Units that are encoded in one go: where one ends and the next begins is plain.
+JOINED = re.compile(f"[{BLANKS}]+[^{BLANKS}{UNSURE}]{{1,500}}")
+# Fixed value: the public pattern by which byte-level vocabularies of this kind split texts.
+WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @dataclass
@@ -91,7 +94,8 @@ def _gives_back(table: tuple, ids: np.ndarray, n: np.ndarray, data: list[bytes])
 
 class Aligner:
     """Tokens of A: a byte-level vocabulary in the JSON form of ``tokenizers``; of B: a
-    ``sentencepiece`` model that puts a blank before a text."""
+    ``sentencepiece`` model that puts a blank before a text. Short units of A are merged by
+    ``tiktoken`` over the same vocabulary, which is faster."""
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
@@ -113,9 +117,14 @@ class Aligner:
         ]
         if max(len(self.a_bytes), len(pieces)) > 1 << BITS:
             raise ValueError("vocabulary too large")
+        # Blanks that no piece of B holds behind another character, or behind its own blank.
         ordinary = [p.replace("▁", " ") for p, byte in zip(pieces, as_byte, strict=True) if not byte]
-        across = re.compile(f"[^{BLANKS}][{BLANKS}]| [{BLANKS[:-1]}]")
-        self.by_units = not any(across.search(p) for p in ordinary)
+        held = {c for p in ordinary for c in re.findall(f"(?<=[^{BLANKS}])[{BLANKS}]|(?<= )[{BLANKS[:-1]}]", p)}
+        sure = "".join(c for c in BLANKS if c not in held)
+        self.by_units = " " in sure
+        unsure = UNSURE + "".join(held)
+        self.doubt = re.compile(f"[{unsure}]")
+        self.cut = re.compile(f"(?<=[^{BLANKS}{unsure}])(?=[{sure}])")
         # The id of B with the same bytes: a piece before a single byte; -1 for none.
         ids: dict[bytes, int] = {}
         for number in sorted(range(len(pieces)), key=lambda i: (as_byte[i], i)):
@@ -129,25 +138,75 @@ class Aligner:
         rows = b"".join(d.ljust(self.width, b" ") for d in digits)
         self.digits = np.frombuffer(rows, np.uint8).reshape(-1, self.width)
         self.n_digits = np.array([len(d) for d in digits], np.int64)
+        self.merger = self._merger(a_path)
         self._forget()
 
+    def _merger(self, path: str):
+        """The vocabulary as byte ranks; None if it has no such form."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and not any(
+            model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "dropout")
+        )
+        whole = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        letters = _byte_letters()
+        if not plain or not whole or spec["normalizer"] or any(c not in model["vocab"] for c in letters):
+            return None
+        ranks = {bytes([b]): b for b in range(256)}
+        ids = np.zeros(256 + len(model["merges"]), np.int64)
+        for letter, byte in letters.items():
+            ids[byte] = model["vocab"][letter]
+        for rank, merge in enumerate(model["merges"], 256):
+            token = "".join(merge if isinstance(merge, list) else merge.split(" "))
+            ranks[bytes(letters[c] for c in token)] = rank
+            ids[rank] = model["vocab"][token]
+        if len(ranks) != len(ids):
+            return None
+        self.rank_ids = ids
+        return tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
     def _forget(self) -> None:
         self.memory: dict[str, int] = {}
         self.chars = 0
         # The groups of each unit as text, a semicolon behind each.
         self.text: list[bytes] = []
         self.good = np.zeros(0, bool)
+        self.used = np.zeros(0, np.int64)
         # n_a, n_b, n_groups, n_links of each unit; its pairs begin at ``begin``.
         self.sizes = np.zeros((0, 4), np.int64)
         self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.code, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _shrink(self) -> None:
+        """Forget units that have not come again, and the rarer ones of too many others."""
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > REMEMBERED // 2:
+            often = np.argpartition(-self.used[keep], REMEMBERED // 2)[: REMEMBERED // 2]
+            keep = np.sort(keep[often])
+        units, text = list(self.memory), self.text
+        chosen = [units[i] for i in keep.tolist()]
+        chars = sum(map(len, chosen))
+        if chars > REMEMBERED_CHARS // 2:
+            return self._forget()
+        self.memory, self.chars = {u: i for i, u in enumerate(chosen)}, chars
+        self.text = [text[i] for i in keep.tolist()]
+        at = ragged(self.begin[keep], self.count[keep])
+        self.code, self.times = self.code[at], self.times[at]
+        self.count = self.count[keep]
+        self.begin = _starts(self.count)
+        self.good, self.sizes = self.good[keep], self.sizes[keep]
+        # What was common long ago must come again to stay.
+        self.used = self.used[keep] // 4
+
     def pieces(self, text: str) -> Iterator[str]:
         """A blank and the text, in pieces that begin with a unit."""
         text = " " + text
         start = 0
         while self.by_units and len(text) - start > PIECE:
-            cut = CUT.search(text, start + PIECE)
+            cut = self.cut.search(text, start + PIECE)
             if cut is None:
                 break
             yield text[start : cut.start()]
@@ -157,21 +216,44 @@ class Aligner:
     def units(self, piece: str) -> list[str]:
         if not self.by_units:
             return [piece]
-        return CUT.split(piece) if DOUBT.search(piece) else UNIT.findall(piece)
-
-    def _encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [x.ids for x in self.a.encode_batch(units, add_special_tokens=False)]
-        b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        return self.cut.split(piece) if self.doubt.search(piece) else UNIT.findall(piece)
+
+    def _encode_a(self, units: list[str], data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, one after the other, and how many each has."""
+        ids, n = np.zeros(0, np.int64), np.zeros(len(units), np.int64)
+        fast = np.array([bool(self.merger and JOINED.fullmatch(u)) for u in units])
+        if fast.any():
+            ids = self.rank_ids[self.merger.encode_ordinary("".join([u for u, f in zip(units, fast, strict=True) if f]))]
+            ends = np.cumsum(self.a_table[2][ids])
+            own = np.cumsum([len(d) for d, f in zip(data, fast, strict=True) if f])
+            last = np.searchsorted(ends, own)
+            if (ends[np.minimum(last, len(ends) - 1)] == own).all():
+                n[fast] = np.diff(last + 1, prepend=0)
+            else:
+                fast[:] = False
+        rest = [u for u, f in zip(units, fast, strict=True) if not f]
+        found = [x.ids for x in self.a.encode_batch(rest, add_special_tokens=False)]
+        n[~fast] = [len(x) for x in found]
+        out, start = np.zeros(int(n.sum()), np.int64), _starts(n)
+        if fast.any():
+            out[ragged(start[fast], n[fast])] = ids
+        out[ragged(start[~fast], n[~fast])] = np.fromiter(chain.from_iterable(found), np.int64)
+        return out, n
+
+    def _encode_b(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         # B has put its own blank before a unit that begins with other white space.
-        return a, [ids if u[0] == " " else ids[1:] for u, ids in zip(units, b, strict=True)]
+        # Of nothing behind it B makes nothing; at the end of a text it is a token.
+        blank = [self.b.piece_to_id("▁")]
+        found = [blank if u == " " else ids if u[0] == " " else ids[1:] for u, ids in zip(units, found, strict=True)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(n.sum())), n
 
     def _learn(self, units: list[str]) -> None:
         """Encode and align new units."""
-        a_ids, b_ids = self._encode(units)
         data = [u.encode() for u in units]
         n = len(units)
-        n_a, n_b = (np.fromiter(map(len, ids), np.int64, n) for ids in (a_ids, b_ids))
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(c.sum())) for x, c in ((a_ids, n_a), (b_ids, n_b)))
+        (a, n_a), (b, n_b) = self._encode_a(units, data), self._encode_b(units)
         good = _gives_back(self.a_table, a, n_a, data) & _gives_back(self.b_table, b, n_b, data)
         if not good.all():
             a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
@@ -208,6 +290,7 @@ class Aligner:
         self.chars += sum(map(len, units))
         pairs = np.bincount(owner, minlength=len(units))
         self.good = np.concatenate([self.good, good])
+        self.used = np.concatenate([self.used, np.zeros(n, np.int64)])
         self.sizes = np.concatenate([self.sizes, np.stack([n_a, n_b, n_groups, links], axis=1)])
         self.begin = np.concatenate([self.begin, len(self.code) + _starts(pairs)])
         self.count = np.concatenate([self.count, pairs])
@@ -232,9 +315,10 @@ class Aligner:
         numbers = np.fromiter((self.memory.get(u, -1) for u in units), np.int64, len(units))
         if len(numbers) and numbers.min() < 0:
             if len(self.good) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-                self._forget()
+                self._shrink()
             self._learn([u for u in dict.fromkeys(units) if u not in self.memory])
             numbers = np.fromiter(map(self.memory.__getitem__, units), np.int64, len(units))
+        self.used += np.bincount(numbers, minlength=len(self.used))
         return numbers
 
     def _read(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], tuple]:

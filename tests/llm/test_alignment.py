@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -90,6 +91,7 @@ TEXTS = [
     "The quick brown fox, unbelievably, jumped over the lazy dog.",
     "The quick brown fox, unbelievably, jumped over the lazy dog.",
     "  two  blanks\n\nand lines\r\n\ttabs \n mixed \t\n",
+    "code {\r\n  x = 1;\r\n} );\r end\r\n\r\n  */\r",
     "café naïve übermäßig 日本語のテキスト \U0001f600 สวัสดี",
     "no break space\x1cand\x85others   x　y ​ z᠎",
     "<|endoftext|> <s> </s> <unk> <0x41> plain",
@@ -110,7 +112,7 @@ def test_alignment_equals_brute_force(make_docs, most_pairs):
     want, _ = brute_alignment(TEXTS)
     got = rows_of(cross_tokens.align(docs.repartition(4), vocabularies(), most_pairs=most_pairs))
     assert got == dict(enumerate(want))
-    assert want[6] == ZERO == want[7]  # a mark that stands for a blank; an empty text
+    assert want[7] == ZERO == want[8]  # a mark that stands for a blank; an empty text
 
 
 def test_pair_counts_and_group_texts(make_docs):
@@ -134,6 +136,8 @@ def test_long_texts_in_pieces(make_docs, monkeypatch):
         for a, b, g, n, d in zip(block.n_a, block.n_b, block.n_groups, block.n_links, block.digest, strict=True)
     ]
     assert got == [(*w[:4], w[6]) for w in want]
+    assert reader.merger is not None
+    assert reader.units(" a b\nc  d e\r\nf \rg") == [" a", " b", "\nc", "  d", " e\r\nf", " \rg"]
     # A memory that is cleared between texts changes nothing.
     monkeypatch.setattr("cmdlog_spark.llm.token_align.REMEMBERED", 3)
     again = [d for block in Aligner(names.a, names.b).read(TEXTS) for d in block.digest]
@@ -145,3 +149,16 @@ def test_empty_table_and_repeated_ids(make_docs):
     docs = make_docs((1, "same words"), (1, "same words"), (None, "other words"), (None, None))
     got = sorted((r.doc_id or -1, r.n_a) for r in cross_tokens.align(docs, vocabularies()).collect())
     assert got == [(-1, 0), (-1, 2), (1, 2), (1, 2)]
+
+
+def test_joined_units_are_encoded_as_alone(monkeypatch):
+    rng = random.Random(7)
+    bits = ["a", "Word", "'s", "'ll", " ", "\n", "\t", "12", "é", "ß", "日", ".", "--", "</s>", "\x1c", "\xa0", "x" * 600]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 40))) for _ in range(300)]
+    names = vocabularies()
+    fast, slow = Aligner(names.a, names.b), Aligner(names.a, names.b)
+    slow.merger = None
+    monkeypatch.setattr("cmdlog_spark.llm.token_align.REMEMBERED", 60)
+    one, two = ([d for i in range(0, 300, 20) for b in r.read(texts[i : i + 20]) for d in b.digest] for r in (fast, slow))
+    want, _ = brute_alignment(texts)
+    assert one == two == [w[6] for w in want]
