@@ -96,28 +96,28 @@ def directory_partners(df: DataFrame, cmd: str, k: int = DIRECTORY_COUNT) -> Dat
     """Commands run in the directories of ``cmd``, by row pairs.
 
     Rows shrink to one per directory and command, which is written: it is read for the
-    sizes of directories, too. A directory of more than a thousandth of those rows is cut
-    into blocks by command, so there are a thousand such directories at most.
+    sizes of directories, too. One with very many commands is cut into blocks by command.
     """
     grouped = (
         df.where(F.col("pwd").isNotNull() & F.col("cmd").isNotNull())
         .groupBy("pwd", "cmd")
         .agg(F.count("*").alias("n"), F.max("epoch").alias("latest"))
     )
-    grouped = stage(grouped, "directory-commands")
-    base = grouped.where(command_is(cmd)).select("pwd", F.col("n").alias("runs"))
-    block = max(BLOCK_COMMANDS, grouped.count() // 1_000)
-    large = grouped.groupBy("pwd").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    large = F.broadcast(large.where(F.col("blocks") > 1))
-    number = F.pmod(F.xxhash64("cmd"), F.col("blocks")).cast("int")
-    blocks = F.coalesce("blocks", F.lit(1))
-    rows = grouped.join(large, "pwd", "left").withColumn("block", F.coalesce(number, F.lit(0)))
-    base = base.join(large, "pwd", "left").select(
-        "pwd", "runs", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
-    )
+    rows = stage(grouped, "directory-commands")
+    base = rows.where(command_is(cmd)).select("pwd", F.col("n").alias("runs"))
+    blocks = F.ceil(F.count("*") / BLOCK_COMMANDS).cast("int")
+    large = rows.groupBy("pwd").agg(blocks.alias("blocks")).where(F.col("blocks") > 1)
+    large = _listed_if_few(large)
+    on = ["pwd"]
+    if large is not None:
+        on = ["pwd", "block"]
+        number = F.pmod(F.xxhash64("cmd"), F.col("blocks")).cast("int")
+        rows = rows.join(large, "pwd", "left").withColumn("block", F.coalesce(number, F.lit(0)))
+        every = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
+        base = base.join(large, "pwd", "left").select("pwd", "runs", F.explode(every).alias("block"))
     counts = (
         rows.where(command_differs(cmd))
-        .join(base, ["pwd", "block"])
+        .join(base, on)
         .groupBy("cmd")
         .agg(
             F.sum(F.col("runs").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)"))

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cmdlog_spark.functions.spread import spread
+
 EMPTY_MAP = "map<string,string>"
 # A placeholder, and the form of a variable name.
 PLACEHOLDER = r"\{([^}]+)\}"
@@ -101,7 +103,8 @@ def request_maps(requests: DataFrame) -> DataFrame:
     signed = F.transform(F.filter("assignments", has_sign), entry)
     bad = F.array_min(F.filter("assignments", lambda a: ~has_sign(a)))
     kept = [c for c in requests.columns if c != "assignments"]
-    sorted_ = requests.select(*kept, F.array_sort(signed).alias("entries"), bad.alias("bad"))
+    dealt = spread(requests)
+    sorted_ = dealt.select(*kept, F.sort_array(signed).alias("entries"), bad.alias("bad"))
     return sorted_.select(*kept, _last_values("entries").alias("vars"), "bad")
 
 
@@ -116,7 +119,7 @@ def assignment_maps(assignments: DataFrame) -> DataFrame:
         parse_assignments(assignments)
         .groupBy("req_id")
         .agg(
-            F.array_sort(F.collect_list(found)).alias("entries"),
+            F.sort_array(F.collect_list(found)).alias("entries"),
             F.min(F.when(~F.col("ok"), F.col("assignment"))).alias("bad"),
         )
         .select("req_id", _last_values("entries").alias("vars"), "bad")

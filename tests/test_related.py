@@ -161,6 +161,15 @@ def test_flat_and_mixed_groups_equal_a_loop(make_history, seed):
     assert listed(related.session_pairs(df, hot_rows=5)) == best(brute(rows, near))
 
 
+def test_large_directories_are_cut_into_blocks(make_history, monkeypatch):
+    monkeypatch.setattr(related, "BLOCK_COMMANDS", 3)
+    rows = rows_of(9, 250, 40, 3, 9_000)
+    pairs_ = brute(rows, in_directory)
+    want = sorted((-n, -at, cmd) for (base, cmd), (n, at) in pairs_.items() if base == "c1")[:4]
+    found = related.directory_partners(make_history(*rows), "c1", k=4).collect()
+    assert [(-int(r.co_occurrences), -r.latest, r.cmd) for r in found] == want
+
+
 @pytest.mark.parametrize("case", CASES)
 def test_one_base_equals_a_loop(make_history, case):
     rows = rows_of(*case)
