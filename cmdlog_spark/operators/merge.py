@@ -93,19 +93,22 @@ def _digits(value: Column, digits: int) -> Column:
     return F.lpad(value.cast(f"decimal({digits},0)").cast("string"), digits, "0")
 
 
-def first_per_hash(rows: DataFrame, order: list[str]) -> DataFrame:
+def first_per_hash(
+    rows: DataFrame, order: list[str], listed_in: DataFrame | None = None
+) -> DataFrame:
     """First row of each hash in ``order``, with the columns of ``order`` and ``src``.
 
     ``order`` is nothing, or a whole number that goes up within columns that cut the rows
     into sources or chunks. Place and length of the directory make one number of fixed
     width, so that copies collapse in a hash table of the task that reads them; the hash
-    itself is taken once per row that is left.
+    itself is taken once per row that is left. ``listed_in`` is a table with at least the
+    same sources or chunks that costs less to read, as one that has not been filtered.
     """
     chunk, chunks = order[:-1], None
     if chunk:
         # One row per source or chunk.
         listed = [*chunk, *(["src"] if "src" in rows.columns and "src" not in chunk else [])]
-        chunks = rows.select(*listed).distinct()
+        chunks = (rows if listed_in is None else listed_in).select(*listed).distinct()
         chunks = chunks.withColumn("chunk_no", F.row_number().over(Window.orderBy(*chunk)))
         if chunk == ["src_ord"] and isinstance(rows.schema["src_ord"].dataType, IntegerType):
             number = F.col("src_ord").cast("decimal(10,0)") + (1 << 31)
@@ -238,7 +241,7 @@ def merge_typed(
     target: DataFrame, rows: DataFrame, order: list[str], sources: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """New rows and counters for rows that carry ``src``, ``src_ord``, ``bad``."""
-    once = first_per_hash(rows.where(~F.col("bad")), order)
+    once = first_per_hash(rows.where(~F.col("bad")), order, listed_in=rows)
     new_rows = unseen(once, target, days_from=once)
     return new_rows, import_stats(rows, new_rows, sources)
 
@@ -310,7 +313,7 @@ def _import(
     target = table_so_far(spark, path)
     if target is None:
         target = spark.createDataFrame([], HISTORY)
-    once = stage(first_per_hash(rows.where(~F.col("bad")), order), "import-once")
+    once = stage(first_per_hash(rows.where(~F.col("bad")), order, listed_in=rows), "import-once")
     new_rows = stage(unseen(once, target, days_from=once), "import-new")
     insert_new_rows(spark, path, new_rows)
     return import_stats(rows, new_rows, sources)
