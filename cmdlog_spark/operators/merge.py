@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from cmdlog_spark.functions.cells import coerce_int, row_hash
-from cmdlog_spark.functions.spread import spread
 from cmdlog_spark.functions.staging import stage
 from cmdlog_spark.functions.times import day_of
 from cmdlog_spark.operators.ledger import Ledger
@@ -75,7 +74,7 @@ def append_events(
 def coerce_raw(raw: DataFrame) -> DataFrame:
     """Typed rows from loose cells, with ``bad`` marking those to skip."""
     loose = ("hist_id", "epoch", "ppid", "salt")
-    typed = spread(raw).select(
+    typed = raw.select(
         "src",
         "src_ord",
         "id",
