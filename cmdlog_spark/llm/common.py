@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cmdlog_spark.functions.staging import discard, stage
 
-__all__ = ["beside", "discard", "is_held_out", "pick", "slices", "stage", "text_or_empty", "without"]
+__all__ = ["beside", "discard", "is_held_out", "pick", "slices", "small_batches", "stage", "text_or_empty", "without"]
 
 # Rows whose texts a Python worker unfolds at a time.
 SLICE = 1_000
+# Rows and bytes that Spark hands to a Python worker at a time, in memory of both.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": SLICE, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
@@ -39,6 +42,27 @@ def slices(batches: Iterator[pd.DataFrame], rows: int = SLICE) -> Iterator[pd.Da
             yield batch.iloc[start : start + rows].reset_index(drop=True)
 
 
+def use_small_batches(spark: SparkSession) -> dict[str, str]:
+    """Lower the session's batches to BATCH and return what was set; lower settings stay."""
+    before = {key: spark.conf.get(key) for key in BATCH}
+    for key, most in BATCH.items():
+        now = int(before[key].removesuffix("b")) if before[key].removesuffix("b").isdigit() else 0
+        if now <= 0 or now > most:  # 0 and less: no limit; a size with another unit is set anew
+            spark.conf.set(key, str(most))
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside hand small batches to Python: rows may be whole texts or sets."""
+    before = use_small_batches(spark)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def is_held_out(doc_id: Column) -> Column:
     """A quarter of the ids, on which no classifier here learns; a null id counts as ''."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))

@@ -13,6 +13,8 @@ import numpy as np
 
 # Bytes hashed together; longer texts are cut at white space.
 GROUP = 1 << 21
+# Where only the words count, not their places, smaller groups do: a byte costs some 60 bytes.
+PART = 8
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 # ASCII capitals in lower case, all other bytes as they are.
@@ -64,17 +66,18 @@ class Words:
         return mix((self.sums[end] - self.sums[self.start]) * inverse[self.start] + (end - self.start).astype(np.uint64))
 
 
-def segments(data: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
+def segments(data: list[bytes], most: int | None = None) -> Iterator[list[tuple[int, bytes]]]:
+    most = most or GROUP
     group, size = [], 0
     for n, one in enumerate(data):
         start = 0
         while True:
-            end = min(len(one), start + GROUP)
+            end = min(len(one), start + most)
             while end < len(one) and not BLANK[one[end]]:
                 end += 1
             group.append((n, one[start:end] if start or end < len(one) else one))
             size += end - start + 1
-            if size >= GROUP:
+            if size >= most:
                 yield group
                 group, size = [], 0
             start = end
@@ -101,7 +104,7 @@ def make_words(buffer: bytes, owners: tuple[np.ndarray, np.ndarray], start: np.n
 
 def word_groups(data: list[bytes]) -> Iterator[Words]:
     """The words of all texts in order, some texts at a time."""
-    for group in segments(data):
+    for group in segments(data, max(1, GROUP // PART)):
         buffer, owners = join_pieces(group)
         blank = BLANK[np.frombuffer(buffer, np.uint8)]
         change = np.flatnonzero(blank[1:] != blank[:-1]) + 1

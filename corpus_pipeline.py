@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last keep the columns of
 documents. Tables that a stage has staged for its result are deleted when the next stage
-over the same folder begins: by then the result has been written.
+over the same folder begins: by then the result has been written. The stages lower the
+session's batches for Python, also for what runs when their results are written.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cmdlog_spark.functions.staging import delete, discard, owned, stage
 from cmdlog_spark.llm import exact_dedup, mixing, ngram_join, packing, quality
+from cmdlog_spark.llm.common import use_small_batches
 from cmdlog_spark.llm.queries import table, vocabulary
 
 # Near-duplicates share 80 % of their runs of five words.
@@ -26,13 +28,14 @@ _LEFT: dict[tuple, list] = {}
 
 
 def _tidy(function: Callable) -> Callable:
-    """A stage that deletes what the stage before it has left."""
+    """A stage that deletes what the stage before it has left and keeps Python's batches small."""
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         place = (threading.get_ident(), spark.sparkContext.applicationId, sf_dir)
         if function is not good_documents.__wrapped__:
             delete(_LEFT.pop(place, []))
+        use_small_batches(spark)
         with owned() as made:
             result = function(spark, docs, sf_dir)
         _LEFT[place] = made

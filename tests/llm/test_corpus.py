@@ -3,8 +3,10 @@ from pathlib import Path
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -224,3 +226,45 @@ def test_pipeline_stages_delete_what_the_last_one_left(spark, tmp_path):
         result.write.parquet(str(tmp_path / f"out-{i}"))
         docs = spark.read.parquet(str(tmp_path / f"out-{i}"))
         left = set(folder.iterdir()) - before
+
+
+def test_pipeline_hands_small_batches_to_python(spark, tmp_path):
+    from cmdlog_spark.llm import common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(batch)], "size": [int(batch["text"].str.len().sum())]})
+
+    def most():
+        wide = spark.range(0, 6_000, numPartitions=1).selectExpr("repeat('x', 8000) AS text")
+        return wide.mapInPandas(sizes, "n long, size long").agg(F.max("n"), F.max("size")).first()
+
+    before = {key: spark.conf.get(key) for key in common.BATCH}
+    try:
+        with common.small_batches(spark):
+            n, size = most()
+            assert n <= common.SLICE and size <= 8 << 20
+        assert {key: spark.conf.get(key) for key in common.BATCH} == before
+        spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+        docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+        corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))  # its result is not written yet
+        n, size = most()
+        assert n <= common.SLICE and size <= 8 << 20
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_word_hashes_of_many_texts_take_little_memory():
+    import tracemalloc
+
+    from cmdlog_spark.llm import words
+
+    data = [b"some words " * 1_000] * 500
+    words._powers.clear()
+    tracemalloc.start()
+    hashes, cuts = words.word_hashes(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cuts.tolist() == list(range(0, 1_000_001, 2_000)) and len(set(hashes.tolist())) == 2
+    assert peak < 64 << 20
