@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from cmdlog_spark.functions.staging import discard, stage
 
-__all__ = ["beside", "discard", "is_held_out", "pick", "slices", "small_batches", "stage", "text_or_empty", "without"]
+__all__ = ["beside", "discard", "is_held_out", "pick", "short_lived_shuffles", "slices", "small_batches", "stage", "text_or_empty", "without"]
 
 # Rows whose texts a Python worker unfolds at a time.
 SLICE = 1_000
 # Rows and bytes that Spark hands to a Python worker at a time, in memory of both.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": SLICE, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns only, cast to the given types.
@@ -63,6 +65,21 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of jobs that run inside are deleted when their job ends, not when the driver
+    happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def is_held_out(doc_id: Column) -> Column:
     """A quarter of the ids, on which no classifier here learns; a null id counts as ''."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))

@@ -11,12 +11,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cmdlog_spark.llm import ngram_join
-from cmdlog_spark.llm.common import pick, slices, stage
+from cmdlog_spark.llm.common import discard, pick, short_lived_shuffles, slices, stage
 from cmdlog_spark.llm.components import components
+from cmdlog_spark.llm.repeats import repeated_parts
 from cmdlog_spark.llm.words import BASE, LOWER, join_pieces, make_words, mix, ragged, segments
 from cmdlog_spark.llm.words import BLANK as BLANKS
 
 NEWLINE = 10
+# Cells by which sets of shingles are told apart before they are built.
+MARKS = 256
+# Codes in a bucket that meet all at once where they are not connected yet.
+SMALL = 16
 
 
 @dataclass(frozen=True)
@@ -200,7 +205,7 @@ def minhashes(shingles: np.ndarray, begin: np.ndarray, settings: Settings) -> np
 
 
 def paragraphs(rows: DataFrame, settings: Settings) -> DataFrame:
-    """Staged lines (with band keys), windows (with ends) and blocks (with neither) of all documents."""
+    """Staged lines of all documents, with their band keys."""
 
     def find(batches):
         for batch in slices(batches):
@@ -209,53 +214,162 @@ def paragraphs(rows: DataFrame, settings: Settings) -> DataFrame:
                 if not len(g.hash):
                     continue
                 first, count, code = g.lines(settings.least_words)
+                if not len(first):
+                    continue
                 shingles, begin = g.shingles(first, count, settings.size)
-                keys = minhashes(shingles, begin, settings).view(np.int64)
-                block, block_code = g.blocks(settings)
-                last = block + settings.block - 1
-                window, width, window_code, ends = g.windows(settings)
                 yield pd.DataFrame(
                     {
-                        "doc_id": ids[np.concatenate([g.words.text[first], g.text[block], g.words.text[window]])],
-                        "code": np.concatenate([code, block_code, window_code]).view(np.int64),
-                        "start": np.concatenate([g.start[first], g.from_[block], g.start[window]]),
-                        "end": np.concatenate([g.end[first + count - 1], g.to[last], g.end[window + width - 1]]),
-                        "bands": [*keys, *[None] * (len(block) + len(window))],
-                        "ends": pd.arrays.IntegerArray(
-                            np.concatenate([np.zeros(len(first) + len(block), np.int64), ends.view(np.int64)]),
-                            np.arange(len(first) + len(block) + len(window)) < len(first) + len(block),
-                        ),
+                        "doc_id": ids[g.words.text[first]],
+                        "code": code.view(np.int64),
+                        "start": g.start[first],
+                        "end": g.end[first + count - 1],
+                        "bands": [*minhashes(shingles, begin, settings).view(np.int64)],
                     }
                 )
 
-    schema = "doc_id long, code long, start long, end long, bands array<long>, ends long"
-    return stage(rows.mapInPandas(find, schema), "paragraphs")
+    return stage(rows.mapInPandas(find, "doc_id long, code long, start long, end long, bands array<long>"), "paragraphs")
+
+
+def _parts(rows: DataFrame, take, several_codes: bool, name: str, settings: Settings) -> DataFrame:
+    """``repeated_parts`` of what ``take`` finds in a group: key, code, text, start and end."""
+
+    def find(batches):
+        for batch in slices(batches):
+            ids = batch["doc_id"].to_numpy()
+            for g in groups(batch["text"].fillna("").tolist(), settings):
+                if len(g.hash):
+                    key, code, text, start, end = take(g)
+                    yield key, code, ids[text], start, end - start
+
+    return repeated_parts(rows, find, several_codes, name)
+
+
+def open_windows(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Staged windows whose ends stand in several documents with different words between.
 
+    Equal windows hold equal blocks.
+    """
+
+    def take(g: Group):
+        first, count, code, ends = g.windows(settings)
+        return ends, code, g.words.text[first], g.start[first], g.end[first + count - 1]
+
+    found = _parts(rows, take, True, "windows", settings)
+    return found.select("doc_id", "code", "start", "end", F.array("key").alias("bands"))
+
+
+def repeated_blocks(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Staged blocks that several documents have."""
 
-def _line_sets(rows: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """Staged sets of shingles of the lines and windows (w_id, code) wanted."""
+    def take(g: Group):
+        first, code = g.blocks(settings)
+        return code, code, g.text[first], g.from_[first], g.to[first + settings.block - 1]
+
+    return _parts(rows, take, False, "blocks", settings).select("doc_id", "code", "start", "end")
+
+
+def _with_codes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id is the w_id of wanted codes, with their list ``codes``."""
     listed = stage(wanted.groupBy("w_id").agg(F.collect_list("code").alias("codes")), "wanted")
     few = listed.limit(ngram_join.FEW + 1).count() <= ngram_join.FEW
-    joined = rows.join(F.broadcast(listed) if few else listed, F.col("doc_id") == F.col("w_id"))
+    return rows.join(F.broadcast(listed) if few else listed, F.col("doc_id") == F.col("w_id")).drop("w_id")
+
+
+def _shingled(rows: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
+    """Staged shingles of the wanted lines and windows (w_id, code), those that overlap stored once.
+
+    Rows doc_id; code, at and n: of each line or window the code, its first shingle and
+    their number; shingles: in order of the text. All but doc_id are packed.
+    """
 
     def build(batches):
         for batch in slices(batches):
-            wanted_codes = [set(codes) for codes in batch["codes"]]
-            any_wanted = np.unique(np.concatenate([np.zeros(0, np.int64), *batch["codes"]]))
-            for g in groups(batch["text"].fillna("").tolist()):
+            wanted_codes = [np.unique(np.array(codes, np.int64)) for codes in batch["codes"]]
+            every = np.unique(np.concatenate([np.zeros(0, np.int64), *wanted_codes]))
+            for g in groups(batch["text"].fillna("").tolist(), settings):
+                if not len(g.hash):
+                    continue
                 lines, windows = g.lines(settings.least_words), g.windows(settings)
-                first, count, code = (np.concatenate([x, y]) for x, y in zip(lines, windows, strict=False))
-                signed, found, sets = code.view(np.int64), [], []
-                near = np.flatnonzero(np.isin(signed, any_wanted))
-                for i, text in zip(near.tolist(), g.words.text[first[near]].tolist(), strict=True):
-                    if signed[i] in wanted_codes[text]:
-                        shingles, _ = g.shingles(first[i : i + 1], count[i : i + 1], settings.size)
-                        found.append(signed[i])
-                        sets.append(np.unique(shingles).tobytes())
-                yield pd.DataFrame({"code": np.array(found, np.int64), "shingles": sets})
+                first, count, code = (np.concatenate([x, y]) for x, y in zip(lines, windows[:3], strict=True))
+                near = np.flatnonzero(np.isin(code.view(np.int64), every))
+                near = near[np.argsort(g.words.text[first[near]], kind="stable")]
+                texts, begin = np.unique(g.words.text[first[near]], return_index=True)
+                out = []
+                for text, own in zip(texts.tolist(), np.split(near, begin[1:]), strict=False):
+                    signed, place = np.unique(code[own].view(np.int64), return_index=True)
+                    place = own[place[np.isin(signed, wanted_codes[text])]]
+                    if len(place):
+                        at, n, shingles = _shared_shingles(g, first[place], count[place], settings.size)
+                        packed = (code[place], at.astype(np.int32), n.astype(np.int32), shingles)
+                        out.append((batch["doc_id"][text], *(x.tobytes() for x in packed)))
+                yield pd.DataFrame(out, columns=["doc_id", "code", "at", "n", "shingles"])
+
+    kinds = "doc_id long, code binary, at binary, n binary, shingles binary"
+    return stage(_with_codes(rows, wanted).select("doc_id", "text", "codes").mapInPandas(build, kinds), "shingled")
+
+
+def _shared_shingles(g: Group, first: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Of each run of words its first shingle and their number, and all shingles once in order."""
+    whole = count >= size
+    n = np.maximum(count - size + 1, 1)
+    place = np.unique(ragged(first[whole], n[whole]))
+    at = np.searchsorted(place, first)
+    at[~whole] = len(place) + np.arange((~whole).sum())  # shorter runs are shingles of their own
+    width = np.concatenate([np.full(len(place), size), count[~whole]])
+    return at, n, _runs(g.hash, np.concatenate([place, first[~whole]]), width, g.power, g.inverse)
+
+
+def _each_set(batch: pd.DataFrame):
+    """Code and ascending set of shingles of the lines and windows in rows of ``_shingled``."""
+    for row in batch.itertuples(index=False):
+        code, shingles = np.frombuffer(row.code, np.int64), np.frombuffer(row.shingles, np.uint64)
+        at, n = (np.frombuffer(x, np.int32).tolist() for x in (row.at, row.n))
+        for i, one in enumerate(code.tolist()):
+            yield row, one, np.unique(shingles[at[i] : at[i] + n[i]])
+
+
+def _line_sets(shingled: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Sets of shingles of the lines and windows (w_id, code) wanted."""
+
+    def build(batches):
+        for batch in slices(batches):
+            batch["codes"] = [set(codes) for codes in batch["codes"]]
+            found = [(code, own.tobytes()) for row, code, own in _each_set(batch) if code in row.codes]
+            yield pd.DataFrame(found, columns=["code", "shingles"])
+
+    built = _with_codes(shingled, wanted).drop("doc_id").mapInPandas(build, "code long, shingles binary")
+    return built.groupBy("code").agg(F.first("shingles").alias("shingles"))
+
+
+def _marks(shingled: DataFrame) -> DataFrame:
+    """Staged size and cells of the set of each code: bit shingle % MARKS is set for each shingle."""
 
-    built = joined.select("text", "codes").mapInPandas(build, "code long, shingles binary")
-    return stage(built.groupBy("code").agg(F.first("shingles").alias("shingles")), "line-sets")
+    def mark(batches):
+        for batch in slices(batches):
+            found = []
+            for _, code, own in _each_set(batch):
+                cells = np.zeros(MARKS, bool)
+                cells[(own % np.uint64(MARKS)).astype(np.int64)] = True
+                found.append((code, len(own), np.packbits(cells).tobytes()))
+            yield pd.DataFrame(found, columns=["code", "n", "cells"])
+
+    marked = shingled.mapInPandas(mark, "code long, n long, cells binary")
+    return stage(marked.groupBy("code").agg(F.first("n").alias("n"), F.first("cells").alias("cells")), "marks")
+
+
+def may_be_similar(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their marks do not rule out: each cell that only one set has holds a
+    shingle, at least, that the other lacks."""
+    one, two = (marks.select(*(F.col(c).alias(f"{side}_{c}") for c in marks.columns)) for side in "ab")
+
+    @F.pandas_udf("long")
+    def only(left: pd.Series, right: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (left, right))
+        return pd.Series(np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64))
+
+    named = pairs.join(one, F.col("a") == F.col("a_code")).join(two, F.col("b") == F.col("b_code"))
+    most = F.least(F.col("a_n") - only("a_cells", "b_cells"), F.col("b_n") - only("b_cells", "a_cells"))
+    return named.filter((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
 
 
 def _prefixes(sets: DataFrame, settings: Settings) -> DataFrame:
@@ -295,7 +409,8 @@ def similar_lines(rows: DataFrame, lines: DataFrame, settings: Settings) -> Data
 
     A line first meets one other: among those that lead its buckets, the one with most
     buckets that others share. Only buckets whose lines are not all connected then are
-    left. They may hold many lines that are edits of one but not similar, so there the
+    left. In those of up to SMALL lines, lines of different components all meet. Larger
+    ones may hold many lines that are edits of one but not similar, so there the
     lines meet that also share one of their rare shingles, as every similar pair does:
     no similar pair that collides is lost.
     """
@@ -304,6 +419,12 @@ def similar_lines(rows: DataFrame, lines: DataFrame, settings: Settings) -> Data
     buckets = reps.select("code", F.explode("bands").alias("gram"))
     shared = buckets.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
     members = stage(buckets.join(shared.select("gram"), "gram"), "buckets")
+    owners = reps.select("code", "w_id").join(members.select("code").distinct(), "code", "left_semi")
+    owners = stage(owners.select("w_id", "code"), "bucket-lines")
+    discard(reps)
+    shingled = _shingled(rows, owners, settings)
+    marks = _marks(shingled)
+
     central = members.groupBy("code").agg((-F.count("*")).alias("lonely"))
     by_rank = F.struct("lonely", F.xxhash64("code"), "code")
     ranked = members.join(central, "code")
@@ -313,38 +434,44 @@ def similar_lines(rows: DataFrame, lines: DataFrame, settings: Settings) -> Data
     pairs = pairs.filter("code <> b")
     near = pairs.select(F.least("code", "b").alias("a"), F.greatest("code", "b").alias("b")).distinct()
     near = stage(near, "line-pairs")
-    sets = _line_sets(rows, _ends(near, reps), settings)
-    links = stage(ngram_join._verify(near, sets, settings.percent), "line-links")
+    links = _verified(near, owners, shingled, marks, settings, "line-links")
+
     found = components(links)
     placed = members.join(found, F.col("code") == F.col("node"), "left")
     placed = placed.select("gram", "code", F.coalesce("root", "code").alias("root"))
     placed = stage(_of_several(placed, "gram"), "line-open")
-    codes = placed.select("code", "root").distinct()
-    more = _line_sets(rows, reps.join(codes, "code", "left_semi").join(sets, "code", "left_anti"), settings)
-    sets = sets.unionAll(more)
-    elements = _prefixes(stage(sets.join(codes, "code", "left_semi"), "open-sets"), settings)
-    elements = stage(_of_several(elements.join(codes, "code"), "element").drop("root"), "line-elements")
-    placed = placed.join(elements, "code")
-    placed = placed.withColumn("gram", F.xxhash64("gram", "element")).select("gram", "code", "n", "at", "root")
-    placed = stage(_of_several(placed, "gram"), "line-rare")
-    rest = ngram_join._across(placed, settings.percent).join(near, ["a", "b"], "left_anti")
-    rest = stage(rest, "line-rest")
-    late = stage(ngram_join._verify(rest, sets, settings.percent), "line-rest-links")
+    discard(members)
+    sizes = placed.groupBy("gram").agg(F.count("*").alias("size"))
+    small = placed.join(sizes.filter(F.col("size") <= SMALL).select("gram"), "gram", "left_semi")
+    large = stage(placed.join(sizes.filter(F.col("size") > SMALL).select("gram"), "gram", "left_semi"), "line-large")
+    other = small.select(F.col("gram").alias("o_gram"), F.col("code").alias("o_code"), F.col("root").alias("o_root"))
+    met = small.join(other, (F.col("gram") == F.col("o_gram")) & (F.col("root") < F.col("o_root")))
+    met = met.select(F.least("code", "o_code").alias("a"), F.greatest("code", "o_code").alias("b"))
+
+    codes = large.select("code", "root").distinct()
+    large_sets = _line_sets(shingled, owners.join(codes, "code", "left_semi"))
+    elements = _prefixes(large_sets, settings).join(codes, "code")
+    elements = stage(_of_several(elements, "element").drop("root"), "line-elements")
+    large = large.join(elements, "code")
+    large = large.withColumn("gram", F.xxhash64("gram", "element")).select("gram", "code", "n", "at", "root")
+    large = stage(_of_several(large, "gram"), "line-rare")
+    rest = met.unionAll(ngram_join._across(large, settings.percent)).distinct()
+    rest = stage(rest.join(near, ["a", "b"], "left_anti"), "line-rest")
+    discard(near, placed, elements, large)
+    late = _verified(rest, owners, shingled, marks, settings, "line-rest-links")
+    discard(rest, owners, shingled, marks)
     return links.unionAll(late)
 
 
-def _open_windows(found: DataFrame) -> DataFrame:
-    """Windows whose ends stand in several documents with different words between.
-
-    Equal windows hold equal blocks.
-    """
-    windows = found.filter("ends IS NOT NULL").select("doc_id", "code", "start", "end", "ends")
-    several = windows.groupBy("ends").agg(
-        *(f(c).alias(f"{n}_{c}") for c in ("doc_id", "code") for n, f in (("low", F.min), ("high", F.max)))
-    )
-    several = several.filter("low_doc_id < high_doc_id AND low_code < high_code").select("ends")
-    named = windows.join(several, "ends", "left_semi")
-    return stage(named.select("doc_id", "code", "start", "end", F.array("ends").alias("bands")), "windows")
+def _verified(
+    pairs: DataFrame, owners: DataFrame, shingled: DataFrame, marks: DataFrame, settings: Settings, name: str
+) -> DataFrame:
+    """Staged pairs that are similar, judged on whole sets where marks cannot tell."""
+    pairs = stage(may_be_similar(pairs, marks, settings.percent), "line-close")
+    sets = stage(_line_sets(shingled, _ends(pairs, owners)), "line-sets")
+    links = stage(ngram_join._verify(pairs, sets, settings.percent), name)
+    discard(pairs, sets)
+    return links
 
 
 def _ends(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -374,24 +501,25 @@ def repeated_passages(docs: DataFrame, settings: Settings | None = None) -> Data
     """
     settings = settings or Settings()
     rows = pick(docs, doc_id="long", text="string").filter("doc_id IS NOT NULL")
-    found = paragraphs(rows, settings)
-    lines = found.filter("bands IS NOT NULL").select("doc_id", "code", "start", "end", "bands")
-    lines = lines.unionAll(_open_windows(found))
-    links = similar_lines(rows, lines, settings)
-    roots = components(links)
-
-    # Copies of a code become one row before codes of one cluster meet.
-    codes = lines.groupBy("code").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    codes = codes.join(roots, F.col("code") == F.col("node"), "left")
-    codes = codes.withColumn("root", F.coalesce("root", "code")).drop("node")
-    clusters = codes.groupBy("root").agg(F.min("low").alias("keep_id"), F.max("high").alias("last_id"))
-    clusters = codes.select("code", "root").join(clusters.filter("keep_id < last_id"), "root")
-    kept = stage(clusters.select(F.col("code").alias("k_code"), "keep_id"), "clusters")
+    with short_lived_shuffles(docs.sparkSession):
+        windows = open_windows(rows, settings)
+        blocks = repeated_blocks(rows, settings)
+        lines = paragraphs(rows, settings).unionAll(windows)
+        links = similar_lines(rows, lines, settings)
+        roots = components(links)
+
+        # Copies of a code become one row before codes of one cluster meet.
+        codes = lines.groupBy("code").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        codes = codes.join(roots, F.col("code") == F.col("node"), "left")
+        codes = stage(codes.withColumn("root", F.coalesce("root", "code")).drop("node"), "codes")
+        clusters = codes.groupBy("root").agg(F.min("low").alias("keep_id"), F.max("high").alias("last_id"))
+        clusters = codes.select("code", "root").join(clusters.filter("keep_id < last_id"), "root")
+        kept = stage(clusters.select(F.col("code").alias("k_code"), "keep_id"), "clusters")
+        discard(codes)
     spans = lines.join(kept, F.col("code") == F.col("k_code")).select("doc_id", "start", "end", "keep_id")
 
-    blocks = found.filter("bands IS NULL AND ends IS NULL").select("doc_id", "code", "start", "end")
-    several = blocks.groupBy("code").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last_id"))
-    several = several.filter("keep_id < last_id").select(F.col("code").alias("k_code"), "keep_id")
+    several = blocks.groupBy("code").agg(F.min("doc_id").alias("keep_id"))
+    several = several.select(F.col("code").alias("k_code"), "keep_id")
     inside = blocks.join(several, F.col("code") == F.col("k_code")).select("doc_id", "start", "end", "keep_id")
     return _merge(spans.unionAll(inside))
 

@@ -296,3 +296,37 @@ def test_short_lines_and_edited_passages_inside_long_ones(make_docs):
             assert set(texts[r.doc_id][r.start : r.end].split()) <= edited[first]
             hit[r.doc_id] |= r.removed
     assert sum(hit.values()) >= 14  # of 20; no block of theirs is equal
+
+
+def test_parts_that_never_repeat_are_not_staged(make_docs, monkeypatch):
+    from cmdlog_spark.llm import repeats
+
+    rng = random.Random(29)
+
+    def words(n):
+        return [f"{rng.choice('abcé')}{rng.randrange(10**6)}" for _ in range(n)]
+
+    passage, rows = words(120), []
+    for i in range(-2, 30):
+        edited = [*passage[: 40 + i], "new", *passage[41 + i :]] if i % 3 else passage
+        rows.append((i * 7, " ".join([*words(200), *(edited if i % 2 else []), *words(100)])))
+    docs = pick(make_docs(*rows, rows[3]), doc_id="long", text="string")
+    settings = paragraph_dedup.Settings()
+    windows, blocks = defaultdict(set), defaultdict(set)
+    for i, text in rows:
+        for g in paragraph_dedup.groups([text], settings):
+            for code in g.blocks(settings)[1].view("int64").tolist():
+                blocks[code].add(i)
+            _, _, code, ends = g.windows(settings)
+            for c, e in zip(code.view("int64").tolist(), ends.view("int64").tolist(), strict=True):
+                windows[e].add((i, c))
+    want_blocks = {(i, c) for c, ids in blocks.items() if len(ids) > 1 for i in ids}
+    want_windows = {(i, c, e) for e, s in windows.items() if all(len(set(x)) > 1 for x in zip(*s, strict=True)) for i, c in s}
+    assert want_blocks and want_windows
+    for gathered in (1, 1 << 20):
+        monkeypatch.setattr(repeats, "GATHERED", gathered)
+        got = paragraph_dedup.repeated_blocks(docs, settings).collect()
+        assert {(r.doc_id, r.code) for r in got} == want_blocks
+        got = paragraph_dedup.open_windows(docs, settings).collect()
+        assert {(r.doc_id, r.code, r.bands[0]) for r in got} == want_windows
+    assert len(want_blocks) < sum(map(len, blocks.values())) / 2
