@@ -414,7 +414,11 @@ def similar_lines(rows: DataFrame, lines: DataFrame, settings: Settings) -> Data
     lines meet that also share one of their rare shingles, as every similar pair does:
     no similar pair that collides is lost.
     """
-    reps = lines.groupBy("code").agg(F.min("doc_id").alias("w_id"), F.first("bands").alias("bands"))
+    # Numbers are aggregated by hash, arrays would be sorted; windows have one key only.
+    keys = [f"band_{i}" for i in range(max(1, settings.bands))]
+    firsts = (F.first(F.get("bands", F.lit(i))).alias(k) for i, k in enumerate(keys))
+    reps = lines.groupBy("code").agg(F.min("doc_id").alias("w_id"), *firsts)
+    reps = reps.select("code", "w_id", F.array_compact(F.array(*keys)).alias("bands"))
     reps = stage(reps, "lines-once")
     buckets = reps.select("code", F.explode("bands").alias("gram"))
     shared = buckets.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
@@ -452,12 +456,28 @@ def similar_lines(rows: DataFrame, lines: DataFrame, settings: Settings) -> Data
     large_sets = _line_sets(shingled, owners.join(codes, "code", "left_semi"))
     elements = _prefixes(large_sets, settings).join(codes, "code")
     elements = stage(_of_several(elements, "element").drop("root"), "line-elements")
-    large = large.join(elements, "code")
-    large = large.withColumn("gram", F.xxhash64("gram", "element")).select("gram", "code", "n", "at", "root")
-    large = stage(_of_several(large, "gram"), "line-rare")
-    rest = met.unionAll(ngram_join._across(large, settings.percent)).distinct()
+    rare = large.join(elements, "code")
+    rare = rare.withColumn("gram", F.xxhash64("gram", "element")).select("gram", "code", "n", "at", "root")
+    rare = stage(_of_several(rare, "gram"), "line-rare")
+    discard(large, elements)
+    if not rare.isEmpty():
+        # The original of edited copies shares most rare shingles: what is like it is connected first.
+        central = rare.groupBy("code").agg((-F.count("*")).alias("lonely"))
+        by_rank = F.struct("lonely", F.xxhash64("code"), "code", "n", "at")
+        centres = rare.join(central, "code").groupBy("gram").agg(F.min(by_rank).alias("c"))
+        centres = centres.select("gram", "c.code", "c.n", "c.at")
+        plain, same = rare.select("gram", "code", "n", "at"), F.col("a_gram") == F.col("b_gram")
+        hubs = ngram_join._candidates(plain, centres, same, settings.percent)
+        hubs = stage(hubs.join(near, ["a", "b"], "left_anti"), "line-hubs")
+        links = links.unionAll(_verified(hubs, owners, shingled, marks, settings, "line-hub-links"))
+        near = near.unionAll(hubs)
+        found = components(links)
+        rare = plain.join(found, F.col("code") == F.col("node"), "left")
+        rare = rare.select("gram", "code", "n", "at", F.coalesce("root", "code").alias("root"))
+        rare = stage(_of_several(rare, "gram"), "line-rare")
+    rest = met.unionAll(ngram_join._across(rare, settings.percent)).distinct()
     rest = stage(rest.join(near, ["a", "b"], "left_anti"), "line-rest")
-    discard(near, placed, elements, large)
+    discard(placed, rare)
     late = _verified(rest, owners, shingled, marks, settings, "line-rest-links")
     discard(rest, owners, shingled, marks)
     return links.unionAll(late)
