@@ -32,13 +32,13 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark).rstrip('/')}/cmdlog/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and continue from the written files."""
+def stage(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` as Parquet, with the writer's ``options``, and continue from the written files."""
     spark = df.sparkSession
     path = staging_path(spark, name)
     if _OWNERS:
         _OWNERS[-1].append((spark, path))
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.staged_path = path
     return written

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cmdlog_spark.llm.common import pick, stage
+from cmdlog_spark.llm.common import discard, pick, short_lived_shuffles, small_batches, stage
+
+# Numbers that one step of pruning or scoring unfolds at a time, in memory a few times over.
+CELLS = 4 << 20
+# Bytes of vectors in one graph and in one pack of queries, as doubles.
+GRAPH_BYTES, PACK_BYTES = 32 << 20, 16 << 20
+# Rows that are whole graphs: few to a row group, which readers unfold at once.
+LONG_ROWS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
 
 
 @dataclass(frozen=True)
 class Settings:
     """shard_rows: distinct vectors of one graph; degree: edges of a node; beam: nodes kept
     by a search; relax: how much nearer a neighbour must be to rule out an edge; wave:
-    queries that one task answers."""
+    queries that one task answers; parts: tasks at most among which a wave finds the graphs."""
 
     shard_rows: int = 12_000
     degree: int = 28
@@ -26,6 +35,7 @@ class Settings:
     relax: float = 1.2
     batch: int = 256
     wave: int = 20_000
+    parts: int = 16
     nearest: int = 20
     every: int = 20
 
@@ -78,6 +88,10 @@ def greedy(points, edges, entry: int, queries, beam: int, batch: int = 256):
 def robust_prune(points, own: np.ndarray, candidates: np.ndarray, degree: int, relax: float) -> np.ndarray:
     """For each point its diverse neighbours: the nearest candidate is taken, candidates much
     nearer to it than to the point are ruled out, and so on."""
+    step = max(1, CELLS // (candidates.shape[1] * points.shape[1]))
+    if len(own) > step:  # many candidates or long vectors: each point is pruned by itself
+        parts = [slice(start, start + step) for start in range(0, len(own), step)]
+        return np.concatenate([robust_prune(points, own[p], candidates[p], degree, relax) for p in parts])
     c = points[np.maximum(candidates, 0)]
     p = points[own]
     to_point = ((c - p[:, None, :]) ** 2).sum(axis=2)
@@ -155,7 +169,7 @@ def _lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
 
 
 def distinct_vectors(embeddings: DataFrame, settings: Settings) -> DataFrame:
-    """Staged classes of equal vectors: key, vector (doubles as bytes), size of the vector and
+    """Staged classes of equal vectors: key, vector (bytes of ``_narrow``), size of the vector and
     the smallest ids of the class, one more than are asked for."""
     rows = pick(embeddings, vec_id="long", embedding="array<double>").filter("vec_id IS NOT NULL")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -176,7 +190,13 @@ def distinct_vectors(embeddings: DataFrame, settings: Settings) -> DataFrame:
     ranked = packed.withColumn("rank", F.row_number().over(W.partitionBy("vector").orderBy("vec_id")))
     ranked = ranked.filter(F.col("rank") <= settings.nearest + 1)
     classes = ranked.groupBy("vector", "size").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    return stage(classes.withColumn("key", F.xxhash64("vector")), "classes")
+    classes = classes.withColumn("key", F.xxhash64("vector"))
+
+    def narrow(batches):
+        for batch in batches:
+            yield batch.assign(vector=[_narrow(np.frombuffer(v, "<f8")) for v in batch["vector"]])
+
+    return stage(classes.mapInPandas(narrow, classes.schema), "classes")
 
 
 def nearest_neighbours(embeddings: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -190,81 +210,173 @@ def nearest_neighbours(embeddings: DataFrame, settings: Settings | None = None)
 
     Equal vectors are one node, so that a hot vector does not fill a graph. Shards of
     bounded size get a graph each; all queries search all shards, in waves of bounded
-    size, and the exact scores of what they find are ranked.
+    size, and the exact scores of what they find are ranked. A graph is one row and so is
+    a wave: their pairs are formed where they are searched, and no copies are shuffled. A
+    task keeps the nearest so far of each query, and works on few queries at a time.
     """
-    settings = settings or Settings()
+    spark = embeddings.sparkSession
+    # One pair of a graph and a wave at a time goes to Python.
+    with small_batches(spark), short_lived_shuffles(spark):
+        return _nearest_neighbours(embeddings, settings or Settings())
+
+
+def _nearest_neighbours(embeddings: DataFrame, settings: Settings) -> DataFrame:
+    graphs = _graphs(embeddings, settings)
+    packs = _packs(embeddings, settings)
+    # Not an equation of two columns, by which all vectors of one length would meet in one task.
+    alike = (F.col("size") - F.col("length")) == 0
+    pairs = graphs.coalesce(settings.parts).join(packs, alike).drop("shard", "length")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nearest = {}
+        for batch in batches:
+            for pair in batch.itertuples(index=False):
+                query_ids, found = np.frombuffer(pair.query_ids, "<i8"), _searched(pair, settings)
+                if pair.pack in nearest:
+                    found = _nearest([nearest[pair.pack][1], found], settings.nearest)
+                nearest[pair.pack] = query_ids, found
+        for query_ids, (row, ids, score) in nearest.values():
+            yield pd.DataFrame({"query_id": query_ids[row], "vec_id": ids, "score": score})
+
+    hits = pairs.mapInPandas(search, "query_id long, vec_id long, score double")
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.nearest)
+    ranked = stage(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")
+    discard(graphs, packs)
+    return ranked
+
+
+def _graphs(embeddings: DataFrame, settings: Settings) -> DataFrame:
+    """Staged graphs, one a row: shard, size of its vectors, the vectors, edges, numbers of ids
+    and ids of all its nodes one behind the other, and what a search needs to begin."""
     classes = distinct_vectors(embeddings, settings)
-    total = classes.count()
-    shards = max(1, -(-total // settings.shard_rows))
+    total, numbers = classes.agg(F.count("*"), F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()
+    shards = max(1, -(-total // settings.shard_rows), -(-8 * numbers // GRAPH_BYTES))
     sharded = classes.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).cast("int"))
 
     def make(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vector").reset_index(drop=True)
-        vectors = _matrix(group["vector"])
+        size = int(group["size"].iloc[0])
+        vectors = np.concatenate([_wide(v, 1, size) for v in group["vector"]])
+        order = sorted(range(len(vectors)), key=lambda i: vectors[i].tobytes())
+        vectors, each = vectors[order], group["ids"].to_numpy()[order]
         longest = float(np.einsum("ij,ij->i", vectors, vectors).max())
         edges, entry = build(_lifted(vectors, longest), settings)
+        counts = np.array([len(x) for x in each], "<i4")
+        ids = np.concatenate(each).astype("<i8")
         return pd.DataFrame(
             {
-                "shard": group["shard"], "size": group["size"], "node": np.arange(len(group)),
-                "vector": group["vector"], "ids": group["ids"], "longest": longest, "entry": entry,
-                "edges": [e.astype("<i4").tobytes() for e in edges],
+                "shard": [group["shard"].iloc[0]], "size": [size], "vectors": [_narrow(vectors)],
+                "edges": [edges.astype("<i4").tobytes()], "counts": [counts.tobytes()], "ids": [ids.tobytes()],
+                "longest": [longest], "entry": [entry],
             }
         )
 
-    graph = sharded.groupBy("shard", "size").applyInPandas(
+    graphs = sharded.groupBy("shard", "size").applyInPandas(
         make,
-        "shard int, size int, node int, vector binary, ids array<long>, longest double, entry int, edges binary",
+        "shard int, size int, vectors binary, edges binary, counts binary, ids binary, longest double, entry int",
     )
-    graph = stage(graph, "graph")
+    graphs = stage(graphs, "graphs", **LONG_ROWS)
+    discard(classes)
+    return graphs
+
 
+def _packs(embeddings: DataFrame, settings: Settings) -> DataFrame:
+    """Staged queries, up to a wave of one length a row: pack (its number), length, query_ids and
+    the vectors, one behind the other."""
     asked = pick(embeddings, vec_id="long", embedding="array<double>")
     asked = asked.filter(F.col("vec_id") % settings.every == 0).select("vec_id", "embedding")
-    queries = _queries(asked)
-    queries = stage(queries, "queries")
+    queries = stage(_queries(asked), "queries")
     waves = max(1, -(-queries.count() // settings.wave))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    queries = queries.withColumn("wave", F.pmod(F.xxhash64("query_id"), F.lit(waves)).cast("int"))
-    queries = queries.select("query_id", "vector", "size", "wave", spread)
-    nodes = graph.select("*", F.explode(F.sequence(F.lit(0), F.lit(waves - 1))).alias("wave"))
-
-    def search(nodes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "vec_id", "score"]
-        if not len(nodes) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        nodes = nodes.sort_values("node")
-        vectors, q = _matrix(nodes["vector"]), _matrix(asked["vector"])
-        points = _lifted(vectors, float(nodes["longest"].iloc[0]))
-        edges = np.frombuffer(b"".join(nodes["edges"]), "<i4").reshape(len(nodes), -1)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 40
+
+        def packed(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal number
+            for length, group in rows.groupby("size"):
+                yield pd.DataFrame(
+                    {
+                        "pack": [number], "length": [length], "asked": [_narrow(_matrix(group["vector"]))],
+                        "query_ids": [group["query_id"].to_numpy("<i8").tobytes()],
+                    }
+                )
+                number += 1
+
+        waiting, rows, size = [], 0, 0
+        for batch in batches:
+            # At most as many rows of this batch as the wave still takes.
+            while len(batch):
+                taken, batch = batch.iloc[: settings.wave - rows], batch.iloc[settings.wave - rows :]
+                waiting.append(taken)
+                rows, size = rows + len(taken), size + 8 * int(taken["size"].sum())
+                if rows >= settings.wave or size >= PACK_BYTES:
+                    yield from packed(pd.concat(waiting))
+                    waiting, rows, size = [], 0, 0
+        if waiting:
+            yield from packed(pd.concat(waiting))
+
+    packs = queries.coalesce(waves).mapInPandas(pack, "pack long, length int, asked binary, query_ids binary")
+    packs = stage(packs, "packs", **LONG_ROWS)
+    discard(queries)
+    return packs
+
+
+def _searched(pair, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest in one graph to each query of one pack: row of the query, id, score."""
+    counts, ids, query_ids = (np.frombuffer(b, t) for b, t in ((pair.counts, "<i4"), (pair.ids, "<i8"), (pair.query_ids, "<i8")))
+    first = np.cumsum(counts, dtype=np.int64) - counts
+    vectors, asked = _wide(pair.vectors, len(counts), pair.size), _wide(pair.asked, len(query_ids), pair.size)
+    points = _lifted(vectors, pair.longest)
+    edges = np.frombuffer(pair.edges, "<i4").reshape(len(counts), -1)
+    beam, hits = min(settings.beam, len(counts)), []
+    for start in range(0, len(asked), settings.batch):
+        q = asked[start : start + settings.batch]
         lifted = np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
-        beam = min(settings.beam, len(nodes))
-        found, _ = greedy(points, edges, int(nodes["entry"].iloc[0]), lifted, beam, settings.batch)
+        found, _ = greedy(points, edges, pair.entry, lifted, beam, settings.batch)
         row, column = np.nonzero(found >= 0)
         node = found[row, column]
-        score = (q[row] * vectors[node]).sum(axis=1)
+        score = _scores(q, vectors, row, node)
         # One class more than asked for: the query's own may be among them.
         order = np.lexsort((-score, row))
         row, node, score = row[order], node[order], score[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        best = rank <= settings.nearest
-        row, node, score = row[best], node[best], score[best]
-        ids = nodes["ids"].to_numpy()[node]
-        count = np.array([len(x) for x in ids], np.int64)
-        out = pd.DataFrame(
-            {
-                "query_id": np.repeat(asked["query_id"].to_numpy()[row], count),
-                "vec_id": np.concatenate(ids).astype(np.int64) if len(ids) else [],
-                "score": np.repeat(score, count),
-            }
-        )
-        return out[out["query_id"] != out["vec_id"]][names]
-
-    keys = ["shard", "wave", "size"]
-    hits = nodes.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(
-        search, "query_id long, vec_id long, score double"
-    )
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.nearest)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        best = np.arange(len(row)) - np.searchsorted(row, row) <= settings.nearest
+        row, node, score = start + row[best], node[best], score[best]
+        count = counts[node]
+        place = np.arange(count.sum()) + np.repeat(first[node] - (np.cumsum(count) - count), count)
+        row, score = np.repeat(row, count), np.repeat(score, count)
+        other = query_ids[row] != ids[place]
+        hits.append(_nearest([(row[other], ids[place][other], score[other])], settings.nearest))
+    return tuple(np.concatenate(x) for x in zip(*hits, strict=True))
+
+
+def _narrow(vectors: np.ndarray) -> bytes:
+    """Four bytes a number where that loses nothing, else eight."""
+    with np.errstate(over="ignore"):
+        short = vectors.astype("<f4")
+    return short.tobytes() if (short == vectors).all() else vectors.astype("<f8").tobytes()
+
+
+def _wide(numbers: bytes, rows: int, size: int) -> np.ndarray:
+    """The vectors, in double precision, that ``_narrow`` was given."""
+    kind = "<f4" if len(numbers) == 4 * rows * size else "<f8"
+    return np.frombuffer(numbers, kind).reshape(rows, size).astype(np.float64)
+
+
+def _scores(queries: np.ndarray, vectors: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Inner products of pairs, some at a time: unfolded, all would take the size of a vector each."""
+    step = max(1, CELLS // (2 * vectors.shape[1]))
+    parts = [slice(start, start + step) for start in range(0, len(row), step)]
+    return np.concatenate([(queries[row[p]] * vectors[node[p]]).sum(axis=1) for p in parts])
+
+
+def _nearest(hits: list[tuple], nearest: int) -> tuple:
+    """Of hits, each (row of the query, id, score), the best of every row in the order of the result."""
+    row, ids, score = (np.concatenate(x) for x in zip(*hits, strict=True))
+    # Spark's order: what is no number comes before all numbers.
+    order = np.lexsort((ids, -score, ~np.isnan(score), row))
+    row, ids, score = row[order], ids[order], score[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < nearest
+    return row[best], ids[best], score[best]
 
 
 def _queries(asked: DataFrame) -> DataFrame:
